@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerlake.functions.lexicon import DEFAULT_PARAMS, ScoringParams
-from tickerlake.plans.sizing import bounded_broadcast
+from tickerlake.plans.sizing import bounded_broadcast, ensure_parallelism
 
 CONTRIB_TYPE = "decimal(18,8)"
 VALENCE_TYPE = "decimal(6,3)"
@@ -60,14 +60,41 @@ def score_texts(
     ``keep`` must not include the text column (it is not carried through
     the shuffle). Duplicate input rows stay duplicate.
     """
+    contrib, group_cols = token_contributions(df, lexicon, keep, text_col, params)
+    per_row = contrib.groupBy(*group_cols).agg(
+        F.sum("_c").alias("_s"),
+        F.sum(F.when(F.col("_c") > 0, F.col("_c") + 1)).alias("_pos"),
+        F.sum(F.when(F.col("_c") < 0, F.col("_c") - 1)).alias("_neg"),
+        F.count(F.when(F.col("_c") != 0, True)).alias("_hits"),
+    )
+    return per_row.select(*keep, *_finish(params))
+
+
+def token_contributions(
+    df: DataFrame,
+    lexicon: DataFrame,
+    keep: list[str],
+    text_col: str = "text",
+    params: ScoringParams = DEFAULT_PARAMS,
+) -> tuple[DataFrame, list[str]]:
+    """One row per token (one row for token-less texts): group columns + ``_c``.
+
+    ``_c`` is the token's exact DECIMAL contribution, NULL for tokens that
+    are not lexicon words.
+    """
     p = params
     base = (
-        df.select(*keep, F.col(text_col).alias("_text"))
+        ensure_parallelism(df.select(*keep, F.col(text_col).alias("_text")))
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_toks", tokens(F.col("_text"), p))
         .withColumn("_excl", F.least(exclamations(F.col("_text")), F.lit(p.exclaim_cap)))
         .drop("_text")
     )
+    # Per-text values are computed before the explode, so the token array is
+    # not carried into (copied onto) every generated row.
+    base = base.withColumn("_n_tok", F.size("_toks")).withColumn(
+        "_but", F.array_position("_toks", p.contrast_word)
+    )
     toks = F.col("_toks")
 
     def prev(i: Column, k: int) -> Column:
@@ -81,11 +108,7 @@ def score_texts(
     )
     group_cols = [*keep, "_row", "_n_tok", "_but", "_excl"]
     exploded = base.select(
-        *keep,
-        "_row",
-        F.size(toks).alias("_n_tok"),
-        F.array_position(toks, p.contrast_word).alias("_but"),
-        "_excl",
+        *group_cols,
         F.explode_outer(ctx).alias("_c"),
     ).select(*group_cols, "_c.i", "_c.t", "_c.p1", "_c.p2", "_c.p3")
 
@@ -131,14 +154,7 @@ def score_texts(
         .otherwise(neg_scaled)
     )
     c = contrasted.cast(CONTRIB_TYPE)
-
-    per_row = j.select(*group_cols, c.alias("_c")).groupBy(*group_cols).agg(
-        F.sum("_c").alias("_s"),
-        F.sum(F.when(F.col("_c") > 0, F.col("_c") + 1)).alias("_pos"),
-        F.sum(F.when(F.col("_c") < 0, F.col("_c") - 1)).alias("_neg"),
-        F.count(F.when(F.col("_c") != 0, True)).alias("_hits"),
-    )
-    return per_row.select(*keep, *_finish(p))
+    return j.select(*group_cols, c.alias("_c")), group_cols
 
 
 def _finish(p: ScoringParams) -> list[Column]:

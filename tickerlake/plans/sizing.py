@@ -30,3 +30,20 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Data
     if size is not None and size <= limit:
         return F.broadcast(df)
     return df
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread ``df`` round-robin when its scan yields fewer partitions than cores.
+
+    For CPU-heavy per-row work (tokenising long texts) on inputs stored as
+    few large row groups. Reading the partition count plans the scan but
+    runs no job. On a large input (thousands of splits) this is a no-op, so
+    no shuffle is added where the scan already gives enough tasks.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # pragma: no cover
+        return df
+    return df.repartition(target) if n < target else df

@@ -33,8 +33,19 @@ def market_root(root: str) -> str:
     return f"{root.rstrip('/')}/derived/market"
 
 
+def _glob_matches(spark: SparkSession, glob: str) -> bool:
+    """Whether a path glob matches anything (one directory listing, any file system)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(glob)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def _read(spark: SparkSession, base: str, glob: str, contract, partitions) -> DataFrame:
     schema = read_schema(contract, partitions)
+    if not _glob_matches(spark, glob):
+        return spark.createDataFrame([], schema)
     try:
         return spark.read.schema(schema).option("basePath", base).parquet(glob)
     except AnalysisException as exc:  # nothing written yet
@@ -94,7 +105,16 @@ def write_partitioned(df: DataFrame, path: str, partitions: list[str], order_by:
         .partitionBy(*partitions)
         .parquet(path)
     )
-    return int(obs.get.get("rows", 0))
+    return _observed_rows(obs)
+
+
+def _observed_rows(obs: Observation) -> int:
+    # AQE drops the observation node when it proves the input empty; the
+    # metrics row is then missing, which means nothing was written.
+    try:
+        return int(obs.get.get("rows", 0))
+    except Exception:  # noqa: BLE001
+        return 0
 
 
 def land_events(spark: SparkSession, df: DataFrame, root: str) -> int:
