@@ -14,9 +14,10 @@ def resample_prints(prints: DataFrame) -> DataFrame:
     ``prints`` has (ticker, trade_us, trade_id, price, qty). Open and close
     are the first and last price in (trade_us, trade_id) order, a total
     order, so ties are deterministic. One row per (ticker, minute) by
-    construction; hash aggregation with map-side partials.
+    construction; hash aggregation with map-side partials, so a hot ticker
+    is combined before the shuffle.
     """
-    order_key = F.struct(F.col("trade_us"), F.col("trade_id"))
+    order_key = print_order_key(F.col("trade_us"), F.col("trade_id"))
     minute = F.expr("trade_us div 60000000") * 60_000
     return prints.groupBy("ticker", minute.alias("ts")).agg(
         F.min_by("price", order_key).alias("open"),
@@ -27,6 +28,19 @@ def resample_prints(prints: DataFrame) -> DataFrame:
     )
 
 
+def print_order_key(trade_us, trade_id):
+    """(trade_us, trade_id) packed into one DECIMAL(38,0) that sorts the same way.
+
+    A struct key would force sort-based aggregation (struct buffers are not
+    fixed-width); a decimal key keeps ``min_by``/``max_by`` in the hash
+    aggregate with map-side partials. trade_id is shifted by 2^63 so any
+    bigint keeps its order.
+    """
+    shift = F.lit("9223372036854775808").cast("decimal(38,0)")
+    scale = F.lit("100000000000000000000").cast("decimal(38,0)")
+    return trade_us.cast("decimal(38,0)") * scale + (trade_id.cast("decimal(38,0)") + shift)
+
+
 def bar_closes(bars: DataFrame, horizon_minutes: int = 5) -> DataFrame:
     """(ticker, bucket, close_now, close_fwd) with the close ``horizon`` minutes later.
 

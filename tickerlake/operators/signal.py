@@ -22,6 +22,7 @@ each window partition is bounded and the frames stay exact.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +110,10 @@ def rolling(
 
     if block_rows < long_rows:
         raise ValueError("block_rows must be at least the long frame")
+    # The per-minute table feeds both the per-day counts and the rows; keep
+    # one copy (memory, spilling to disk; recomputed from lineage if an
+    # executor is lost) instead of recomputing the aggregation twice.
+    pm = pm.persist(StorageLevel.MEMORY_AND_DISK)
     idx = _row_index(pm)
     lookback = long_rows - 1
     own = F.expr(f"_idx div {block_rows}")
