@@ -109,3 +109,42 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 13 == 0).alias("dead"),
     )
     return f.select(k.alias("item_key"), F.when(k % 17 == 0, F.lit(None)).otherwise(item).alias("item"))
+
+
+def item_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_ts, value): the items as JSON lines; a missing item is the line ``null``."""
+    it = items(spark, sf_dir)
+    feed_ts = feed(spark, sf_dir).select(
+        F.substring("event_id", 2, 20).cast("long").alias("item_key"), "event_ts"
+    )
+    line = F.when(F.col("item").isNull(), F.lit("null")).otherwise(F.to_json(F.col("item")))
+    return it.join(feed_ts, "item_key").select("event_ts", line.alias("value"))
+
+
+def event_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_ts, value): the landing feed as JSON lines (lake contract fields)."""
+    f = landing_feed(spark, sf_dir)
+    return f.select("event_ts", F.to_json(F.struct(*f.columns)).alias("value"))
+
+
+def write_time_chunks(lines: DataFrame, path: str, chunks: int = 4) -> list[str]:
+    """Write JSON lines as ``chunks`` files in event-time order, one job each.
+
+    Files written later have later modification times, so a file stream
+    with ``maxFilesPerTrigger=1`` reads them in time order, like a feed
+    arriving over time. Returns the written folders.
+    """
+    b = lines.agg(F.min("event_ts").alias("lo"), F.max("event_ts").alias("hi")).first()
+    if b is None or b["lo"] is None:
+        return []
+    lo, hi = int(b["lo"]), int(b["hi"]) + 1
+    step = max(1, -(-(hi - lo) // chunks))
+    out = []
+    for k in range(chunks):
+        a, z = lo + k * step, min(hi, lo + (k + 1) * step)
+        part = f"{path}/chunk={k:04d}"
+        lines.filter((F.col("event_ts") >= a) & (F.col("event_ts") < z)).select("value").coalesce(1).write.mode(
+            "overwrite"
+        ).text(part)
+        out.append(part)
+    return out
