@@ -105,3 +105,31 @@ def pipeline_metrics(events: DataFrame, scored: DataFrame | None = None) -> Data
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def compact(spark, root: str, since=None, until=None, staging: str | None = None) -> int:
+    """Rewrite raw-lake partitions (dates ``since``..``until``) into few files each.
+
+    Many micro-batches leave many small files per hour. The selected
+    partitions are copied to a staging folder under the shared scratch root,
+    then written back with dynamic partition overwrite (reading and
+    overwriting the same files in one job is not safe). Rows are unchanged.
+    Returns the number of rows rewritten.
+    """
+    from tickerlake.session import scratch_path
+    from tickerlake.sources import lake
+
+    events = lake.read_events(spark, root, since=since, until=until).drop("event_at")
+    stage = staging or scratch_path(spark, "compact-stage")
+    lake.write_partitioned(events, stage, lake.EVENT_PARTITIONS, "event_ts", "overwrite")
+    staged = lake.read_events(spark, stage).drop("event_at")
+    n = lake.write_partitioned(staged, root.rstrip("/"), lake.EVENT_PARTITIONS, "event_ts", "overwrite")
+    lake.delete_path(spark, stage)
+    return n
+
+
+def file_counts(table: DataFrame) -> DataFrame:
+    """(source, dt, hr, files, rows) per partition, from row metadata."""
+    return table.groupBy("source", "dt", "hr").agg(
+        F.countDistinct(F.col("_metadata.file_path")).alias("files"), F.count(F.lit(1)).alias("rows")
+    )

@@ -21,3 +21,10 @@ SCORED_TS = 0
 
 def universe_symbols() -> list[str]:
     return [s.strip().upper() for s in UNIVERSE_TEXT.split(",") if s.strip()]
+
+# Hourly event budget for the rate guard.
+RATE_BUDGET_PER_HOUR = 500
+# Trading cost per unit of position change, basis points.
+COST_BPS = 1.0
+# Number of separate landings used to create small files before compaction.
+COMPACT_BATCHES = 3

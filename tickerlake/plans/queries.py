@@ -53,7 +53,10 @@ def _landed_lake(spark: SparkSession, sf_dir: str, times: int = 1) -> str:
 
 
 def _round(df: DataFrame, digits: dict[str, int]) -> DataFrame:
-    return df.select(*[F.round(F.col(c), digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+    """Round for cross-engine comparison; ``+ 0.0`` turns -0.0 into 0.0."""
+    return df.select(
+        *[(F.round(F.col(c), digits[c]) + F.lit(0.0)).alias(c) if c in digits else F.col(c) for c in df.columns]
+    )
 
 
 # --- ingest -------------------------------------------------------------------
@@ -221,6 +224,66 @@ def q_max_drawdown(spark, sf_dir):
     return _round(out, {"max_drawdown": 9})
 
 
+def q_backtest_costs(spark, sf_dir):
+    c = backtest.with_costs(full_signal(spark, sf_dir), QP.COST_BPS)
+    return _round(c.select("ticker", "bucket", "pos", "pnl", "turnover", "net_pnl"), {"pnl": 9, "net_pnl": 9})
+
+
+# --- operations ---------------------------------------------------------------
+
+
+def q_freshness(spark, sf_dir):
+    return ops.freshness(lake_events(spark, sf_dir), "minute")
+
+
+def q_rate_guard(spark, sf_dir):
+    return ops.rate_guard(lake_events(spark, sf_dir), QP.RATE_BUDGET_PER_HOUR)
+
+
+def q_pipeline_metrics(spark, sf_dir):
+    return ops.pipeline_metrics(lake_events(spark, sf_dir), scored_feed(spark, sf_dir))
+
+
+def q_storage_cost(spark, sf_dir):
+    """Land the feed, then report compressed bytes, bytes/row and cost."""
+    root = _landed_lake(spark, sf_dir)
+    return ops.storage_report(lake.read_events(spark, root))
+
+
+def q_compact(spark, sf_dir):
+    """Land the feed in several batches (small files), compact, read back."""
+    root = scratch_path(spark, "lake-compact")
+    feed = fixtures.landing_feed(spark, sf_dir)
+    k = QP.COMPACT_BATCHES
+    for i in range(k):
+        part = feed.filter(F.abs(F.xxhash64("event_id")) % k == i)
+        lake.land_events(spark, part, root)
+    ops.compact(spark, root)
+    return lake.read_events(spark, root).select(*LAKE_COLS)
+
+
+def q_score_lake(spark, sf_dir):
+    """Land the feed, run the scoring job, read the sentiment table back."""
+    from tickerlake.plans import jobs
+
+    root = _landed_lake(spark, sf_dir)
+    jobs.score_lake(spark, root, scored_ts=QP.SCORED_TS)
+    s = lake.read_sentiment(spark, root)
+    return s.select(
+        "source", "event_id", "event_ts", "compound", "pos", "neu", "neg",
+        F.array_join("tickers", ",").alias("tickers"), "scored_ts", "dt", "hr",
+    )
+
+
+def q_market_lake(spark, sf_dir):
+    """Write bars from the prints to the market table and read them back."""
+    from tickerlake.plans import jobs
+
+    root = scratch_path(spark, "lake-market")
+    jobs.write_bars(spark, root, fixtures.prints(spark, sf_dir))
+    return lake.read_market(spark, root).select("ticker", "ts", "open", "high", "low", "close", "volume", "dt", "hr")
+
+
 # --- streaming ----------------------------------------------------------------
 
 STREAM_COLS = ["source", "event_id", "event_ts", "ingested_ts", "author", "text", "url", "dt", "hr"]

@@ -55,26 +55,43 @@ def _read(spark: SparkSession, base: str, glob: str, contract, partitions) -> Da
         raise
 
 
-def read_events(spark: SparkSession, root: str) -> DataFrame:
+def _date_window(df: DataFrame, since, until) -> DataFrame:
+    """Filter on the ``dt`` partition column (pruned at planning time)."""
+    if since is not None:
+        df = df.filter(F.col("dt") >= F.lit(since).cast("date"))
+    if until is not None:
+        df = df.filter(F.col("dt") <= F.lit(until).cast("date"))
+    return df
+
+
+def read_events(spark: SparkSession, root: str, since=None, until=None) -> DataFrame:
     """Raw events with ``dt``, ``hr`` from the paths and ``event_at``.
 
     The glob ``source=*`` keeps ``derived/`` out. The ``source`` value comes
     from the path, which is the value every writer here partitions by.
+    ``since``/``until`` (dates, inclusive) prune whole partitions.
     """
     base = root.rstrip("/")
-    df = _read(spark, base, f"{base}/source=*", EVENT_SCHEMA, EVENT_PARTITIONS)
+    df = _date_window(_read(spark, base, f"{base}/source=*", EVENT_SCHEMA, EVENT_PARTITIONS), since, until)
     return df.withColumn("event_at", event_at(F.col("event_ts")))
 
 
-def read_sentiment(spark: SparkSession, root: str) -> DataFrame:
+def read_sentiment(spark: SparkSession, root: str, since=None, until=None) -> DataFrame:
     base = sentiment_root(root)
-    df = _read(spark, base, f"{base}/source=*", SENTIMENT_SCHEMA, EVENT_PARTITIONS)
+    df = _date_window(_read(spark, base, f"{base}/source=*", SENTIMENT_SCHEMA, EVENT_PARTITIONS), since, until)
     return df.withColumn("event_at", event_at(F.col("event_ts")))
 
 
-def read_market(spark: SparkSession, root: str) -> DataFrame:
+def read_market(spark: SparkSession, root: str, since=None, until=None) -> DataFrame:
     base = market_root(root)
-    return _read(spark, base, f"{base}/dt=*", BAR_SCHEMA, MARKET_PARTITIONS)
+    return _date_window(_read(spark, base, f"{base}/dt=*", BAR_SCHEMA, MARKET_PARTITIONS), since, until)
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Recursively delete a folder on any Hadoop file system (staging cleanup)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
 
 
 def with_hour_partitions(df: DataFrame, ts_col: str) -> DataFrame:
