@@ -17,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tickerlake.functions.tables import empty_table
 from tickerlake.functions.timecols import dt_of, event_at, hr_of
 from tickerlake.schemas import BAR_SCHEMA, EVENT_SCHEMA, SENTIMENT_SCHEMA, conform, read_schema
 
@@ -45,13 +46,13 @@ def _glob_matches(spark: SparkSession, glob: str) -> bool:
 def _read(spark: SparkSession, base: str, glob: str, contract, partitions) -> DataFrame:
     schema = read_schema(contract, partitions)
     if not _glob_matches(spark, glob):
-        return spark.createDataFrame([], schema)
+        return empty_table(spark, schema)
     try:
         return spark.read.schema(schema).option("basePath", base).parquet(glob)
     except AnalysisException as exc:  # nothing written yet
         cond = (getattr(exc, "getCondition", lambda: None)() or "") + str(exc)
         if "PATH_NOT_FOUND" in cond or "Path does not exist" in cond:
-            return spark.createDataFrame([], schema)
+            return empty_table(spark, schema)
         raise
 
 
@@ -143,6 +144,10 @@ def land_events(spark: SparkSession, df: DataFrame, root: str) -> int:
     is not read). Returns the number of rows appended.
     """
     incoming = with_hour_partitions(conform(df, EVENT_SCHEMA), "event_ts").dropDuplicates(["source", "event_id"])
+    base = root.rstrip("/")
+    if not _glob_matches(spark, f"{base}/source=*"):
+        # Fresh lake: nothing to anti-join against.
+        return write_partitioned(incoming, base, EVENT_PARTITIONS, "event_ts", "append")
     bounds = incoming.agg(F.min("dt").alias("lo"), F.max("dt").alias("hi")).first()
     if bounds is None or bounds["lo"] is None:
         return 0
