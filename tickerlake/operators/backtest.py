@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerlake.plans.sizing import bounded_broadcast
+from tickerlake.plans.windows import BLK, CTX, DEFAULT_BLOCK_ROWS, IDX, blocked_rows, finish
 
 # 5-minute holdings over a 6.5 h x 252 day trading year.
 PERIODS_PER_YEAR_5M = 252 * 6.5 * 12
@@ -110,21 +111,25 @@ def summary(signal: DataFrame) -> DataFrame:
     )
 
 
-def with_costs(signal: DataFrame, cost_bps: float = 1.0) -> DataFrame:
-    """Per-ticker pnl net of a cost of ``cost_bps`` per unit of position change.
+def with_costs(signal: DataFrame, cost_bps: float = 1.0, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Per-row pnl net of a cost of ``cost_bps`` per unit of position change.
 
     Turnover is |pos - previous pos| within a ticker in bucket order (the
-    first row trades from flat). Partitioned by ticker: one row per active
-    minute, so bounded by time, not by data volume.
+    first row trades from flat). The previous row comes from a blocked
+    window (see ``plans.windows``), so no ticker's history sits in one task.
     """
-    p = with_pnl(signal)
-    w = Window.partitionBy("ticker").orderBy("bucket")
+    p = with_pnl(signal).select("ticker", "bucket", "pos", "pnl")
+    spread, w = blocked_rows(p, "ticker", "bucket", lookback=1, block_rows=block_rows)
     turnover = F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0)))
-    return p.select(
+    out = spread.select(
         "ticker",
         "bucket",
         "pos",
         "pnl",
         turnover.alias("turnover"),
         (F.col("pnl") - turnover * F.lit(cost_bps / 10_000.0)).alias("net_pnl"),
+        CTX,
+        BLK,
+        IDX,
     )
+    return finish(out)

@@ -22,17 +22,15 @@ each window partition is bounded and the frames stay exact.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerlake.functions.timecols import truncate
 from tickerlake.operators.bars import bar_closes, forward_return
-from tickerlake.plans.sizing import bounded_broadcast
+from tickerlake.plans.windows import BLK, CTX, DEFAULT_BLOCK_ROWS, IDX, blocked_rows, finish
 
 SHORT_ROWS = 5
 LONG_ROWS = 60
-DEFAULT_BLOCK_ROWS = 4096
 
 
 def per_minute(sentiment: DataFrame) -> DataFrame:
@@ -58,26 +56,6 @@ def _rolled_columns(w_short: Window, w_long: Window) -> list[Column]:
     ]
 
 
-def _row_index(pm: DataFrame) -> DataFrame:
-    """Add ``_idx``: 0-based position of each row in its ticker's bucket order.
-
-    Two-level prefix count: rows per (ticker, day) -> running offsets per
-    ticker over days (a table of tickers x days) -> offset + row number
-    within the day. Every window here is bounded by a day or by the number
-    of days.
-    """
-    pm = pm.withColumn("_day", F.to_date("bucket"))
-    per_day = pm.groupBy("ticker", "_day").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("ticker").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_day.select("ticker", "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    within = Window.partitionBy("ticker", "_day").orderBy("bucket")
-    return (
-        pm.join(bounded_broadcast(offsets), ["ticker", "_day"])
-        .withColumn("_idx", F.col("_off") + F.row_number().over(within) - 1)
-        .drop("_off", "_day")
-    )
-
-
 def rolling(
     pm: DataFrame,
     frame: str = "rows",
@@ -108,27 +86,15 @@ def rolling(
             *_rolled_columns(base.rowsBetween(-(short_rows - 1), 0), base.rowsBetween(-(long_rows - 1), 0)),
         )
 
-    if block_rows < long_rows:
-        raise ValueError("block_rows must be at least the long frame")
-    # The per-minute table feeds both the per-day counts and the rows; keep
-    # one copy (memory, spilling to disk; recomputed from lineage if an
-    # executor is lost) instead of recomputing the aggregation twice.
-    pm = pm.persist(StorageLevel.MEMORY_AND_DISK)
-    idx = _row_index(pm)
-    lookback = long_rows - 1
-    own = F.expr(f"_idx div {block_rows}")
-    # Rows near the end of a block are copied into the next block as context.
-    blocks = F.when(F.col("_idx") % block_rows >= block_rows - lookback, F.array(own, own + 1)).otherwise(
-        F.array(own)
-    )
-    spread = idx.select("*", F.explode(blocks).alias("_blk")).withColumn("_ctx", F.col("_blk") != own)
-    base = Window.partitionBy("ticker", "_blk").orderBy("_idx")
+    spread, base = blocked_rows(pm, "ticker", "bucket", long_rows - 1, block_rows)
     rolled = spread.select(
         *pm.columns,
-        "_ctx",
-        *_rolled_columns(base.rowsBetween(-(short_rows - 1), 0), base.rowsBetween(-lookback, 0)),
+        CTX,
+        BLK,
+        IDX,
+        *_rolled_columns(base.rowsBetween(-(short_rows - 1), 0), base.rowsBetween(-(long_rows - 1), 0)),
     )
-    return rolled.filter(~F.col("_ctx")).drop("_ctx")
+    return finish(rolled)
 
 
 def score(rolled: DataFrame, on_overflow: str = "raise") -> DataFrame:
