@@ -128,12 +128,15 @@ def token_contributions(
     )
 
     j = exploded.join(words, exploded["t"] == words["_wtok"], "left").drop("_wtok")
+    # The same broadcast modifier table is probed for each predecessor; the
+    # three build sides are identical plans, so the exchange is reused.
+    mods = bounded_broadcast(mods)
     for k in (1, 2, 3):
-        m = bounded_broadcast(
-            mods.select(F.col("token").alias(f"_m{k}"), F.col("b").alias(f"b{k}"), F.col("n").alias(f"n{k}"))
-        )
+        m = mods.alias(f"_m{k}")
         key = F.when(F.col("_v").isNotNull(), F.col(f"p{k}"))
-        j = j.join(m, key == m[f"_m{k}"], "left").drop(f"_m{k}")
+        j = j.join(m, key == F.col(f"_m{k}.token"), "left").select(
+            *[j[c] for c in j.columns], F.col(f"_m{k}.b").alias(f"b{k}"), F.col(f"_m{k}.n").alias(f"n{k}")
+        )
 
     v = F.col("_v")
     d1, d2, d3 = (F.lit(str(x)).cast("decimal(3,2)") for x in p.booster_decay)
