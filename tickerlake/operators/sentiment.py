@@ -77,7 +77,8 @@ def token_contributions(
     text_col: str = "text",
     params: ScoringParams = DEFAULT_PARAMS,
 ) -> tuple[DataFrame, list[str]]:
-    """One row per token (one row for token-less texts): group columns + ``_c``.
+    """Rows per text (group columns + ``_c``): one per lexicon-word token,
+    plus the text's first token row so every text is present.
 
     ``_c`` is the token's exact DECIMAL contribution, NULL for tokens that
     are not lexicon words.
@@ -128,6 +129,10 @@ def token_contributions(
     )
 
     j = exploded.join(words, exploded["t"] == words["_wtok"], "left").drop("_wtok")
+    # Only lexicon words contribute; the first token row of each text is kept
+    # so texts without hits still reach the aggregate (i is NULL for texts
+    # without tokens). This cuts the rows probed and aggregated to ~hits.
+    j = j.filter(F.col("_v").isNotNull() | F.col("i").isNull() | (F.col("i") == 1))
     # The same broadcast modifier table is probed for each predecessor; the
     # three build sides are identical plans, so the exchange is reused.
     mods = bounded_broadcast(mods)
@@ -200,7 +205,8 @@ def score_events(
         if scored_ts is None
         else (scored_ts if isinstance(scored_ts, Column) else F.lit(int(scored_ts)))
     )
-    prepared = events.select(
+    spread = ensure_parallelism(events.select("source", "event_id", "event_ts", "text"))
+    prepared = spread.select(
         "source", "event_id", "event_ts", extract_tickers(F.col("text")).alias("tickers"), "text"
     )
     scored = score_texts(prepared, lexicon, keep=["source", "event_id", "event_ts", "tickers"], params=params)

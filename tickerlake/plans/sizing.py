@@ -46,4 +46,8 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
         n = df.rdd.getNumPartitions()
     except Exception:  # pragma: no cover
         return df
-    return df.repartition(target) if n < target else df
+    if n >= target:
+        return df
+    # Hash of the whole row: deterministic on retry without the local sort a
+    # round-robin repartition needs.
+    return df.repartition(target, F.xxhash64(*[F.col(c) for c in df.columns]))
