@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerlake.functions.timecols import event_at, truncate
+from tickerlake.plans.sizing import ensure_parallelism
 
 
 def resample_prints(prints: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def resample_prints(prints: DataFrame) -> DataFrame:
     """
     order_key = print_order_key(F.col("trade_us"), F.col("trade_id"))
     minute = F.expr("trade_us div 60000000") * 60_000
-    return prints.groupBy("ticker", minute.alias("ts")).agg(
+    return ensure_parallelism(prints).groupBy("ticker", minute.alias("ts")).agg(
         F.min_by("price", order_key).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
@@ -53,15 +54,14 @@ def bar_closes(bars: DataFrame, horizon_minutes: int = 5) -> DataFrame:
     """
     b = bars.select("ticker", truncate("minute", event_at(F.col("ts"))).alias("bucket"), "close")
     shift = F.expr(f"INTERVAL {int(horizon_minutes)} MINUTES")
-    now = b.select("ticker", "bucket", F.col("close").alias("close_now"), F.lit(None).cast("double").alias("close_fwd"))
-    fwd = b.select(
-        "ticker",
-        (F.col("bucket") - shift).alias("bucket"),
-        F.lit(None).cast("double").alias("close_now"),
-        F.col("close").alias("close_fwd"),
+    none = F.lit(None).cast("double")
+    # Two rows per bar from one scan (no union of two scans of the bars).
+    both = F.array(
+        F.struct(F.col("bucket").alias("bucket"), F.col("close").alias("close_now"), none.alias("close_fwd")),
+        F.struct((F.col("bucket") - shift).alias("bucket"), none.alias("close_now"), F.col("close").alias("close_fwd")),
     )
     return (
-        now.unionByName(fwd)
+        b.select("ticker", F.inline(both))
         .groupBy("ticker", "bucket")
         .agg(F.max("close_now").alias("close_now"), F.max("close_fwd").alias("close_fwd"))
     )
