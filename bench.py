@@ -21,6 +21,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from tickerlake.operators.ops import storage_report  # noqa: E402
 from tickerlake.plans.queries import registry  # noqa: E402
 from tickerlake.session import build_session, scratch_path  # noqa: E402
 from tickerlake.sources import fixtures, lake  # noqa: E402
@@ -72,6 +73,7 @@ def main() -> None:
     written = lake.land_events(spark, feed, root)
     land_s = time.perf_counter() - t0
     times["land_events"] = round(land_s, 3)
+    store = storage_report(lake.read_events(spark, root)).first()
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
@@ -82,6 +84,9 @@ def main() -> None:
         "sf": float(m.group(1)) if m else sf_dir,
         "sink_events_per_sec": round(written / land_s, 1) if land_s > 0 else None,
         "sink_events": written,
+        "sink_mb_per_sec": round(store["bytes"] / 1024 / 1024 / land_s, 3) if land_s > 0 else None,
+        "sink_bytes_per_event": round(store["bytes_per_row"], 2),
+        "sink_files": store["files"],
         "cpus": int(cpus),
     }
     print(json.dumps(out))
