@@ -19,7 +19,8 @@ def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer size estimate of ``df`` in bytes, or None when unavailable."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        # a Scala BigInt; py4j may hand it over as an int or as an object
+        return int(str(stats.sizeInBytes()))
     except Exception:  # pragma: no cover - e.g. Spark Connect sessions
         return None
 
