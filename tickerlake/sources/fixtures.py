@@ -80,11 +80,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     Covers: title only, text only, empty title with text, both, neither,
     deleted, dead, whole item null, missing time, missing author.
     """
-    f = feed(spark, sf_dir).select(
-        F.substring("event_id", 2, 20).cast("long").alias("id"),
-        "event_ts",
-        "author",
-        "text",
+    ev = events_table(spark, sf_dir).select("event_id", "ts", "user_id")
+    event_ts = F.expr(f"{EPOCH_MS} + ((unix_micros(CAST(ts AS TIMESTAMP)) - {EPOCH_US}) div 60) div 1000")
+    f = ev.select(
+        F.col("event_id").alias("id"),
+        event_ts.alias("event_ts"),
+        F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("author"),
+        F.expr(_TEXT_SQL).alias("text"),
     )
     k = F.col("id")
     title = (
@@ -108,17 +110,16 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 11 == 0).alias("deleted"),
         (k % 13 == 0).alias("dead"),
     )
-    return f.select(k.alias("item_key"), F.when(k % 17 == 0, F.lit(None)).otherwise(item).alias("item"))
+    return f.select(
+        k.alias("item_key"), "event_ts", F.when(k % 17 == 0, F.lit(None)).otherwise(item).alias("item")
+    )
 
 
 def item_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_ts, value): the items as JSON lines; a missing item is the line ``null``."""
     it = items(spark, sf_dir)
-    feed_ts = feed(spark, sf_dir).select(
-        F.substring("event_id", 2, 20).cast("long").alias("item_key"), "event_ts"
-    )
     line = F.when(F.col("item").isNull(), F.lit("null")).otherwise(F.to_json(F.col("item")))
-    return it.join(feed_ts, "item_key").select("event_ts", line.alias("value"))
+    return it.select("event_ts", line.alias("value"))
 
 
 def event_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

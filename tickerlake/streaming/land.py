@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickerlake.operators.ingest import normalise_items, reject_reason
+from tickerlake.operators.ingest import normalise_items, reject_counts
 from tickerlake.schemas import ITEM_SCHEMA
 from tickerlake.sources import lake
 
@@ -57,8 +57,11 @@ def read_item_batch(spark: SparkSession, path: str) -> DataFrame:
 
 
 def batch_reasons(items: DataFrame) -> DataFrame:
-    reason = F.when(F.col("parse_error"), F.lit("malformed")).otherwise(reject_reason(F.col("item")))
-    return items.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """(reason, n) for one batch: malformed lines plus the item reject reasons."""
+    malformed = items.filter(F.col("parse_error")).groupBy(F.lit("malformed").alias("reason")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return reject_counts(items.filter(~F.col("parse_error"))).unionByName(malformed)
 
 
 def start_landing(
