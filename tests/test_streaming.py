@@ -78,3 +78,25 @@ def test_stream_minute_counts_equal_batch(spark, tmp_path):
     want = minute_counts(lake_events(spark, SF))
     cols = ["source", "minute", "n"]
     assert _rows(got, cols) == _rows(want, cols)
+
+
+def test_json_strings_source_matches_file_reader(spark):
+    from tickerlake.streaming.land import items_from_json_strings
+
+    lines = fixtures.item_json_lines(spark, SF)
+    a = items_from_json_strings(lines.select("value"))
+    got = sorted((r.parse_error, r.item is None) for r in a.collect())
+    n_null = sum(1 for _, isnull in got if isnull)
+    assert n_null > 0 and not any(pe for pe, _ in got)
+    assert a.filter("item IS NOT NULL").count() == lines.filter("value <> 'null'").count()
+
+
+def test_progress_table(spark, tmp_path):
+    from tickerlake.streaming.progress import progress_table
+
+    base = str(tmp_path)
+    fixtures.write_time_chunks(fixtures.item_json_lines(spark, SF), f"{base}/in", chunks=2)
+    q = sland.start_landing(spark, f"{base}/in/*", f"{base}/lake", f"{base}/ckpt", ingested_ts=1, max_files_per_trigger=1)
+    q.awaitTermination()
+    p = progress_table(spark, q)
+    assert p.agg({"num_input_rows": "sum"}).first()[0] == fixtures.item_json_lines(spark, SF).count()

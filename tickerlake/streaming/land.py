@@ -48,6 +48,23 @@ def read_item_stream(spark: SparkSession, path: str, max_files_per_trigger: int
     return items_from_json(reader.json(path))
 
 
+def items_from_json_strings(df: DataFrame, col: str = "value") -> DataFrame:
+    """Items from a column of JSON strings (e.g. a Kafka ``value`` cast to string).
+
+    Same result shape as ``read_item_stream``; works on streaming and batch
+    frames, so any message source can feed ``start_landing``.
+    """
+    parsed = F.from_json(
+        F.col(col), RAW_ITEM_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    )
+    raw = df.select(parsed.alias("_p")).select("_p.*")
+    # from_json gives a NULL struct for the literal line "null"
+    fixed = raw.withColumn(
+        CORRUPT, F.when(F.col("id").isNull() & F.col(CORRUPT).isNull(), F.lit("null")).otherwise(F.col(CORRUPT))
+    )
+    return items_from_json(fixed)
+
+
 def read_item_batch(spark: SparkSession, path: str) -> DataFrame:
     """Batch twin of ``read_item_stream``."""
     raw = spark.read.schema(RAW_ITEM_SCHEMA).option("mode", "PERMISSIVE").option(
@@ -66,7 +83,7 @@ def batch_reasons(items: DataFrame) -> DataFrame:
 
 def start_landing(
     spark: SparkSession,
-    items_path: str,
+    items_path: str | DataFrame,
     root: str,
     checkpoint: str,
     metrics_path: str | None = None,
@@ -77,10 +94,15 @@ def start_landing(
 ):
     """Start the landing stream; returns the StreamingQuery.
 
+    ``items_path`` is a folder of JSON-lines files, or an already parsed
+    streaming DataFrame (``items_from_json_strings`` over any source).
     ``trigger`` defaults to ``{"availableNow": True}`` (drain and stop);
     pass ``{"processingTime": "30 seconds"}`` for a long-running job.
     """
-    items = read_item_stream(spark, items_path, max_files_per_trigger)
+    if isinstance(items_path, DataFrame):
+        items = items_path
+    else:
+        items = read_item_stream(spark, items_path, max_files_per_trigger)
 
     def land_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # used twice: reasons and landing
