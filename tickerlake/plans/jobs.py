@@ -32,10 +32,50 @@ def score_lake(spark: SparkSession, root: str, lexicon: DataFrame | None = None,
     return lake.write_sentiment(scored, root)
 
 
-def write_bars(spark: SparkSession, root: str, prints: DataFrame) -> int:
-    """Resample trade prints to one-minute bars and rewrite those partitions."""
+def select_prints(
+    spark: SparkSession,
+    root: str,
+    prints: DataFrame,
+    tickers: DataFrame | None = None,
+    mentioned_only: bool = False,
+    window_minutes: int | None = None,
+) -> DataFrame:
+    """Prints restricted the way a bar build is scoped.
+
+    ``tickers`` (a one-column ``ticker`` table, e.g. from
+    ``features.universe``) or, with ``mentioned_only``, the tickers mentioned
+    in the scored table; ``window_minutes`` keeps a window of that length
+    centred on the raw events' time range (one scalar row is read back to
+    build the filter, which then reaches the prints scan).
+    """
     prepare_session(spark)
-    return lake.write_market(bars.resample_prints(prints), root)
+    if tickers is None and mentioned_only:
+        tickers = features.distinct_tickers(lake.read_sentiment(spark, root))
+    if tickers is not None:
+        prints = features.restrict_to_universe(prints, tickers)
+    if window_minutes is not None:
+        b = features.event_bounds(lake.read_events(spark, root), window_minutes).first()
+        if b is not None and b["anchor_ts"] is not None:
+            start_us = int(b["anchor_ts"]) * 1000
+            end_us = start_us + int(window_minutes) * 60_000_000
+            prints = prints.filter((prints["trade_us"] >= start_us) & (prints["trade_us"] < end_us))
+    return prints
+
+
+def write_bars(
+    spark: SparkSession,
+    root: str,
+    prints: DataFrame,
+    tickers: DataFrame | None = None,
+    mentioned_only: bool = False,
+    window_minutes: int | None = None,
+) -> int:
+    """Resample trade prints to one-minute bars and rewrite those partitions.
+
+    Returns the number of bars written; an empty selection writes nothing.
+    """
+    selected = select_prints(spark, root, prints, tickers, mentioned_only, window_minutes)
+    return lake.write_market(bars.resample_prints(selected), root)
 
 
 def summarize(spark: SparkSession, root: str, limit: int | None = 50) -> DataFrame:

@@ -284,6 +284,16 @@ def q_market_lake(spark, sf_dir):
     return lake.read_market(spark, root).select("ticker", "ts", "open", "high", "low", "close", "volume", "dt", "hr")
 
 
+def q_market_window(spark, sf_dir):
+    """Bars for the mentioned tickers only, in a window centred on the events."""
+    from tickerlake.plans import jobs
+
+    root = _landed_lake(spark, sf_dir)
+    jobs.score_lake(spark, root, scored_ts=QP.SCORED_TS)
+    jobs.write_bars(spark, root, fixtures.prints(spark, sf_dir), mentioned_only=True, window_minutes=QP.BAR_MINUTES)
+    return lake.read_market(spark, root).select("ticker", "ts", "open", "high", "low", "close", "volume")
+
+
 # --- streaming ----------------------------------------------------------------
 
 STREAM_COLS = ["source", "event_id", "event_ts", "ingested_ts", "author", "text", "url", "dt", "hr"]
