@@ -39,17 +39,22 @@ CASHTAG_PATTERN = r"\$([A-Z]{1,5})\b"
 BARE_PATTERN = r"\b([A-Z]{2,5})\b"
 # ---------------------------------------------------------------------------
 
-# Java's \b follows Unicode word characters only with (?U); Python's str
-# regexes are Unicode by default, so the flag keeps "éAAPL" from matching.
-_UNICODE = "(?U)"
+# The patterns above follow Python's str-regex semantics, where a word
+# character is a Unicode letter or number, or "_". Java's \b differs (it
+# counts combining marks after a letter as word characters, with or without
+# (?U)), so the boundaries are written out as look-arounds on that class.
+WORD_CHAR = r"[\p{L}\p{N}_]"
+_CASHTAG_JAVA = r"\$([A-Z]{1,5})(?!" + WORD_CHAR + ")"
+# (?=[A-Z]) first: most positions fail on one cheap test before the look-behind.
+_BARE_JAVA = r"(?=[A-Z])(?<!" + WORD_CHAR + r")([A-Z]{2,5})(?!" + WORD_CHAR + ")"
 
 
 def cashtag_candidates(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_UNICODE + CASHTAG_PATTERN), 1)
+    return F.regexp_extract_all(text, F.lit(_CASHTAG_JAVA), 1)
 
 
 def bare_candidates(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_UNICODE + BARE_PATTERN), 1)
+    return F.regexp_extract_all(text, F.lit(_BARE_JAVA), 1)
 
 
 def ticker_candidates(text: Column) -> Column:
