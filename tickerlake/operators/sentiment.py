@@ -113,6 +113,9 @@ def token_contributions(
         F.explode_outer(ctx).alias("_c"),
     ).select(*group_cols, "_c.i", "_c.t", "_c.p1", "_c.p2", "_c.p3")
 
+    # The lexicon is a small parameter table: one partition, so deduplicating
+    # it by token needs no shuffle.
+    lexicon = lexicon.coalesce(1)
     words = bounded_broadcast(
         lexicon.filter(F.col("kind") == "word")
         .groupBy("token")
