@@ -52,3 +52,15 @@ def test_entry_runs(spark):
         "close_now", "close_fwd_5m", "fwd_ret_5m",
     ]
     assert set(entry_mod.oracle_sql()) <= set(entry_mod.queries())
+
+
+def test_tune_for_input(spark):
+    from tickerlake.session import tune_for_input
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert tune_for_input(spark, 100 * 1024**4) == 50_000
+        assert tune_for_input(spark, 10 * 1024**3) == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))

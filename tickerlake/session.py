@@ -73,3 +73,22 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared scratch folder."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def tune_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024) -> int:
+    """Size scan splits and shuffle partitions for an input of ``input_bytes``.
+
+    Scan splits and the AQE advisory size are set to ``target_partition_bytes``;
+    the initial shuffle partition count is input / target, clamped to
+    [200, 50000] (AQE then coalesces small partitions and splits skewed
+    ones). At 100 TB the clamp gives 50,000 partitions of about 2 GB of
+    scanned input each; after projection and map-side aggregation the
+    shuffled bytes are a fraction of that. Returns the count set.
+    """
+    n = max(200, min(50_000, -(-int(input_bytes) // int(target_partition_bytes))))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_partition_bytes))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    return n
