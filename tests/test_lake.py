@@ -78,3 +78,26 @@ def test_schema_drift_fails_loudly(spark, lake_root):
     bad = spark.createDataFrame([("s", 1, 2)], "source string, event_id long, event_ts long")
     with pytest.raises(SchemaDrift):
         lake.land_events(spark, bad, lake_root)
+
+
+def test_max_records_per_file(spark, lake_root):
+    ts = datetime(2026, 4, 30, 14, 30)
+    df = events_df(spark, [("test", str(i), ts, f"e{i}") for i in range(10)])
+    lake.land_events(spark, df, lake_root, max_records_per_file=3)
+    files = glob.glob(os.path.join(lake_root, "source=test", "dt=2026-04-30", "hr=14", "*.parquet"))
+    assert len(files) >= 4
+    assert lake.read_events(spark, lake_root).count() == 10
+
+
+def test_incremental_scoring_touches_only_its_window(spark, lake_root):
+    from datetime import date
+
+    from tickerlake.plans import jobs
+
+    rows = [("s", "1", datetime(2026, 4, 30, 14, 0), "love $AAPL"), ("s", "2", datetime(2026, 5, 2, 9, 0), "bad $MSFT")]
+    lake.land_events(spark, events_df(spark, rows), lake_root)
+    assert jobs.score_lake(spark, lake_root, scored_ts=1, since=date(2026, 5, 1)) == 1
+    assert [r.event_id for r in lake.read_sentiment(spark, lake_root).collect()] == ["2"]
+    assert jobs.score_lake(spark, lake_root, scored_ts=2, until=date(2026, 4, 30)) == 1
+    got = {r.event_id: r.scored_ts for r in lake.read_sentiment(spark, lake_root).collect()}
+    assert got == {"1": 2, "2": 1}

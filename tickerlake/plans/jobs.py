@@ -21,13 +21,23 @@ def land(spark: SparkSession, events: DataFrame, root: str) -> int:
     return lake.land_events(spark, events, root)
 
 
-def score_lake(spark: SparkSession, root: str, lexicon: DataFrame | None = None, scored_ts: int | None = None) -> int:
-    """Score every raw event and rewrite the sentiment partitions it touches.
+def score_lake(
+    spark: SparkSession,
+    root: str,
+    lexicon: DataFrame | None = None,
+    scored_ts: int | None = None,
+    since=None,
+    until=None,
+) -> int:
+    """Score raw events and rewrite the sentiment partitions they touch.
 
-    Returns the number of events scored (0 on an empty lake).
+    ``since``/``until`` (dates, inclusive) limit the run to those raw
+    partitions (pruned at the scan) for incremental scoring; only the
+    matching sentiment partitions are replaced. Returns the number of
+    events scored (0 on an empty lake or window).
     """
     prepare_session(spark)
-    events = lake.read_events(spark, root)
+    events = lake.read_events(spark, root, since=since, until=until)
     scored = score_events(events, lexicon if lexicon is not None else lexicon_df(spark), scored_ts)
     return lake.write_sentiment(scored, root)
 

@@ -100,7 +100,14 @@ def with_hour_partitions(df: DataFrame, ts_col: str) -> DataFrame:
     return df.withColumn("dt", dt_of(F.col(ts_col))).withColumn("hr", hr_of(F.col(ts_col)))
 
 
-def write_partitioned(df: DataFrame, path: str, partitions: list[str], order_by: str, mode: str) -> int:
+def write_partitioned(
+    df: DataFrame,
+    path: str,
+    partitions: list[str],
+    order_by: str,
+    mode: str,
+    max_records_per_file: int | None = None,
+) -> int:
     """Write ``df`` partitioned by ``partitions``; rows ordered by ``order_by`` in each file.
 
     The rebalance hint hash-partitions by the partition columns and lets AQE
@@ -109,20 +116,22 @@ def write_partitioned(df: DataFrame, path: str, partitions: list[str], order_by:
     instead of one file per task per partition. With mode "overwrite" and
     dynamic partition overwrite only the partitions present are replaced.
 
-    Returns the number of rows written (observed during the write, no
-    second pass).
+    ``max_records_per_file`` caps file size in rows (the size-based flush of
+    a micro-batch sink). Returns the number of rows written (observed during
+    the write, no second pass).
     """
     obs = Observation()
-    (
+    writer = (
         df.observe(obs, F.count(F.lit(1)).alias("rows"))
         .hint("rebalance", *partitions)
         .sortWithinPartitions(*partitions, order_by)
         .write.mode(mode)
         .option("compression", COMPRESSION)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
-        .parquet(path)
     )
+    if max_records_per_file:
+        writer = writer.option("maxRecordsPerFile", str(int(max_records_per_file)))
+    writer.partitionBy(*partitions).parquet(path)
     return _observed_rows(obs)
 
 
@@ -135,7 +144,7 @@ def _observed_rows(obs: Observation) -> int:
         return 0
 
 
-def land_events(spark: SparkSession, df: DataFrame, root: str) -> int:
+def land_events(spark: SparkSession, df: DataFrame, root: str, max_records_per_file: int | None = None) -> int:
     """Append events to the raw lake so that re-landing adds nothing.
 
     Incoming rows are deduplicated on (source, event_id), then anti-joined
@@ -147,7 +156,7 @@ def land_events(spark: SparkSession, df: DataFrame, root: str) -> int:
     base = root.rstrip("/")
     if not _glob_matches(spark, f"{base}/source=*"):
         # Fresh lake: nothing to anti-join against.
-        return write_partitioned(incoming, base, EVENT_PARTITIONS, "event_ts", "append")
+        return write_partitioned(incoming, base, EVENT_PARTITIONS, "event_ts", "append", max_records_per_file)
     bounds = incoming.agg(F.min("dt").alias("lo"), F.max("dt").alias("hi")).first()
     if bounds is None or bounds["lo"] is None:
         return 0
@@ -157,7 +166,7 @@ def land_events(spark: SparkSession, df: DataFrame, root: str) -> int:
         .select("source", "dt", "hr", "event_id")
     )
     fresh = incoming.join(existing, ["source", "dt", "hr", "event_id"], "left_anti")
-    return write_partitioned(fresh, root.rstrip("/"), EVENT_PARTITIONS, "event_ts", "append")
+    return write_partitioned(fresh, root.rstrip("/"), EVENT_PARTITIONS, "event_ts", "append", max_records_per_file)
 
 
 def overwrite_events(df: DataFrame, root: str) -> int:
