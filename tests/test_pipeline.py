@@ -123,3 +123,16 @@ def test_drawdown_matches_running_max(spark):
     assert set(got) == set(expect)
     for b, v in expect.items():
         assert abs(got[b] - v) < 1e-9
+
+
+def test_market_merge_keeps_other_tickers(spark, lake_root):
+    start = datetime(2026, 5, 2, 13, 30)
+    jobs.write_bars(spark, lake_root, _prints(spark, ["AAPL"], start, 10))
+    # plain rewrite of the same hours drops AAPL (partition replaced)
+    jobs.write_bars(spark, lake_root, _prints(spark, ["MSFT"], start, 10))
+    assert {r.ticker for r in lake.read_market(spark, lake_root).collect()} == {"MSFT"}
+    # merge keeps MSFT and adds AAPL; re-merging changes nothing
+    jobs.write_bars(spark, lake_root, _prints(spark, ["AAPL"], start, 10), merge=True)
+    jobs.write_bars(spark, lake_root, _prints(spark, ["AAPL"], start, 10), merge=True)
+    m = lake.read_market(spark, lake_root)
+    assert {r.ticker for r in m.collect()} == {"AAPL", "MSFT"} and m.count() == 20

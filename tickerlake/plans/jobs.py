@@ -79,13 +79,21 @@ def write_bars(
     tickers: DataFrame | None = None,
     mentioned_only: bool = False,
     window_minutes: int | None = None,
+    merge: bool = False,
 ) -> int:
-    """Resample trade prints to one-minute bars and rewrite those partitions.
+    """Resample trade prints to one-minute bars and write them.
 
-    Returns the number of bars written; an empty selection writes nothing.
+    By default the touched (dt, hr) partitions are replaced (tickers not in
+    this run disappear from them); ``merge=True`` upserts by (ticker, ts)
+    instead. Returns the number of rows written.
     """
     selected = select_prints(spark, root, prints, tickers, mentioned_only, window_minutes)
-    return lake.write_market(bars.resample_prints(selected), root)
+    new_bars = bars.resample_prints(selected)
+    if merge:
+        from tickerlake.session import scratch_path
+
+        return lake.merge_market(spark, new_bars, root, scratch_path(spark, "market-merge"))
+    return lake.write_market(new_bars, root)
 
 
 def summarize(spark: SparkSession, root: str, limit: int | None = 50) -> DataFrame:

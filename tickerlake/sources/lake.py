@@ -187,6 +187,33 @@ def write_market(df: DataFrame, root: str) -> int:
     return write_partitioned(out, market_root(root), MARKET_PARTITIONS, "ts", "overwrite")
 
 
+def merge_market(spark: SparkSession, df: DataFrame, root: str, staging: str) -> int:
+    """Upsert bars by (ticker, ts): touched (dt, hr) partitions keep bars of
+    tickers not in ``df`` instead of being replaced wholesale.
+
+    Existing bars of the touched dates are read (partition-pruned), those
+    not superseded by ``df`` are kept, and the union is staged under
+    ``staging`` (shared scratch) before the dynamic overwrite, because a job
+    must not overwrite the files it reads. Returns the rows written.
+    """
+    new = with_hour_partitions(conform(df, BAR_SCHEMA), "ts")
+    base = market_root(root)
+    if not _glob_matches(spark, f"{base}/dt=*"):
+        return write_partitioned(new, base, MARKET_PARTITIONS, "ts", "overwrite")
+    b = new.agg(F.min("dt").alias("lo"), F.max("dt").alias("hi")).first()
+    if b is None or b["lo"] is None:
+        return 0
+    existing = read_market(spark, root, since=b["lo"], until=b["hi"])
+    touched = new.select("dt", "hr").distinct()
+    kept = existing.join(touched, ["dt", "hr"], "left_semi").join(new.select("ticker", "ts"), ["ticker", "ts"], "left_anti")
+    merged = new.unionByName(kept.select(*new.columns))
+    write_partitioned(merged, staging, MARKET_PARTITIONS, "ts", "overwrite")
+    staged = _read(spark, staging, f"{staging}/dt=*", BAR_SCHEMA, MARKET_PARTITIONS)
+    n = write_partitioned(staged, base, MARKET_PARTITIONS, "ts", "overwrite")
+    delete_path(spark, staging)
+    return n
+
+
 def has_files(spark: SparkSession, path: str) -> bool:
     """True when ``path`` holds at least one Parquet file (any file system).
 
