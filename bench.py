@@ -56,6 +56,7 @@ def main() -> None:
     warm = "/root/testdata/sf0.001" if os.path.isdir("/root/testdata/sf0.001") else sf_dir
     for name in HEADLINE:
         _run(qs[name](spark, warm))
+    lake.land_events(spark, fixtures.landing_feed(spark, warm), scratch_path(spark, "bench-warm"))
     spark.catalog.clearCache()
 
     times: dict[str, float] = {}
