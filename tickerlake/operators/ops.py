@@ -79,28 +79,43 @@ def rate_guard(events: DataFrame, budget_per_hour: int, drop_ratio: float = 0.5)
     )
 
 
-def pipeline_metrics(events: DataFrame, scored: DataFrame | None = None) -> DataFrame:
-    """(name, source, value) counters of a run, computed from the data.
-
-    Names follow the pipeline stages: events_out and partitions per source,
-    and (with a scored table) score.events_out and score.with_tickers.
+def pipeline_metrics(
+    events: DataFrame,
+    scored: DataFrame | None = None,
+    items: DataFrame | None = None,
+    item_source: str = "forum",
+) -> DataFrame:
+    """(name, source, reason, value) counters of a run, computed from the data.
+
+    Names follow the pipeline stages: ``ingest.events_in`` and
+    ``ingest.events_skipped`` (by reason) for raw items, ``sink.events_out``
+    and ``sink.partitions`` per source for the landed events, and (with a
+    scored table) ``score.events_out`` and ``score.with_tickers``.
     """
+    from tickerlake.operators.ingest import reject_counts
+
+    def rows(df: DataFrame, name: str, value: str, reason=None) -> DataFrame:
+        return df.select(
+            F.lit(name).alias("name"),
+            F.col("source"),
+            (F.col(reason) if reason else F.lit(None).cast("string")).alias("reason"),
+            F.col(value).cast("long").alias("value"),
+        )
+
     ev = events.groupBy("source").agg(
         F.count(F.lit(1)).alias("events_out"),
         F.countDistinct("dt", "hr").alias("partitions"),
     )
-    parts = [
-        ev.select(F.lit("sink.events_out").alias("name"), "source", F.col("events_out").cast("long").alias("value")),
-        ev.select(F.lit("sink.partitions").alias("name"), "source", F.col("partitions").cast("long").alias("value")),
-    ]
+    parts = [rows(ev, "sink.events_out", "events_out"), rows(ev, "sink.partitions", "partitions")]
     if scored is not None:
         sc = scored.groupBy("source").agg(
             F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("tickers") > 0, True)).alias("t")
         )
-        parts.append(sc.select(F.lit("score.events_out").alias("name"), "source", F.col("n").cast("long").alias("value")))
-        parts.append(
-            sc.select(F.lit("score.with_tickers").alias("name"), "source", F.col("t").cast("long").alias("value"))
-        )
+        parts += [rows(sc, "score.events_out", "n"), rows(sc, "score.with_tickers", "t")]
+    if items is not None:
+        rc = reject_counts(items).withColumn("source", F.lit(item_source))
+        total = rc.groupBy("source").agg(F.sum("n").alias("n"))
+        parts += [rows(total, "ingest.events_in", "n"), rows(rc.filter(F.col("reason") != "accepted"), "ingest.events_skipped", "n", "reason")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

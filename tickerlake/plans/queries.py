@@ -241,7 +241,9 @@ def q_rate_guard(spark, sf_dir):
 
 
 def q_pipeline_metrics(spark, sf_dir):
-    return ops.pipeline_metrics(lake_events(spark, sf_dir), scored_feed(spark, sf_dir))
+    return ops.pipeline_metrics(
+        lake_events(spark, sf_dir), scored_feed(spark, sf_dir), fixtures.items(spark, sf_dir), QP.ITEM_SOURCE
+    )
 
 
 def q_storage_cost(spark, sf_dir):
