@@ -34,20 +34,24 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Data
 
 
 def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread ``df`` round-robin when its scan yields fewer partitions than cores.
+    """Spread ``df`` by a row hash when its input would give fewer splits than cores.
 
     For CPU-heavy per-row work (tokenising long texts) on inputs stored as
-    few large row groups. Reading the partition count plans the scan but
-    runs no job. On a large input (thousands of splits) this is a no-op, so
-    no shuffle is added where the scan already gives enough tasks.
+    few large files. The split count is estimated from the optimizer's size
+    estimate and ``spark.sql.files.maxPartitionBytes`` (no job is run). On a
+    large input the estimate is far above the core count and this is a
+    no-op, so no shuffle is added where the scan already gives enough tasks.
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
+    size = estimated_bytes(df)
+    if size is None:
+        return df
     try:
-        n = df.rdd.getNumPartitions()
+        split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     except Exception:  # pragma: no cover
-        return df
-    if n >= target:
+        split = 128 * 1024 * 1024
+    if -(-size // max(split, 1)) >= target:
         return df
     # Hash of the whole row: deterministic on retry without the local sort a
     # round-robin repartition needs.
