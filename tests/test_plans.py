@@ -64,3 +64,19 @@ def test_tune_for_input(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
+
+
+def test_landing_reads_back_only_touched_hours(spark, lake_root):
+    rows = [("s", str(i), datetime(2026, 4, 30, h, 0), "x") for i, h in enumerate(range(0, 24))]
+    lake.land_events(spark, events_df(spark, rows), lake_root)
+    existing = lake.read_events(spark, lake_root).select("source", "dt", "hr", "event_id")
+    key = F.concat_ws("|", F.col("source"), F.col("dt").cast("string"), F.col("hr"))
+    pruned = existing.filter(key.isin(["s|2026-04-30|05"]))
+    plan = _plan(pruned)
+    part_filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "concat_ws" in part_filters  # evaluated on partition values, not rows
+    assert pruned.count() == 1
+    # landing a batch for that hour again adds nothing, other hours untouched
+    again = [("s", "5", datetime(2026, 4, 30, 5, 0), "x"), ("s", "new", datetime(2026, 4, 30, 5, 0), "y")]
+    assert lake.land_events(spark, events_df(spark, again), lake_root) == 1
+    assert lake.read_events(spark, lake_root).count() == 25

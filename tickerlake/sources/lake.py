@@ -144,29 +144,40 @@ def _observed_rows(obs: Observation) -> int:
         return 0
 
 
+# Above this many touched (source, dt, hr) partitions a landing batch is
+# matched against a date range instead of an explicit partition list.
+MAX_PARTITION_LIST = 5000
+
+
 def land_events(spark: SparkSession, df: DataFrame, root: str, max_records_per_file: int | None = None) -> int:
     """Append events to the raw lake so that re-landing adds nothing.
 
     Incoming rows are deduplicated on (source, event_id), then anti-joined
-    with the rows already in the lake for the dates the batch touches (a
-    one-row min/max gives a static partition filter, so the rest of the lake
-    is not read). Returns the number of rows appended.
+    with the rows already in the lake *in the partitions the batch touches*:
+    the batch's distinct (source, dt, hr) keys (a few per micro-batch) are
+    read back to the driver and become a partition filter, so only those
+    hour partitions of the lake are scanned (column-pruned to the key).
+    Very wide batches fall back to their date range. Returns the number of
+    rows appended.
     """
     incoming = with_hour_partitions(conform(df, EVENT_SCHEMA), "event_ts").dropDuplicates(["source", "event_id"])
     base = root.rstrip("/")
     if not _glob_matches(spark, f"{base}/source=*"):
         # Fresh lake: nothing to anti-join against.
         return write_partitioned(incoming, base, EVENT_PARTITIONS, "event_ts", "append", max_records_per_file)
-    bounds = incoming.agg(F.min("dt").alias("lo"), F.max("dt").alias("hi")).first()
-    if bounds is None or bounds["lo"] is None:
+    existing = read_events(spark, root).select("source", "dt", "hr", "event_id")
+    keys = incoming.select("source", "dt", "hr").distinct().limit(MAX_PARTITION_LIST + 1).collect()
+    if not keys:
         return 0
-    existing = (
-        read_events(spark, root)
-        .filter(F.col("dt").between(bounds["lo"], bounds["hi"]))
-        .select("source", "dt", "hr", "event_id")
-    )
+    if len(keys) <= MAX_PARTITION_LIST:
+        wanted = [f"{k['source']}|{k['dt']}|{k['hr']}" for k in keys]
+        key = F.concat_ws("|", F.col("source"), F.col("dt").cast("string"), F.col("hr"))
+        existing = existing.filter(key.isin(wanted))
+    else:
+        b = incoming.agg(F.min("dt").alias("lo"), F.max("dt").alias("hi")).first()
+        existing = existing.filter(F.col("dt").between(b["lo"], b["hi"]))
     fresh = incoming.join(existing, ["source", "dt", "hr", "event_id"], "left_anti")
-    return write_partitioned(fresh, root.rstrip("/"), EVENT_PARTITIONS, "event_ts", "append", max_records_per_file)
+    return write_partitioned(fresh, base, EVENT_PARTITIONS, "event_ts", "append", max_records_per_file)
 
 
 def overwrite_events(df: DataFrame, root: str) -> int:
