@@ -62,10 +62,10 @@ def score_texts(
     """
     contrib, group_cols = token_contributions(df, lexicon, keep, text_col, params)
     per_row = contrib.groupBy(*group_cols).agg(
-        F.sum("_c").alias("_s"),
-        F.sum(F.when(F.col("_c") > 0, F.col("_c") + 1)).alias("_pos"),
-        F.sum(F.when(F.col("_c") < 0, F.col("_c") - 1)).alias("_neg"),
-        F.count(F.when(F.col("_c") != 0, True)).alias("_hits"),
+        F.sum("__c").alias("__s"),
+        F.sum(F.when(F.col("__c") > 0, F.col("__c") + 1)).alias("__pos"),
+        F.sum(F.when(F.col("__c") < 0, F.col("__c") - 1)).alias("__neg"),
+        F.count(F.when(F.col("__c") != 0, True)).alias("__hits"),
     )
     return per_row.select(*keep, *_finish(params))
 
@@ -84,19 +84,22 @@ def token_contributions(
     are not lexicon words.
     """
     p = params
+    clash = [c for c in keep if c.startswith("__") or c == text_col]
+    if clash:
+        raise ValueError(f"keep columns may not start with '__' or be the text column: {clash}")
     base = (
-        ensure_parallelism(df.select(*keep, F.col(text_col).alias("_text")))
-        .withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("_toks", tokens(F.col("_text"), p))
-        .withColumn("_excl", F.least(exclamations(F.col("_text")), F.lit(p.exclaim_cap)))
-        .drop("_text")
+        ensure_parallelism(df.select(*keep, F.col(text_col).alias("__text")))
+        .withColumn("__row", F.monotonically_increasing_id())
+        .withColumn("__toks", tokens(F.col("__text"), p))
+        .withColumn("__excl", F.least(exclamations(F.col("__text")), F.lit(p.exclaim_cap)))
+        .drop("__text")
     )
     # Per-text values are computed before the explode, so the token array is
     # not carried into (copied onto) every generated row.
-    base = base.withColumn("_n_tok", F.size("_toks")).withColumn(
-        "_but", F.array_position("_toks", p.contrast_word)
+    base = base.withColumn("__n_tok", F.size("__toks")).withColumn(
+        "__but", F.array_position("__toks", p.contrast_word)
     )
-    toks = F.col("_toks")
+    toks = F.col("__toks")
 
     def prev(i: Column, k: int) -> Column:
         return F.when(i >= k, toks[i - k])
@@ -104,14 +107,15 @@ def token_contributions(
     ctx = F.transform(
         toks,
         lambda t, i: F.struct(
-            (i + 1).alias("i"), t.alias("t"), prev(i, 1).alias("p1"), prev(i, 2).alias("p2"), prev(i, 3).alias("p3")
+            (i + 1).alias("__i"), t.alias("__t"), prev(i, 1).alias("__p1"), prev(i, 2).alias("__p2"),
+            prev(i, 3).alias("__p3")
         ),
     )
-    group_cols = [*keep, "_row", "_n_tok", "_but", "_excl"]
+    group_cols = [*keep, "__row", "__n_tok", "__but", "__excl"]
     exploded = base.select(
         *group_cols,
-        F.explode_outer(ctx).alias("_c"),
-    ).select(*group_cols, "_c.i", "_c.t", "_c.p1", "_c.p2", "_c.p3")
+        F.explode_outer(ctx).alias("__c"),
+    ).select(*group_cols, "__c.__i", "__c.__t", "__c.__p1", "__c.__p2", "__c.__p3")
 
     # The lexicon is a small parameter table: one partition, so deduplicating
     # it by token needs no shuffle.
@@ -119,8 +123,8 @@ def token_contributions(
     words = bounded_broadcast(
         lexicon.filter(F.col("kind") == "word")
         .groupBy("token")
-        .agg(F.max(F.col("valence")).cast(VALENCE_TYPE).alias("_v"))
-        .withColumnRenamed("token", "_wtok")
+        .agg(F.max(F.col("valence")).cast(VALENCE_TYPE).alias("__v"))
+        .withColumnRenamed("token", "__wtok")
     )
     mods = (
         lexicon.filter(F.col("kind").isin("booster", "negator"))
@@ -131,57 +135,59 @@ def token_contributions(
         )
     )
 
-    j = exploded.join(words, exploded["t"] == words["_wtok"], "left").drop("_wtok")
+    j = exploded.join(words, exploded["__t"] == words["__wtok"], "left").drop("__wtok")
     # Only lexicon words contribute; the first token row of each text is kept
     # so texts without hits still reach the aggregate (i is NULL for texts
     # without tokens). This cuts the rows probed and aggregated to ~hits.
-    j = j.filter(F.col("_v").isNotNull() | F.col("i").isNull() | (F.col("i") == 1))
+    j = j.filter(F.col("__v").isNotNull() | F.col("__i").isNull() | (F.col("__i") == 1))
     # The same broadcast modifier table is probed for each predecessor; the
     # three build sides are identical plans, so the exchange is reused.
     mods = bounded_broadcast(mods)
     for k in (1, 2, 3):
-        m = mods.alias(f"_m{k}")
-        key = F.when(F.col("_v").isNotNull(), F.col(f"p{k}"))
-        j = j.join(m, key == F.col(f"_m{k}.token"), "left").select(
-            *[j[c] for c in j.columns], F.col(f"_m{k}.b").alias(f"b{k}"), F.col(f"_m{k}.n").alias(f"n{k}")
+        m = mods.alias(f"__m{k}")
+        key = F.when(F.col("__v").isNotNull(), F.col(f"__p{k}"))
+        j = j.join(m, key == F.col(f"__m{k}.token"), "left").select(
+            *[j[c] for c in j.columns], F.col(f"__m{k}.b").alias(f"__b{k}"), F.col(f"__m{k}.n").alias(f"__n{k}")
         )
 
-    v = F.col("_v")
+    v = F.col("__v")
     d1, d2, d3 = (F.lit(str(x)).cast("decimal(3,2)") for x in p.booster_decay)
     boost = (
-        F.coalesce(F.col("b1"), F.lit(0).cast(VALENCE_TYPE)) * d1
-        + F.coalesce(F.col("b2"), F.lit(0).cast(VALENCE_TYPE)) * d2
-        + F.coalesce(F.col("b3"), F.lit(0).cast(VALENCE_TYPE)) * d3
+        F.coalesce(F.col("__b1"), F.lit(0).cast(VALENCE_TYPE)) * d1
+        + F.coalesce(F.col("__b2"), F.lit(0).cast(VALENCE_TYPE)) * d2
+        + F.coalesce(F.col("__b3"), F.lit(0).cast(VALENCE_TYPE)) * d3
     )
     signed = F.when(v < 0, v - boost).otherwise(v + boost)
-    negated = F.coalesce(F.col("n1"), F.lit(False)) | F.coalesce(F.col("n2"), F.lit(False)) | F.coalesce(
-        F.col("n3"), F.lit(False)
+    negated = (
+        F.coalesce(F.col("__n1"), F.lit(False))
+        | F.coalesce(F.col("__n2"), F.lit(False))
+        | F.coalesce(F.col("__n3"), F.lit(False))
     )
     neg_scaled = F.when(negated, signed * F.lit(str(p.negation_scalar)).cast("decimal(3,2)")).otherwise(signed)
-    but = F.col("_but")
+    but = F.col("__but")
     contrasted = (
-        F.when((but > 0) & (F.col("i") < but), neg_scaled * F.lit(str(p.before_contrast)).cast("decimal(2,1)"))
-        .when((but > 0) & (F.col("i") > but), neg_scaled * F.lit(str(p.after_contrast)).cast("decimal(2,1)"))
+        F.when((but > 0) & (F.col("__i") < but), neg_scaled * F.lit(str(p.before_contrast)).cast("decimal(2,1)"))
+        .when((but > 0) & (F.col("__i") > but), neg_scaled * F.lit(str(p.after_contrast)).cast("decimal(2,1)"))
         .otherwise(neg_scaled)
     )
     c = contrasted.cast(CONTRIB_TYPE)
-    return j.select(*group_cols, c.alias("_c")), group_cols
+    return j.select(*group_cols, c.alias("__c")), group_cols
 
 
 def _finish(p: ScoringParams) -> list[Column]:
     zero = F.lit(0).cast(CONTRIB_TYPE)
-    e = F.col("_excl").cast("decimal(4,0)") * F.lit(str(p.exclaim_step)).cast("decimal(4,3)")
-    s = F.coalesce(F.col("_s"), zero)
+    e = F.col("__excl").cast("decimal(4,0)") * F.lit(str(p.exclaim_step)).cast("decimal(4,3)")
+    s = F.coalesce(F.col("__s"), zero)
     s_emph = F.when(s > 0, s + e).when(s < 0, s - e).otherwise(s).cast("double")
     compound = s_emph / F.sqrt(s_emph * s_emph + F.lit(p.normaliser))
 
-    pos = F.coalesce(F.col("_pos"), zero)
-    neg = -F.coalesce(F.col("_neg"), zero)
-    neu = (F.col("_n_tok") - F.col("_hits")).cast("decimal(20,0)")
+    pos = F.coalesce(F.col("__pos"), zero)
+    neg = -F.coalesce(F.col("__neg"), zero)
+    neu = (F.col("__n_tok") - F.col("__hits")).cast("decimal(20,0)")
     pos_e = F.when(pos > neg, pos + e).otherwise(pos)
     neg_e = F.when(pos < neg, neg + e).otherwise(neg)
     total = (pos_e + neg_e + neu).cast("double")
-    empty = F.col("_n_tok") == 0
+    empty = F.col("__n_tok") == 0
     return [
         F.when(empty, 0.0).otherwise(compound).cast("float").alias("compound"),
         F.when(empty, 0.0).otherwise(pos_e.cast("double") / total).cast("float").alias("pos"),
