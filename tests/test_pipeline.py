@@ -136,3 +136,12 @@ def test_market_merge_keeps_other_tickers(spark, lake_root):
     jobs.write_bars(spark, lake_root, _prints(spark, ["AAPL"], start, 10), merge=True)
     m = lake.read_market(spark, lake_root)
     assert {r.ticker for r in m.collect()} == {"AAPL", "MSFT"} and m.count() == 20
+
+
+def test_empty_ticker_selection_is_a_noop(spark, lake_root):
+    from tickerlake.operators.features import universe
+
+    start = datetime(2026, 5, 2, 13, 30)
+    none = universe(spark.createDataFrame([(" , ",)], "symbols string"))
+    assert jobs.write_bars(spark, lake_root, _prints(spark, ["AAPL"], start, 10), tickers=none) == 0
+    assert lake.read_market(spark, lake_root).count() == 0
