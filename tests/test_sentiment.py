@@ -62,3 +62,10 @@ def test_worked_values(spark):
     # fantastic 2.6 + love 3.2 = 5.8 -> 5.8 / sqrt(5.8^2 + 15)
     s = _score(spark, ["fantastic love"])
     assert s[0]["compound"] == pytest.approx(5.8 / (5.8**2 + 15) ** 0.5, abs=1e-6)
+
+
+def test_all_caps_emphasis(spark):
+    s = _score(spark, ["this is great news", "this is GREAT news", "GREAT", "great", "THIS IS GREAT NEWS"])
+    assert s[1]["compound"] > s[0]["compound"]  # caps word among lower-case words
+    assert s[2]["compound"] == s[3]["compound"]  # all words caps: no emphasis
+    assert s[4]["compound"] == s[0]["compound"]

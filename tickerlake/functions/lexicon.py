@@ -118,7 +118,7 @@ class ScoringParams:
     same on every engine and in every summation order.
     """
 
-    # tokens: runs of letters, digits and apostrophes, lower-cased
+    # tokens: runs of letters, digits and apostrophes (lower-cased after splitting)
     token_pattern: str = r"[^\p{L}\p{N}']+"
     negation_scalar: Decimal = Decimal("-0.74")
     # weight of a booster 1, 2 and 3 tokens before the word
@@ -127,6 +127,7 @@ class ScoringParams:
     before_contrast: Decimal = Decimal("0.5")
     after_contrast: Decimal = Decimal("1.5")
     exclaim_step: Decimal = Decimal("0.292")
+    caps_step: Decimal = Decimal("0.733")
     exclaim_cap: int = 4
     normaliser: float = 15.0
 

@@ -9,11 +9,12 @@ text, never the text itself.
 
 Scores (compound in [-1, 1]; pos, neu, neg shares summing to 1):
 
-* token contribution = (valence + boosters) x negation x contrast, where a
-  booster 1-3 tokens before adds its scalar (decayed) in the direction of the
-  valence, a negator 1-3 tokens before multiplies by ``negation_scalar``,
-  and words before / after the first contrast word ("but") are weighted 0.5
-  / 1.5;
+* token contribution = (valence + boosters + caps) x negation x contrast,
+  where a booster 1-3 tokens before adds its scalar (decayed) in the
+  direction of the valence, an all-caps word in a text whose other words
+  are not all caps adds ``caps_step`` in that direction, a negator 1-3
+  tokens before multiplies by ``negation_scalar``, and words before / after
+  the first contrast word ("but") are weighted 0.5 / 1.5;
 * S = sum of contributions, moved away from 0 by ``exclaim_step`` per "!"
   (at most ``exclaim_cap``); compound = S / sqrt(S^2 + normaliser);
 * pos = sum(c + 1 for c > 0), neg = |sum(c - 1 for c < 0)|, neu = number of
@@ -37,12 +38,22 @@ CONTRIB_TYPE = "decimal(18,8)"
 VALENCE_TYPE = "decimal(6,3)"
 
 
-def tokens(text: Column, params: ScoringParams = DEFAULT_PARAMS) -> Column:
-    """Lower-cased word tokens of ``text`` (NULL treated as "")."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), params.token_pattern)
+def raw_tokens(text: Column, params: ScoringParams = DEFAULT_PARAMS) -> Column:
+    """Word tokens of ``text`` as written (NULL treated as "")."""
+    parts = F.split(F.coalesce(text, F.lit("")), params.token_pattern)
     return F.filter(parts, lambda t: t != "")
 
 
+def tokens(text: Column, params: ScoringParams = DEFAULT_PARAMS) -> Column:
+    """Lower-cased word tokens of ``text`` (split first, then lower-cased)."""
+    return F.transform(raw_tokens(text, params), lambda t: F.lower(t))
+
+
+def all_caps(t: Column) -> Column:
+    """Every cased character upper-case, and at least one cased character."""
+    return (t == F.upper(t)) & (t != F.lower(t))
+
+
 def exclamations(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     return F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))
@@ -90,16 +101,21 @@ def token_contributions(
     base = (
         ensure_parallelism(df.select(*keep, F.col(text_col).alias("__text")))
         .withColumn("__row", F.monotonically_increasing_id())
-        .withColumn("__toks", tokens(F.col("__text"), p))
+        .withColumn("__otoks", raw_tokens(F.col("__text"), p))
         .withColumn("__excl", F.least(exclamations(F.col("__text")), F.lit(p.exclaim_cap)))
         .drop("__text")
     )
-    # Per-text values are computed before the explode, so the token array is
-    # not carried into (copied onto) every generated row.
-    base = base.withColumn("__n_tok", F.size("__toks")).withColumn(
-        "__but", F.array_position("__toks", p.contrast_word)
+    # Per-text values are computed before the explode, so the token arrays
+    # are not carried into (copied onto) every generated row.
+    n_caps = F.size(F.filter(F.col("__otoks"), all_caps))
+    base = (
+        base.withColumn("__toks", F.transform("__otoks", lambda t: F.lower(t)))
+        .withColumn("__n_tok", F.size("__otoks"))
+        .withColumn("__capdiff", (n_caps > 0) & (n_caps < F.col("__n_tok")))
+        .withColumn("__but", F.array_position("__toks", p.contrast_word))
     )
     toks = F.col("__toks")
+    otoks = F.col("__otoks")
 
     def prev(i: Column, k: int) -> Column:
         return F.when(i >= k, toks[i - k])
@@ -107,15 +123,19 @@ def token_contributions(
     ctx = F.transform(
         toks,
         lambda t, i: F.struct(
-            (i + 1).alias("__i"), t.alias("__t"), prev(i, 1).alias("__p1"), prev(i, 2).alias("__p2"),
-            prev(i, 3).alias("__p3")
+            (i + 1).alias("__i"),
+            t.alias("__t"),
+            all_caps(otoks[i]).alias("__cap"),
+            prev(i, 1).alias("__p1"),
+            prev(i, 2).alias("__p2"),
+            prev(i, 3).alias("__p3"),
         ),
     )
-    group_cols = [*keep, "__row", "__n_tok", "__but", "__excl"]
+    group_cols = [*keep, "__row", "__n_tok", "__but", "__excl", "__capdiff"]
     exploded = base.select(
         *group_cols,
         F.explode_outer(ctx).alias("__c"),
-    ).select(*group_cols, "__c.__i", "__c.__t", "__c.__p1", "__c.__p2", "__c.__p3")
+    ).select(*group_cols, "__c.__i", "__c.__t", "__c.__cap", "__c.__p1", "__c.__p2", "__c.__p3")
 
     # The lexicon is a small parameter table: one partition, so deduplicating
     # it by token needs no shuffle.
@@ -157,7 +177,11 @@ def token_contributions(
         + F.coalesce(F.col("__b2"), F.lit(0).cast(VALENCE_TYPE)) * d2
         + F.coalesce(F.col("__b3"), F.lit(0).cast(VALENCE_TYPE)) * d3
     )
-    signed = F.when(v < 0, v - boost).otherwise(v + boost)
+    # An all-caps word in a text that also has other words is emphasised.
+    caps = F.when(F.col("__capdiff") & F.coalesce(F.col("__cap"), F.lit(False)), F.lit(str(p.caps_step)).cast(
+        "decimal(4,3)"
+    )).otherwise(F.lit(0).cast("decimal(4,3)"))
+    signed = F.when(v < 0, v - boost - caps).otherwise(v + boost + caps)
     negated = (
         F.coalesce(F.col("__n1"), F.lit(False))
         | F.coalesce(F.col("__n2"), F.lit(False))
