@@ -100,3 +100,17 @@ def test_progress_table(spark, tmp_path):
     q.awaitTermination()
     p = progress_table(spark, q)
     assert p.agg({"num_input_rows": "sum"}).first()[0] == fixtures.item_json_lines(spark, SF).count()
+
+
+def test_in_stream_dedup_option(spark, tmp_path):
+    base = str(tmp_path)
+    lines = fixtures.item_json_lines(spark, SF)
+    # the same items delivered twice in different files
+    fixtures.write_time_chunks(lines, f"{base}/in/a", chunks=1)
+    fixtures.write_time_chunks(lines, f"{base}/in/b", chunks=1)
+    q = sland.start_landing(
+        spark, f"{base}/in/*/*", f"{base}/lake", f"{base}/ckpt", ingested_ts=1, dedupe_within="1 hour"
+    )
+    q.awaitTermination()
+    got = lake.read_events(spark, f"{base}/lake")
+    assert got.count() == got.select("event_id").distinct().count() > 0

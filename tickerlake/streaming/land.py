@@ -91,9 +91,16 @@ def start_landing(
     ingested_ts: int | None = None,
     trigger: dict | None = None,
     max_files_per_trigger: int | None = None,
+    dedupe_within: str | None = None,
 ):
     """Start the landing stream; returns the StreamingQuery.
 
+    ``dedupe_within`` (e.g. "1 hour") drops repeated item ids inside the
+    stream before landing (``dropDuplicatesWithinWatermark`` on the item's
+    event time); repeats further apart are still caught by the anti-join
+    in ``land_events``, so this only saves work on chatty sources. Reject
+    counts are then taken after the dedup (missing items count once).
+
     ``items_path`` is a folder of JSON-lines files, or an already parsed
     streaming DataFrame (``items_from_json_strings`` over any source).
     ``trigger`` defaults to ``{"availableNow": True}`` (drain and stop);
@@ -103,6 +110,14 @@ def start_landing(
         items = items_path
     else:
         items = read_item_stream(spark, items_path, max_files_per_trigger)
+    if dedupe_within:
+        items = (
+            items.withColumn("__item_time", F.timestamp_seconds(F.coalesce(F.col("item.time"), F.lit(0))))
+            .withColumn("__item_id", F.coalesce(F.col("item.id").cast("string"), F.lit("")))
+            .withWatermark("__item_time", dedupe_within)
+            .dropDuplicatesWithinWatermark(["__item_id", "parse_error"])
+            .drop("__item_time", "__item_id")
+        )
 
     def land_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # used twice: reasons and landing
