@@ -27,3 +27,13 @@ def test_costs_blocks_match(spark):
     a = _rows(backtest.with_costs(sig, block_rows=8), cols)
     b = _rows(backtest.with_costs(sig, block_rows=100000), cols)
     assert a == b and len(a) > 0
+
+
+def test_auto_blocking_follows_size_estimate(spark):
+    from tickerlake.plans.windows import DEFAULT_BLOCK_ROWS, choose_block_rows
+
+    small = signal.per_minute(scored_feed(spark, SF))
+    huge = spark.range(10**12).toDF("x")
+    assert choose_block_rows(small, "auto") is None
+    assert choose_block_rows(huge, "auto") == DEFAULT_BLOCK_ROWS
+    assert choose_block_rows(huge, 128) == 128

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerlake.plans.sizing import bounded_broadcast
-from tickerlake.plans.windows import BLK, CTX, DEFAULT_BLOCK_ROWS, IDX, blocked_rows, finish
+from tickerlake.plans.windows import BLK, CTX, IDX, blocked_rows, choose_block_rows, finish
 
 # 5-minute holdings over a 6.5 h x 252 day trading year.
 PERIODS_PER_YEAR_5M = 252 * 6.5 * 12
@@ -111,14 +111,21 @@ def summary(signal: DataFrame) -> DataFrame:
     )
 
 
-def with_costs(signal: DataFrame, cost_bps: float = 1.0, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def with_costs(signal: DataFrame, cost_bps: float = 1.0, block_rows: int | str | None = "auto") -> DataFrame:
     """Per-row pnl net of a cost of ``cost_bps`` per unit of position change.
 
     Turnover is |pos - previous pos| within a ticker in bucket order (the
-    first row trades from flat). The previous row comes from a blocked
-    window (see ``plans.windows``), so no ticker's history sits in one task.
+    first row trades from flat). Unless the input is estimated small, the
+    previous row comes from a blocked window (see ``plans.windows``), so no
+    ticker's history sits in one task.
     """
     p = with_pnl(signal).select("ticker", "bucket", "pos", "pnl")
+    block_rows = choose_block_rows(p, block_rows)
+    cost = F.lit(cost_bps / 10_000.0)
+    if block_rows is None:
+        w0 = Window.partitionBy("ticker").orderBy("bucket")
+        t0 = F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(w0), F.lit(0)))
+        return p.select("ticker", "bucket", "pos", "pnl", t0.alias("turnover"), (F.col("pnl") - t0 * cost).alias("net_pnl"))
     spread, w = blocked_rows(p, "ticker", "bucket", lookback=1, block_rows=block_rows)
     turnover = F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0)))
     out = spread.select(

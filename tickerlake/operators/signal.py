@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tickerlake.functions.timecols import truncate
 from tickerlake.operators.bars import bar_closes, forward_return
-from tickerlake.plans.windows import BLK, CTX, DEFAULT_BLOCK_ROWS, IDX, blocked_rows, finish
+from tickerlake.plans.windows import BLK, CTX, IDX, blocked_rows, choose_block_rows, finish
 
 SHORT_ROWS = 5
 LONG_ROWS = 60
@@ -59,7 +59,7 @@ def _rolled_columns(w_short: Window, w_long: Window) -> list[Column]:
 def rolling(
     pm: DataFrame,
     frame: str = "rows",
-    block_rows: int | None = DEFAULT_BLOCK_ROWS,
+    block_rows: int | str | None = "auto",
     short_rows: int = SHORT_ROWS,
     long_rows: int = LONG_ROWS,
 ) -> DataFrame:
@@ -67,7 +67,8 @@ def rolling(
 
     ``frame="rows"`` (default, reference semantics) counts active minutes;
     ``frame="range"`` uses clock minutes. ``block_rows=None`` partitions
-    the window by ticker only (fine for short histories).
+    the window by ticker only; ``"auto"`` (default) does that only when the
+    input is estimated small and blocks otherwise.
     """
     if frame == "range":
         minute_no = F.expr("unix_seconds(CAST(bucket AS TIMESTAMP)) div 60")
@@ -79,6 +80,7 @@ def rolling(
     if frame != "rows":
         raise ValueError("frame must be 'rows' or 'range'")
 
+    block_rows = choose_block_rows(pm, block_rows)
     if block_rows is None:
         base = Window.partitionBy("ticker").orderBy("bucket")
         return pm.select(
@@ -126,7 +128,7 @@ def build_signal(
     bars: DataFrame,
     limit: int | None = 100,
     frame: str = "rows",
-    block_rows: int | None = DEFAULT_BLOCK_ROWS,
+    block_rows: int | str | None = "auto",
     on_overflow: str = "raise",
 ) -> DataFrame:
     """The 9-column signal table.

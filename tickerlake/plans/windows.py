@@ -22,9 +22,27 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerlake.plans.sizing import bounded_broadcast
+from tickerlake.plans.sizing import bounded_broadcast, estimated_bytes
 
 DEFAULT_BLOCK_ROWS = 4096
+# A per-key window over an input whose optimizer size estimate is below this
+# bound runs unblocked (fewer stages): no group can be much larger than the
+# whole input, and a few hundred MB fit one task (window buffers spill).
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+
+
+def choose_block_rows(df: DataFrame, block_rows: int | str | None) -> int | None:
+    """Resolve ``"auto"``: no blocking when ``df`` is estimated small, else the default.
+
+    Estimates of filters, projections and aggregates over a scan do not
+    exceed the scan (explodes can undercount by their fan-out, here a few
+    tickers per post), so a small estimate means every per-key group is
+    small. Unknown estimates block.
+    """
+    if block_rows != "auto":
+        return block_rows
+    size = estimated_bytes(df)
+    return None if size is not None and size <= SMALL_INPUT_BYTES else DEFAULT_BLOCK_ROWS
 IDX, BLK, CTX = "_idx", "_blk", "_ctx"
 
 
