@@ -88,11 +88,11 @@ def token_contributions(
     text_col: str = "text",
     params: ScoringParams = DEFAULT_PARAMS,
 ) -> tuple[DataFrame, list[str]]:
-    """Rows per text (group columns + ``_c``): one per lexicon-word token,
+    """Rows per text (group columns + ``__c``): one per lexicon-word token,
     plus the text's first token row so every text is present.
 
-    ``_c`` is the token's exact DECIMAL contribution, NULL for tokens that
-    are not lexicon words.
+    ``__c`` is the token's exact DECIMAL contribution, NULL for tokens that
+    are not lexicon words. Internal columns start with ``__``.
     """
     p = params
     clash = [c for c in keep if c.startswith("__") or c == text_col]
@@ -178,9 +178,8 @@ def token_contributions(
         + F.coalesce(F.col("__b3"), F.lit(0).cast(VALENCE_TYPE)) * d3
     )
     # An all-caps word in a text that also has other words is emphasised.
-    caps = F.when(F.col("__capdiff") & F.coalesce(F.col("__cap"), F.lit(False)), F.lit(str(p.caps_step)).cast(
-        "decimal(4,3)"
-    )).otherwise(F.lit(0).cast("decimal(4,3)"))
+    caps_on = F.col("__capdiff") & F.coalesce(F.col("__cap"), F.lit(False))
+    caps = F.when(caps_on, F.lit(str(p.caps_step)).cast("decimal(4,3)")).otherwise(F.lit(0).cast("decimal(4,3)"))
     signed = F.when(v < 0, v - boost - caps).otherwise(v + boost + caps)
     negated = (
         F.coalesce(F.col("__n1"), F.lit(False))
