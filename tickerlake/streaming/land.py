@@ -6,9 +6,10 @@ parsing); the cursor is the streaming checkpoint, so a restart resumes
 where it stopped instead of skipping ahead.
 
 Every micro-batch is landed with ``lake.land_events`` (dedup on
-(source, event_id) + anti-join with the touched dates), so a batch that is
-replayed after a failure adds nothing. Reject reasons are counted per batch
-with ``observe`` and appended to a small metrics table.
+(source, event_id) + anti-join with the touched hour partitions), so a batch
+that is replayed after a failure adds nothing. Reject reasons are counted per
+batch and written to a small metrics table (one folder per batch id,
+overwritten on replay).
 """
 
 from __future__ import annotations
