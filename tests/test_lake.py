@@ -101,3 +101,22 @@ def test_incremental_scoring_touches_only_its_window(spark, lake_root):
     assert jobs.score_lake(spark, lake_root, scored_ts=2, until=date(2026, 4, 30)) == 1
     got = {r.event_id: r.scored_ts for r in lake.read_sentiment(spark, lake_root).collect()}
     assert got == {"1": 2, "2": 1}
+
+
+def test_failed_landing_leaves_no_partial_files(spark, lake_root):
+    """A job that dies mid-write commits nothing; re-running it lands the batch once."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    ts = datetime(2026, 4, 30, 14, 30)
+    good = events_df(spark, [("test", str(i), ts, f"e{i}") for i in range(50)])
+    lake.land_events(spark, good.limit(10), lake_root)
+    # one row raises inside the tasks after others were already processed
+    bad = good.withColumn(
+        "text", F.when(F.col("event_id") == "42", F.raise_error(F.lit("boom"))).otherwise(F.col("text"))
+    )
+    with pytest.raises(Exception):
+        lake.land_events(spark, bad, lake_root)
+    assert lake.read_events(spark, lake_root).count() == 10
+    assert lake.land_events(spark, good, lake_root) == 40
+    assert lake.read_events(spark, lake_root).count() == 50
