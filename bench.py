@@ -7,8 +7,8 @@ Each query is executed in full through the no-op sink (every row is
 produced, nothing is collected to the driver). The first run of a session
 warms the JVM; each query is timed on its own run after one warm-up of the
 whole set, and the best of ``RUNS`` runs is kept. ``sink_events_per_sec``
-is the landing throughput (dedup + anti-join + partitioned zstd write) for comparison with the reference's
-single-process sink figure.
+is the landing throughput (dedup + anti-join + partitioned zstd write) for
+comparison with the reference's single-process sink figure.
 """
 
 from __future__ import annotations
