@@ -23,3 +23,19 @@ def test_cli_end_to_end(spark, tmp_path, capsys):
     assert main(["query", "--lake", root]) == 0
     out = capsys.readouterr().out
     assert "scored 40 events" in out and "wrote 35 bars" in out and "n_signals" in out
+
+
+def test_cli_ingest_and_views(spark, tmp_path, capsys):
+    from tickerlake.sources import fixtures
+
+    fixtures.write_time_chunks(fixtures.item_json_lines(spark, "/root/testdata/sf0.001"), str(tmp_path / "in"), chunks=2)
+    root = str(tmp_path / "lake")
+    args = ["--lake", root]
+    assert main(["ingest", *args, "--items", str(tmp_path / "in" / "*"), "--checkpoint", str(tmp_path / "ck")]) == 0
+    n = lake.read_events(spark, root).count()
+    assert n > 0
+    assert main(["score", *args]) == 0
+    assert main(["tickers", *args, "--grain", "hour", "--show", "3"]) == 0
+    assert main(["metrics", *args]) == 0
+    out = capsys.readouterr().out
+    assert f"scored {n} events" in out and "sink.events_out" in out
