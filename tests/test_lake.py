@@ -120,3 +120,17 @@ def test_failed_landing_leaves_no_partial_files(spark, lake_root):
     assert lake.read_events(spark, lake_root).count() == 10
     assert lake.land_events(spark, good, lake_root) == 40
     assert lake.read_events(spark, lake_root).count() == 50
+
+
+def test_storage_report(spark, lake_root):
+    from tickerlake.operators.ops import file_counts, storage_report
+    from tickerlake.sources import fixtures
+
+    feed = fixtures.landing_feed(spark, "/root/testdata/sf0.001")
+    lake.land_events(spark, feed, lake_root)
+    ev = lake.read_events(spark, lake_root)
+    r = storage_report(ev).first()
+    parts = file_counts(ev).collect()
+    assert r.rows == feed.count() == sum(p.rows for p in parts)
+    assert r.files == sum(p.files for p in parts) >= len(parts) > 0
+    assert r.bytes > 0 and r.bytes_per_row > 0 and r.usd_per_month > 0
