@@ -41,7 +41,27 @@ SELECT conv_id, count(*) AS n_turns,
 FROM esc GROUP BY conv_id
 """
 
-SQL = {"op10_url_cascade": OP10, "op5_chat_format": OP5}
+# Windows as strings; every occurrence marks its words.
+OP9 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS win
+  FROM b, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS u(s) WHERE len(w) > 0),
+spots AS (
+  SELECT doc_id, s, size, array_to_string(w[s : s + size - 1], ' ') AS win
+  FROM d, (SELECT DISTINCT size FROM wins) AS z, unnest(generate_series(1, len(w) - size + 1)) AS u(s)),
+hits AS (SELECT doc_id, s, spots.size, item_id FROM spots JOIN wins USING (win, size)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(generate_series(s, s + size - 1)) AS u(p) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+SQL = {"op9_decontaminate": OP9, "op10_url_cascade": OP10, "op5_chat_format": OP5}
 
 
 def oracle_sql() -> dict[str, str]:
