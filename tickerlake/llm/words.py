@@ -96,12 +96,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans(offs: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges whose bytes stay under ``limit``; a longer row is alone."""
+    """Ranges of under 2**16 rows whose bytes stay under ``limit``; a longer row is alone."""
     n, i = len(offs) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + 65_535)
+        yield i, j
+        i = j
 
 
 def chunks(column: pa.Array, breaks: np.ndarray = BLANKS, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
