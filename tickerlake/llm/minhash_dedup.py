@@ -119,30 +119,45 @@ def _sketch(docs: DataFrame, o: Options) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id bigint, key bigint, n_shingles bigint, digest bigint, tokens binary")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
-    """(digest, shingles) of the representatives in ``reps`` (digest, key).
+def _sets(docs: DataFrame, wanted: DataFrame, o: Options, packed: bool) -> DataFrame:
+    """(vertex, shingles) of the vertices in ``wanted`` (vertex = key of a representative).
 
-    A bitmap of the wanted keys keeps all other texts out of the pass; the
-    join drops the few it lets through.
+    A bitmap of the wanted keys keeps nearly all other texts out of the
+    pass; what slips through meets nothing in the joins that follow. Packed
+    sets are binary, six bytes a shingle; else arrays.
     """
-    at = F.col("key").bitwiseAND(F.lit(o.bitmap_bits - 1))
+    at = F.col("vertex").bitwiseAND(F.lit(o.bitmap_bits - 1))
     bit = F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))
-    marks = reps.groupBy(F.floor(at / 8).cast("int").alias("at")).agg(F.bit_or(bit).alias("octet")).toArrow()  # at most bitmap_bits / 8 rows
+    marks = wanted.groupBy(F.floor(at / 8).cast("int").alias("at")).agg(F.bit_or(bit).alias("octet")).toArrow()  # at most bitmap_bits / 8 rows
     table = np.zeros(o.bitmap_bits // 8, np.uint8)
     table[marks["at"].to_numpy()] = marks["octet"].to_numpy().astype(np.uint8)
     octet = F.conv(F.hex(F.substring(F.lit(bytearray(table.tobytes())), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    wanted = docs.where(F.getbit(octet, (at % 8).cast("int")) == 1)
+    some = docs.withColumnRenamed("key", "vertex").where(F.getbit(octet, (at % 8).cast("int")) == 1)
 
     def run(batches):
         for b in batches:
             for c in W.chunks(b.column("text")):
                 row, sh = shingle_sets(c, o.shingle)
                 offs = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=c.rows))]).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(offs), pa.array(sh.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("key").slice(c.first, c.rows), sets], names=["key", "shingles"])
+                if packed:
+                    raw = np.ascontiguousarray(sh.view(np.uint8).reshape(-1, 8)[:, :6])
+                    sets = pa.Array.from_buffers(pa.binary(), c.rows, [None, pa.py_buffer(offs * 6), pa.py_buffer(raw)])
+                else:
+                    sets = pa.ListArray.from_arrays(pa.array(offs), pa.array(sh.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("vertex").slice(c.first, c.rows), sets], names=["vertex", "shingles"])
+
+    found = some.select("vertex", "text").mapInArrow(run, "vertex bigint, shingles " + ("binary" if packed else "array<bigint>"))
+    return found.groupBy("vertex").agg(F.first("shingles").alias("shingles"))  # repeated rows have one key
 
-    found = wanted.select("key", "text").mapInArrow(run, "key bigint, shingles array<bigint>")
-    return found.join(reps, "key").select("digest", "shingles")
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, offsets) of packed sets."""
+    _, offs, data = column.buffers()
+    offs = np.frombuffer(offs, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :6] = raw
+    return wide.view(np.int64).ravel(), (offs - offs[0]) // 6
 
 
 def _token(i: Column) -> Column:
@@ -176,12 +191,12 @@ def _labels(link: np.ndarray) -> np.ndarray:
 
 
 def _likely(nodes: DataFrame, vertices: DataFrame, o: Options) -> DataFrame:
-    """(cluster, digest): members of small nodes whose tokens may reach the threshold."""
+    """(cluster, vertex): members of small nodes whose tokens may reach the threshold."""
     floor = o.threshold / 100 - 4 * (0.16 / o.positions) ** 0.5
 
     def run(batches):
         for t in _groups(batches, "node"):
-            node, digest = t["node"].to_numpy(), t["digest"].to_numpy()
+            node, vertex = t["node"].to_numpy(), t["vertex"].to_numpy()
             raw = t["tokens"].combine_chunks()
             tok = np.frombuffer(b"".join(raw.to_pylist()), np.uint32).reshape(-1, o.positions)
             edge = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
@@ -196,14 +211,14 @@ def _likely(nodes: DataFrame, vertices: DataFrame, o: Options) -> DataFrame:
                     same += own[:, p][:, None] == own[:, p][None, :]
                 label = _labels(same >= floor * o.positions)
                 for root in np.flatnonzero(np.bincount(label) > 1):
-                    members = np.sort(digest[i:j][label == root])
+                    members = np.sort(vertex[i:j][label == root])
                     out_c.append(np.full(len(members), W.mix(np.add.reduce(W.mix(members.view(np.uint64))).reshape(1)).view(np.int64)[0]))
                     out_d.append(members)
             if out_c:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_c)), pa.array(np.concatenate(out_d))], names=["cluster", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_c)), pa.array(np.concatenate(out_d))], names=["cluster", "vertex"])
 
-    rows = nodes.join(vertices.select("digest", "tokens"), "digest").select("node", "digest", "tokens")
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "cluster bigint, digest bigint").distinct()
+    rows = nodes.join(vertices.select("vertex", "tokens"), "vertex").select("node", "vertex", "tokens")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "cluster bigint, vertex bigint").distinct()
 
 
 def _confirmed(clusters: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
@@ -214,9 +229,8 @@ def _confirmed(clusters: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
 
     def run(batches):
         for t in _groups(batches, "cluster"):
-            cluster, digest = t["cluster"].to_numpy(), t["digest"].to_numpy()
-            lists = t["shingles"].combine_chunks()
-            flat, offs = lists.values.to_numpy(), lists.offsets.to_numpy()
+            cluster, vertex = t["cluster"].to_numpy(), t["vertex"].to_numpy()
+            flat, offs = _unpacked(t["shingles"].combine_chunks())
             edge = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1], [True]]))
             a, b = [], []
             for i, j in zip(edge[:-1], edge[1:]):
@@ -229,12 +243,12 @@ def _confirmed(clusters: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
                     shared = _shared(flat[offs[i] : offs[j]], np.repeat(np.arange(g), sizes), g)
                     np.fill_diagonal(shared, sizes)
                 label = _labels(linked(shared, sizes))
-                a.append(digest[i:j][label != np.arange(g)])
-                b.append(digest[i:j][label[label != np.arange(g)]])
+                a.append(vertex[i:j][label != np.arange(g)])
+                b.append(vertex[i:j][label[label != np.arange(g)]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    rows = clusters.join(sets, "digest").select("cluster", "digest", "shingles")
-    return rows.repartition("cluster").sortWithinPartitions("cluster", "digest").mapInArrow(run, "a bigint, b bigint")
+    rows = clusters.join(sets, "vertex").select("cluster", "vertex", "shingles")
+    return rows.repartition("cluster").sortWithinPartitions("cluster", "vertex").mapInArrow(run, "a bigint, b bigint")
 
 
 def _shared(items: np.ndarray, row: np.ndarray, g: int, width: int = 2048) -> np.ndarray:
@@ -257,35 +271,45 @@ def _shared(items: np.ndarray, row: np.ndarray, g: int, width: int = 2048) -> np
 
 def _dealt(rows: DataFrame, by: list[str], size: Column, half: int) -> Column:
     """Block of a row when ``size`` rows are dealt into blocks of about ``half``."""
-    return F.pmod(F.xxhash64("digest", *by), F.greatest(F.ceil(size / half), F.lit(1)))
+    return F.pmod(F.xxhash64("vertex", *by), F.greatest(F.ceil(size / half), F.lit(1)))
+
 
+def _alike(a: str, b: str, positions: int) -> Column:
+    """Share of equal minwise tokens, an estimate of the similarity."""
+    same = F.transform(F.sequence(F.lit(0), F.lit(positions - 1)), lambda i: (F.substring(F.col(a), i * 4 + 1, F.lit(4)) == F.substring(F.col(b), i * 4 + 1, F.lit(4))).cast("int"))
+    return F.aggregate(same, F.lit(0), lambda x, y: x + y) / positions
 
-def _remove_ball(large: DataFrame, sets: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links to hubs, clusters of ball and ring, rows left) of large nodes (node, digest, tokens)."""
+
+def _remove_ball(docs: DataFrame, large: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links to hubs, clusters of ball and ring, rows left) of large nodes (node, vertex, tokens)."""
     picks = F.array(*[_token(F.pmod(F.xxhash64("node", F.lit(i)), F.lit(o.positions))) for i in range(8)])
-    votes = large.select("node", "digest", F.posexplode(picks).alias("at", "token"))
+    votes = large.select("node", "vertex", F.posexplode(picks).alias("at", "token"))
     counted = votes.groupBy("node", "at", "token").agg(F.count(F.lit(1)).alias("n"))
     usual = counted.groupBy("node", "at").agg(F.max(F.struct("n", "token")).alias("top")).select("node", "at", F.col("top.token").alias("token"))
-    near = votes.join(usual, ["node", "at", "token"]).groupBy("node", "digest").agg(F.count(F.lit(1)).alias("n"))
-    hubs = near.groupBy("node").agg(F.max(F.struct("n", "digest")).alias("top")).select("node", F.col("top.digest").alias("hub"))
-    hubs = hubs.join(sets.withColumnsRenamed({"digest": "hub", "shingles": "hub_set"}), "hub")
-    met = large.select("node", "digest").join(hubs, "node").join(sets, "digest")
+    near = votes.join(usual, ["node", "at", "token"]).groupBy("node", "vertex").agg(F.count(F.lit(1)).alias("n"))
+    hubs = near.groupBy("node").agg(F.max(F.struct("n", "vertex")).alias("top")).select("node", F.col("top.vertex").alias("hub"))
+    hubs = hubs.join(large.select("node", F.col("vertex").alias("hub"), F.col("tokens").alias("hub_tokens")), ["node", "hub"])
+    # full sets are fetched only of what the tokens place within the ring
+    floor = 2 * o.threshold / 100 - 1 - 4 * (0.25 / o.positions) ** 0.5
+    near = stored(large.join(hubs, "node").where(_alike("tokens", "hub_tokens", o.positions) >= floor).select("node", "vertex", "hub"), "near-hub")
+    sets = stored(_sets(docs, near.select("vertex").distinct(), o, packed=False), "hub-sets")
+    met = near.join(sets, "vertex").join(sets.withColumnsRenamed({"vertex": "hub", "shingles": "hub_set"}), "hub")
     shared = F.size(F.array_intersect("shingles", "hub_set"))
     union = F.size("shingles") + F.size("hub_set") - shared
     ring = 2 * o.threshold - 100  # similarity below which nothing in the ball has a link
     zone = F.when(100 * shared >= o.threshold * union, "ball").when(100 * shared >= ring * union, "ring").otherwise("out")
-    zoned = stored(met.select("node", "digest", "hub", zone.alias("zone")), "zones")
-    links = zoned.where("zone = 'ball' AND digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b"))
+    zoned = stored(met.select("node", "vertex", "hub", zone.alias("zone")), "zones")
+    links = zoned.where("zone = 'ball' AND vertex <> hub").select(F.col("vertex").alias("a"), F.col("hub").alias("b"))
     sizes = zoned.groupBy("node").agg(F.count_if(F.col("zone") == "ball").alias("n_ball"), F.count_if(F.col("zone") == "ring").alias("n_ring")).where("n_ring > 0")
     both = zoned.where("zone <> 'out'").join(sizes, "node")
     half = o.small // 2
     n_ball, n_ring = F.ceil(F.col("n_ball") / half), F.ceil(F.col("n_ring") / half)
     mine = F.when(F.col("zone") == "ball", _dealt(both, ["node"], F.col("n_ball"), half)).otherwise(_dealt(both, ["node"], F.col("n_ring"), half))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("zone") == "ball", n_ring).otherwise(n_ball) - 1))
-    spread = both.select("node", "digest", "zone", mine.alias("mine"), other.alias("other"))
+    spread = both.select("node", "vertex", "zone", mine.alias("mine"), other.alias("other"))
     ball, ring_no = (F.when(F.col("zone") == z, F.col("mine")).otherwise(F.col("other")) for z in ("ball", "ring"))
-    clusters = spread.select(F.xxhash64("node", ball, ring_no).alias("cluster"), "digest")
-    left = large.join(zoned.where("zone <> 'ball'").select("node", "digest"), ["node", "digest"])
+    clusters = spread.select(F.xxhash64("node", ball, ring_no).alias("cluster"), "vertex")
+    left = large.join(zoned.where("zone <> 'ball'").select("node", "vertex"), ["node", "vertex"])
     return links, clusters, left
 
 
@@ -294,37 +318,38 @@ def _in_blocks(large: DataFrame, sizes: DataFrame, o: Options) -> DataFrame:
     half = o.small // 2
     rows = large.join(sizes, "node").withColumn("mine", _dealt(large, ["node"], F.col("n"), half))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("n") / half), F.lit(1)) - 1)))
-    return rows.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cluster"), "digest")
+    return rows.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cluster"), "vertex")
 
 
-def links_of(docs: DataFrame, sketch: DataFrame, o: Options) -> DataFrame:
-    """Confirmed links (a, b) between set digests that connect the components."""
+def _vertices(sketch: DataFrame) -> DataFrame:
+    """(digest, vertex, tokens): one vertex per distinct set, named by the least key that has it."""
     full = sketch.where("n_shingles > 0")
-    # one vertex per distinct set
-    vertices = stored(full.groupBy("digest").agg(F.min("key").alias("key"), F.first("tokens").alias("tokens")), "vertices")
+    return stored(full.groupBy("digest").agg(F.min("key").alias("vertex"), F.max("tokens").alias("tokens")), "vertices")
+
+
+def links_of(docs: DataFrame, vertices: DataFrame, o: Options) -> DataFrame:
+    """Confirmed links (a, b) between vertices that connect the components."""
     pairs = F.array(*[F.xxhash64(F.lit(i // 2), F.lit(i), _token(F.lit(i))) for i in range(2 * o.trees)])
-    rows = vertices.select(F.explode(pairs).alias("node"), "digest")
-    sets, links, clusters, leaves = None, [], [], []
+    rows = vertices.select(F.explode(pairs).alias("node"), "vertex")
+    links, clusters, leaves = [], [], []
     for level in range(o.max_levels + 1):
         rows = stored(rows, f"level-{level}")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = stored(rows.join(sizes, "node"), f"sized-{level}")
-        leaves.append(sized.where(F.col("n") <= o.small).select("node", "digest"))
+        leaves.append(sized.where(F.col("n") <= o.small).select("node", "vertex"))
         big = sized.where(F.col("n") > o.small)
         if big.isEmpty():
             break
         if level == o.max_levels:
-            clusters.append(_in_blocks(big.select("node", "digest"), big.select("node", "n").distinct(), o))
+            clusters.append(_in_blocks(big.select("node", "vertex"), big.select("node", "n").distinct(), o))
             break
-        if sets is None:
-            sets = stored(_sets(docs, big.select("digest").distinct().join(vertices.select("digest", "key"), "digest"), o), "large-sets")
-        large = big.select("node", "digest").join(vertices.select("digest", "tokens"), "digest")
-        to_hub, met, left = _remove_ball(large, sets, o)
+        large = big.select("node", "vertex").join(vertices.select("vertex", "tokens"), "vertex")
+        to_hub, met, left = _remove_ball(docs, large, o)
         links.append(to_hub)
         clusters.append(met)
         one = F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(o.positions))
         two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(-2)), F.lit(o.positions - 1)), F.lit(o.positions))
-        rows = left.select(F.explode(F.array(*[F.xxhash64("node", i, _token(i)) for i in (one, two)])).alias("node"), "digest")
+        rows = left.select(F.explode(F.array(*[F.xxhash64("node", i, _token(i)) for i in (one, two)])).alias("node"), "vertex")
     nodes = leaves[0]
     for x in leaves[1:]:
         nodes = nodes.unionByName(x)
@@ -332,11 +357,10 @@ def links_of(docs: DataFrame, sketch: DataFrame, o: Options) -> DataFrame:
     for x in clusters:
         found = found.unionByName(x)
     found = stored(found, "clusters")
-    wanted = found.select("digest").distinct().join(vertices.select("digest", "key"), "digest")
-    out = _confirmed(found, _sets(docs, wanted, o), o)
+    out = _confirmed(found, _sets(docs, found.select("vertex").distinct(), o, packed=True), o)
     for x in links:
         out = out.unionByName(x)
-    return stored(out.distinct(), "links")
+    return stored(out.where("a <> b").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, o: Options = Options()) -> DataFrame:
@@ -348,9 +372,11 @@ def near_duplicates(docs: DataFrame, o: Options = Options()) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("key", F.xxhash64("doc_id", "text"))
     sketch = stored(_sketch(texts, o), "sketch")
-    roots = components(links_of(texts, sketch, o), "near-duplicates")
+    vertices = _vertices(sketch)
+    roots = components(links_of(texts, vertices, o), "near-duplicates")
     own = sketch.select("doc_id", "key", "n_shingles", "digest")
-    full = own.where("n_shingles > 0").join(roots.withColumnRenamed("id", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    of_set = vertices.select("digest", "vertex").join(roots.withColumnRenamed("id", "vertex"), "vertex", "left")
+    full = own.where("n_shingles > 0").join(of_set.select("digest", F.coalesce("root", "vertex").alias("root")), "digest")
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = full.join(least, "root").select("doc_id", "key", "n_shingles", "component_id")
     out = out.unionByName(own.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id")))
