@@ -131,11 +131,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, o: Options, packed: bool) -> DataF
     marks = wanted.groupBy(F.floor(at / 8).cast("int").alias("at")).agg(F.bit_or(bit).alias("octet")).toArrow()  # at most bitmap_bits / 8 rows
     table = np.zeros(o.bitmap_bits // 8, np.uint8)
     table[marks["at"].to_numpy()] = marks["octet"].to_numpy().astype(np.uint8)
-    octet = F.conv(F.hex(F.substring(F.lit(bytearray(table.tobytes())), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    some = docs.withColumnRenamed("key", "vertex").where(F.getbit(octet, (at % 8).cast("int")) == 1)
+    bits = docs.sparkSession.sparkContext.broadcast(table)
+
+    def some(b):
+        at = b.column("key").to_numpy() & np.int64(o.bitmap_bits - 1)
+        return b.filter(pa.array((bits.value[at // 8] >> (at % 8).astype(np.uint8)) & 1 == 1))
 
     def run(batches):
         for b in batches:
+            b = some(b)
             for c in W.chunks(b.column("text")):
                 row, sh = shingle_sets(c, o.shingle)
                 offs = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=c.rows))]).astype(np.int32)
@@ -144,9 +148,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, o: Options, packed: bool) -> DataF
                     sets = pa.Array.from_buffers(pa.binary(), c.rows, [None, pa.py_buffer(offs * 6), pa.py_buffer(raw)])
                 else:
                     sets = pa.ListArray.from_arrays(pa.array(offs), pa.array(sh.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("vertex").slice(c.first, c.rows), sets], names=["vertex", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(c.first, c.rows), sets], names=["vertex", "shingles"])
 
-    found = some.select("vertex", "text").mapInArrow(run, "vertex bigint, shingles " + ("binary" if packed else "array<bigint>"))
+    found = docs.select("key", "text").mapInArrow(run, "vertex bigint, shingles " + ("binary" if packed else "array<bigint>"))
     return found.groupBy("vertex").agg(F.first("shingles").alias("shingles"))  # repeated rows have one key
 
 
