@@ -7,8 +7,8 @@ when the Jaccard similarity of their sets is at least ``threshold`` / 100.
   minwise tokens. Equal sets are one vertex from here on.
 * Trees: each of ``trees`` independent trees deals every vertex to two nodes
   by two of its minwise tokens. A node of up to ``small`` vertices is
-  compared exhaustively (on minwise tokens, then on full sets); a larger one
-  branches again by two tokens that its path chooses. A pair at similarity s
+  compared exhaustively (on minwise tokens, then on full sets), one of up to
+  ``medium`` times that block against block; a larger one branches again by two tokens that its path chooses. A pair at similarity s
   misses all nodes of a tree with probability q = (1 - s + s q)^2, at most
   0.0625 for s = 0.8 at any depth, so four trees find it with a probability
   of 1 - 1.5e-5; the token filter (``positions`` at four standard
@@ -43,6 +43,7 @@ from tickerlake.llm import words as W
 from tickerlake.llm.components import components
 from tickerlake.llm.tables import stored
 
+_VOTES = 6
 _SET_BITS = np.uint64((1 << 48) - 1)
 
 
@@ -52,7 +53,8 @@ class Options:
     threshold: int = 80  # percent
     positions: int = 64
     trees: int = 4
-    small: int = 512
+    small: int = 1024
+    medium: int = 4
     max_levels: int = 12
     bitmap_bits: int = 1 << 24
 
@@ -286,13 +288,12 @@ def _alike(a: str, b: str, positions: int) -> Column:
 
 def _remove_ball(docs: DataFrame, large: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links to hubs, clusters of ball and ring, rows left) of large nodes (node, vertex, tokens)."""
-    picks = F.array(*[_token(F.pmod(F.xxhash64("node", F.lit(i)), F.lit(o.positions))) for i in range(8)])
-    votes = large.select("node", "vertex", F.posexplode(picks).alias("at", "token"))
-    counted = votes.groupBy("node", "at", "token").agg(F.count(F.lit(1)).alias("n"))
-    usual = counted.groupBy("node", "at").agg(F.max(F.struct("n", "token")).alias("top")).select("node", "at", F.col("top.token").alias("token"))
-    near = votes.join(usual, ["node", "at", "token"]).groupBy("node", "vertex").agg(F.count(F.lit(1)).alias("n"))
-    hubs = near.groupBy("node").agg(F.max(F.struct("n", "vertex")).alias("top")).select("node", F.col("top.vertex").alias("hub"))
-    hubs = hubs.join(large.select("node", F.col("vertex").alias("hub"), F.col("tokens").alias("hub_tokens")), ["node", "hub"])
+    picks = F.array(*[_token(F.pmod(F.xxhash64("node", F.lit(i)), F.lit(o.positions))) for i in range(_VOTES)])
+    counted = large.select("node", F.posexplode(picks).alias("at", "token")).groupBy("node", "at", "token").agg(F.count(F.lit(1)).alias("n"))
+    usual = counted.groupBy("node").agg(F.array(*[F.max(F.when(F.col("at") == i, F.struct("n", "token"))) for i in range(_VOTES)]).alias("top"))
+    agree = F.aggregate(F.zip_with(picks, F.col("top"), lambda x, y: (x == y["token"]).cast("int")), F.lit(0), lambda x, y: x + y)
+    hubs = large.join(usual, "node").groupBy("node").agg(F.max(F.struct(agree.alias("n"), F.col("vertex").alias("hub"), F.col("tokens").alias("hub_tokens"))).alias("top"))
+    hubs = hubs.select("node", "top.hub", "top.hub_tokens")
     # full sets are fetched only of what the tokens place within the ring
     floor = 2 * o.threshold / 100 - 1 - 4 * (0.25 / o.positions) ** 0.5
     near = stored(large.join(hubs, "node").where(_alike("tokens", "hub_tokens", o.positions) >= floor).select("node", "vertex", "hub"), "near-hub")
@@ -313,16 +314,17 @@ def _remove_ball(docs: DataFrame, large: DataFrame, o: Options) -> tuple[DataFra
     spread = both.select("node", "vertex", "zone", mine.alias("mine"), other.alias("other"))
     ball, ring_no = (F.when(F.col("zone") == z, F.col("mine")).otherwise(F.col("other")) for z in ("ball", "ring"))
     clusters = spread.select(F.xxhash64("node", ball, ring_no).alias("cluster"), "vertex")
-    left = large.join(zoned.where("zone <> 'ball'").select("node", "vertex"), ["node", "vertex"])
+    left = large.join(zoned.where("zone = 'ball'").select("node", "vertex"), ["node", "vertex"], "left_anti")
     return links, clusters, left
 
 
-def _in_blocks(large: DataFrame, sizes: DataFrame, o: Options) -> DataFrame:
-    """Clusters that compare every pair of a large node, block against block."""
+def _in_blocks(sized: DataFrame, o: Options) -> DataFrame:
+    """Nodes of at most about ``small`` rows that compare every pair of the nodes (node, vertex, n)."""
     half = o.small // 2
-    rows = large.join(sizes, "node").withColumn("mine", _dealt(large, ["node"], F.col("n"), half))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("n") / half), F.lit(1)) - 1)))
-    return rows.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cluster"), "vertex")
+    n_blocks = F.greatest(F.ceil(F.col("n") / half), F.lit(1))
+    rows = sized.withColumn("mine", F.pmod(F.xxhash64("vertex", "node"), n_blocks))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)))
+    return rows.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "vertex")
 
 
 def _vertices(sketch: DataFrame) -> DataFrame:
@@ -337,16 +339,15 @@ def links_of(docs: DataFrame, vertices: DataFrame, o: Options) -> DataFrame:
     rows = vertices.select(F.explode(pairs).alias("node"), "vertex")
     links, clusters, leaves = [], [], []
     for level in range(o.max_levels + 1):
-        rows = stored(rows, f"level-{level}")
+        rows = stored(rows, f"level-{level}") if level else rows
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = stored(rows.join(sizes, "node"), f"sized-{level}")
         leaves.append(sized.where(F.col("n") <= o.small).select("node", "vertex"))
-        big = sized.where(F.col("n") > o.small)
+        most = o.small * o.medium if level < o.max_levels else 1 << 62
+        leaves.append(_in_blocks(sized.where((F.col("n") > o.small) & (F.col("n") <= most)), o))
+        big = sized.where(F.col("n") > most)
         if big.isEmpty():
             break
-        if level == o.max_levels:
-            clusters.append(_in_blocks(big.select("node", "vertex"), big.select("node", "n").distinct(), o))
-            break
         large = big.select("node", "vertex").join(vertices.select("vertex", "tokens"), "vertex")
         to_hub, met, left = _remove_ball(docs, large, o)
         links.append(to_hub)
