@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerlake.llm import chat, decontam, minhash_dedup, mixing, url_filter
-from tickerlake.llm.tables import ascii_lower, table
+from tickerlake.llm import chat, decontam, minhash_dedup, mixing, toxicity, url_filter
+from tickerlake.llm.tables import ascii_lower, crc_remainder, table
 
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
@@ -55,6 +55,18 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on the labelled documents of the table outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_remainder("doc_id", 4) != 2)
+    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "mean", "peak")
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 

@@ -135,3 +135,59 @@ def words_of(data: np.ndarray, ends: np.ndarray, first: int = 0, breaks: np.ndar
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
         h = mix((sums[stop] - sums[start]) * inverse[start])
     return Chunk(first, rows, data, ends, row, start, stop, h)
+
+
+@dataclass
+class Words:
+    """Distinct words of a chunk."""
+
+    hash: np.ndarray  # sorted
+    inverse: np.ndarray  # distinct word of each word of the chunk
+    count: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+
+
+def distinct_words(chunk: Chunk) -> Words:
+    h, first, inverse, count = np.unique(chunk.hash, return_index=True, return_inverse=True, return_counts=True)
+    return Words(h, inverse.ravel(), count, chunk.start[first], chunk.stop[first])
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, owner) of the ranges start .. start + size, one after the other."""
+    owner = np.repeat(np.arange(len(size)), size)
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(start, size), owner
+
+
+def spelled(data: np.ndarray, start: np.ndarray, stop: np.ndarray, edge: int = 0x20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of words with an ``edge`` byte before and after: (bytes, place in the word, owner)."""
+    size = stop - start + 2
+    place, owner = ragged(np.zeros(len(size), np.int64), size)
+    out = np.full(len(place), edge, np.uint8)
+    inner = (place > 0) & (place < size[owner] - 1)
+    out[inner] = data[(start[owner] + place - 1)[inner]]
+    return out, place, owner
+
+
+def packed_grams(data: np.ndarray, start: np.ndarray, stop: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, owner): for each byte of the words and their end, the last ``order`` bytes up to it.
+
+    A gram starts at the word's leading edge at the earliest, so it depends
+    on the word alone; its lowest byte is the byte itself.
+    """
+    raw, place, owner = spelled(data, start, stop)
+    wide = raw.astype(np.uint64)
+    out = wide.copy()
+    for k in range(1, order):
+        out[k:] |= np.where(place[k:] >= k, wide[:-k], np.uint64(0)) << np.uint64(8 * k)
+    keep = place > 0
+    return out[keep], owner[keep]
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing) -> np.ndarray:
+    """Values of ``wanted`` in sorted ``keys``; ``missing`` (a value or array) where absent."""
+    if not len(keys):
+        return np.broadcast_to(np.asarray(missing, values.dtype), wanted.shape).copy()
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], missing)
