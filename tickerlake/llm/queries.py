@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerlake.llm import chat, decontam, minhash_dedup, mixing, toxicity, url_filter
+from tickerlake.llm import chat, ctw, decontam, minhash_dedup, mixing, toxicity, url_filter
 from tickerlake.llm.tables import ascii_lower, crc_remainder, table
 
 URL_RULES = [
@@ -71,6 +71,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op8_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"), crc_remainder("doc_id", 10) == 0, F.col("lang"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = decontam.words_hit("spans")

@@ -160,23 +160,23 @@ def ragged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(start, size), owner
 
 
-def spelled(data: np.ndarray, start: np.ndarray, stop: np.ndarray, edge: int = 0x20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of words with an ``edge`` byte before and after: (bytes, place in the word, owner)."""
+def spelled(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lead: int = 0x20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of words with a ``lead`` byte before and a blank after: (bytes, place in the word, owner)."""
     size = stop - start + 2
     place, owner = ragged(np.zeros(len(size), np.int64), size)
-    out = np.full(len(place), edge, np.uint8)
+    out = np.where(place > 0, np.uint8(0x20), np.uint8(lead))
     inner = (place > 0) & (place < size[owner] - 1)
     out[inner] = data[(start[owner] + place - 1)[inner]]
     return out, place, owner
 
 
-def packed_grams(data: np.ndarray, start: np.ndarray, stop: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+def packed_grams(data: np.ndarray, start: np.ndarray, stop: np.ndarray, order: int, lead: int = 0x20) -> tuple[np.ndarray, np.ndarray]:
     """(gram, owner): for each byte of the words and their end, the last ``order`` bytes up to it.
 
-    A gram starts at the word's leading edge at the earliest, so it depends
+    A gram starts at the byte before the word at the earliest, so it depends
     on the word alone; its lowest byte is the byte itself.
     """
-    raw, place, owner = spelled(data, start, stop)
+    raw, place, owner = spelled(data, start, stop, lead)
     wide = raw.astype(np.uint64)
     out = wide.copy()
     for k in range(1, order):
