@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerlake.llm import chat, ctw, decontam, minhash_dedup, mixing, toxicity, url_filter
+from tickerlake.llm import chat, ctw, decontam, fingerprint, minhash_dedup, mixing, toxicity, url_filter, warc
 from tickerlake.llm.tables import ascii_lower, crc_remainder, table
 
 URL_RULES = [
@@ -71,6 +71,15 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read(spark, folder, warc.frames_of(index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.against_next(table(spark, sf_dir, "documents"))
+
+
 def op8_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"), crc_remainder("doc_id", 10) == 0, F.col("lang"))
 
