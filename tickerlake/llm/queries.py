@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerlake.llm import chat, ctw, decontam, fingerprint, minhash_dedup, mixing, toxicity, url_filter, warc
+from tickerlake.llm import chat, ctw, decontam, fingerprint, licenses, minhash_dedup, mixing, toxicity, url_filter, warc
 from tickerlake.llm.tables import ascii_lower, crc_remainder, table
 
 URL_RULES = [
@@ -71,6 +71,12 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.fit(docs))
+    return found.select("doc_id", "n_paragraphs", F.size("hits").cast("long").alias("n_notices"), F.array_join("families", ",").alias("families"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc.archive(table(spark, sf_dir, "pages"))
     return warc.read(spark, folder, warc.frames_of(index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
