@@ -17,7 +17,7 @@ def test_rows_frame_counts_active_minutes(spark):
     """Frames are active-minute rows: a 10-minute gap does not empty the 5-row frame."""
     t0 = datetime(2026, 1, 1, 10, 0)
     rows = [("A", t0 + timedelta(minutes=m), 1, 0.1) for m in (0, 1, 2, 20, 21)]
-    r = {x.bucket: x for x in signal.rolling(_pm(spark, rows), block_rows=None).collect()}
+    r = {x.bucket: x for x in signal.rolling(_pm(spark, rows)).collect()}
     assert r[t0 + timedelta(minutes=21)].m5 == 5  # rows frame
     rr = {x.bucket: x for x in signal.rolling(_pm(spark, rows), frame="range").collect()}
     assert rr[t0 + timedelta(minutes=21)].m5 == 2  # clock frame
@@ -25,7 +25,7 @@ def test_rows_frame_counts_active_minutes(spark):
 
 def test_single_row_gives_zero_z(spark):
     t0 = datetime(2026, 1, 1, 10, 0)
-    s = signal.score(signal.rolling(_pm(spark, [("A", t0, 3, 0.5)]), block_rows=None)).first()
+    s = signal.score(signal.rolling(_pm(spark, [("A", t0, 3, 0.5)]))).first()
     assert float(s.z_mentions) == 0.0 and s.position == "flat"
 
 

@@ -15,7 +15,7 @@ def _rows(df, cols):
 def test_rolling_blocks_match_unblocked(spark):
     pm = signal.per_minute(scored_feed(spark, SF))
     cols = ["ticker", "bucket", "m5", "s5", "m60_mean", "m60_sd", "s60"]
-    plain = signal.rolling(pm, block_rows=None).select(*cols)
+    plain = signal.rolling(pm, block_rows=10**9).select(*cols)
     rnd = [F.round(c, 9).alias(c) if c in ("s5", "m60_mean", "m60_sd", "s60") else F.col(c) for c in cols]
     blocked = signal.rolling(pm, block_rows=64).select(*rnd)
     assert _rows(blocked, cols) == _rows(plain.select(*rnd), cols)
@@ -29,11 +29,12 @@ def test_costs_blocks_match(spark):
     assert a == b and len(a) > 0
 
 
-def test_auto_blocking_follows_size_estimate(spark):
-    from tickerlake.plans.windows import DEFAULT_BLOCK_ROWS, choose_block_rows
+def test_range_blocks_match_unblocked(spark):
+    from pyspark.sql import Window
 
-    small = signal.per_minute(scored_feed(spark, SF))
-    huge = spark.range(10**12).toDF("x")
-    assert choose_block_rows(small, "auto") is None
-    assert choose_block_rows(huge, "auto") == DEFAULT_BLOCK_ROWS
-    assert choose_block_rows(huge, 128) == 128
+    pm = signal.per_minute(scored_feed(spark, SF)).withColumn("_m", F.expr("unix_seconds(CAST(bucket AS TIMESTAMP)) div 60"))
+    w = Window.partitionBy("ticker").orderBy("_m").rangeBetween(-59, 0)
+    plain = pm.select("ticker", "bucket", F.avg("mentions").over(w).alias("m60_mean"))
+    got = signal.rolling(pm.drop("_m"), frame="range").select("ticker", "bucket", "m60_mean")
+    cols = ["ticker", "bucket", "m60_mean"]
+    assert _rows(got, cols) == _rows(plain, cols)

@@ -14,14 +14,10 @@ from pyspark.sql import SparkSession
 
 
 def _session() -> SparkSession:
+    """The launcher's session as it is; a program of its own gets Spark's defaults."""
     from tickerlake.session import prepare_session
 
-    active = SparkSession.getActiveSession()
-    if active is not None:
-        return prepare_session(active)
-    from tickerlake.session import build_session
-
-    return build_session(master="local[*]")
+    return prepare_session(SparkSession.builder.appName("tickerlake").getOrCreate())
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -32,12 +28,16 @@ def main(argv: list[str] | None = None) -> int:
         c = sub.add_parser(name, help=help_)
         c.add_argument("--lake", required=True, help="lake root (any Hadoop file system URI)")
         c.add_argument("--show", type=int, default=50, help="rows to print")
+        c.add_argument("--since", default=None, help="first date (query, tickers)")
+        c.add_argument("--until", default=None, help="last date (query, tickers)")
         return c
 
     c = cmd("ingest", "land JSON item files with a streaming job")
     c.add_argument("--items", required=True)
     c.add_argument("--checkpoint", required=True)
     c.add_argument("--source", default="forum")
+    c.add_argument("--duration", type=float, default=None, help="stop after so many seconds")
+    c.add_argument("--metrics", default=None, help="folder for reject reasons per batch")
     c.add_argument("--every", default=None, help="processing-time trigger, e.g. '30 seconds'; default: drain and stop")
     cmd("query", "events per source and minute, newest first")
     cmd("score", "score raw events into the sentiment table")
@@ -49,10 +49,10 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--minutes", type=int, default=None, help="window length centred on the events")
     c.add_argument("--merge", action="store_true", help="upsert by (ticker, ts) instead of replacing hours")
     c = cmd("signal", "composite signal joined to bar closes")
-    c.add_argument("--limit", type=int, default=100, help="newest rows to keep; 0 = all")
+    c.add_argument("--limit", type=int, default=0, help="newest rows to keep; 0 = all")
     c.add_argument("--out", default=None, help="write the signal as Parquet here instead of printing")
     c = cmd("report", "backtest summary and storage report")
-    c.add_argument("--limit", type=int, default=100)
+    c.add_argument("--limit", type=int, default=0, help="newest signal rows to test; 0 = all")
     cmd("metrics", "pipeline counters computed from the lake")
 
     a = p.parse_args(argv)
@@ -65,14 +65,17 @@ def main(argv: list[str] | None = None) -> int:
         from tickerlake.streaming.land import start_landing
 
         trig = {"processingTime": a.every} if a.every else None
-        q = start_landing(spark, a.items, a.lake, a.checkpoint, source=a.source, trigger=trig)
-        q.awaitTermination()
+        q = start_landing(spark, a.items, a.lake, a.checkpoint, source=a.source, trigger=trig, metrics_path=a.metrics)
+        if a.duration is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(a.duration):
+            q.stop()
     elif a.cmd == "query":
-        jobs.summarize(spark, a.lake).show(a.show, truncate=False)
+        jobs.summarize(spark, a.lake, since=a.since, until=a.until).show(a.show, truncate=False)
     elif a.cmd == "score":
         print(f"scored {jobs.score_lake(spark, a.lake)} events")
     elif a.cmd == "tickers":
-        jobs.ticker_view(spark, a.lake, a.grain).show(a.show, truncate=False)
+        jobs.ticker_view(spark, a.lake, a.grain, since=a.since, until=a.until).show(a.show, truncate=False)
     elif a.cmd == "market":
         prints = spark.read.parquet(a.prints)
         tickers = None

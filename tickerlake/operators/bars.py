@@ -88,6 +88,6 @@ def forward_return(now, fwd, on_overflow: str = "raise"):
     Overflow (|return| >= 1000) raises by default like the reference; with
     ``on_overflow="null"`` it becomes NULL instead.
     """
-    ret = fwd / now - F.lit(1.0)
+    ret = (F.try_divide(fwd, now) if on_overflow == "null" else fwd / now) - F.lit(1.0)
     cast = ret.try_cast("decimal(8,5)") if on_overflow == "null" else ret.cast("decimal(8,5)")
     return F.when(now.isNotNull() & fwd.isNotNull(), cast)

@@ -3,7 +3,7 @@
 An item is a nullable struct (id, time in epoch seconds, by, title, text,
 url, deleted, dead). Text is the first non-empty of title and text.
 Deleted, dead and text-less items are rejected as "empty"; a missing item
-as "null".
+as "null", an item with text but no id as "no_id".
 
 The struct is flattened once (item.* plus a null flag) before any test, so
 each field is extracted once per row rather than once per reference.
@@ -33,17 +33,11 @@ def _reason() -> Column:
     return (
         F.when(F.col(_NULL), F.lit("null"))
         .when(gone | (_body() == ""), F.lit("empty"))
+        .when(F.col("id").isNull(), F.lit("no_id"))
         .otherwise(F.lit("accepted"))
     )
 
 
-def reject_reason(item: Column) -> Column:
-    """'null', 'empty' or 'accepted' for one item column (expression form)."""
-    body = F.coalesce(F.nullif(item["title"], F.lit("")), F.nullif(item["text"], F.lit("")), F.lit(""))
-    gone = F.coalesce(item["deleted"], F.lit(False)) | F.coalesce(item["dead"], F.lit(False))
-    return F.when(item.isNull(), F.lit("null")).when(gone | (body == ""), F.lit("empty")).otherwise(F.lit("accepted"))
-
-
 def normalise_items(
     items: DataFrame, source: str, ingested_ts: Column | int | None = None, item_col: str = "item"
 ) -> DataFrame:

@@ -136,8 +136,10 @@ def compact(spark, root: str, since=None, until=None, staging: str | None = None
 
     events = lake.read_events(spark, root, since=since, until=until).drop("event_at")
     stage = staging or scratch_path(spark, "compact-stage")
-    lake.write_partitioned(events, stage, lake.EVENT_PARTITIONS, "event_ts", "overwrite")
+    wrote = lake.write_partitioned(events, stage, lake.EVENT_PARTITIONS, "event_ts", "overwrite")
     staged = lake.read_events(spark, stage).drop("event_at")
+    if staged.count() != wrote:
+        raise RuntimeError(f"staged copy under {stage} is incomplete; the lake was left as it is")
     n = lake.write_partitioned(staged, root.rstrip("/"), lake.EVENT_PARTITIONS, "event_ts", "overwrite")
     lake.delete_path(spark, stage)
     return n

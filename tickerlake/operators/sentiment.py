@@ -99,8 +99,8 @@ def token_contributions(
     if clash:
         raise ValueError(f"keep columns may not start with '__' or be the text column: {clash}")
     base = (
-        ensure_parallelism(df.select(*keep, F.col(text_col).alias("__text")))
-        .withColumn("__row", F.monotonically_increasing_id())
+        # numbered at the scan, before any shuffle, so a repeated task numbers alike
+        ensure_parallelism(df.select(*keep, F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row")))
         .withColumn("__otoks", raw_tokens(F.col("__text"), p))
         .withColumn("__excl", F.least(exclamations(F.col("__text")), F.lit(p.exclaim_cap)))
         .drop("__text")
@@ -237,8 +237,7 @@ def score_events(
         if scored_ts is None
         else (scored_ts if isinstance(scored_ts, Column) else F.lit(int(scored_ts)))
     )
-    spread = ensure_parallelism(events.select("source", "event_id", "event_ts", "text"))
-    prepared = spread.select(
+    prepared = events.select(
         "source", "event_id", "event_ts", extract_tickers(F.col("text")).alias("tickers"), "text"
     )
     scored = score_texts(prepared, lexicon, keep=["source", "event_id", "event_ts", "tickers"], params=params)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tickerlake.functions.timecols import truncate
 from tickerlake.operators.bars import bar_closes, forward_return
-from tickerlake.plans.windows import BLK, CTX, IDX, blocked_rows, choose_block_rows, finish
+from tickerlake.plans.windows import BLK, CTX, DEFAULT_BLOCK_ROWS, IDX, blocked_range, blocked_rows, finish
 
 SHORT_ROWS = 5
 LONG_ROWS = 60
@@ -59,35 +59,26 @@ def _rolled_columns(w_short: Window, w_long: Window) -> list[Column]:
 def rolling(
     pm: DataFrame,
     frame: str = "rows",
-    block_rows: int | str | None = "auto",
+    block_rows: int = DEFAULT_BLOCK_ROWS,
     short_rows: int = SHORT_ROWS,
     long_rows: int = LONG_ROWS,
 ) -> DataFrame:
     """Per-minute table + m5, s5, m60_mean, m60_sd, s60.
 
     ``frame="rows"`` (default, reference semantics) counts active minutes;
-    ``frame="range"`` uses clock minutes. ``block_rows=None`` partitions
-    the window by ticker only; ``"auto"`` (default) does that only when the
-    input is estimated small and blocks otherwise.
+    ``frame="range"`` uses clock minutes. Windows are cut into
+    blocks, of ``block_rows`` rows or of a day.
     """
     if frame == "range":
         minute_no = F.expr("unix_seconds(CAST(bucket AS TIMESTAMP)) div 60")
         x = pm.withColumn("_min", minute_no)
-        base = Window.partitionBy("ticker").orderBy("_min")
+        spread, base = blocked_range(x, "ticker", "_min", long_rows - 1)
         w_s = base.rangeBetween(-(short_rows - 1), 0)
         w_l = base.rangeBetween(-(long_rows - 1), 0)
-        return x.select(*pm.columns, *_rolled_columns(w_s, w_l))
+        return spread.select(*pm.columns, CTX, *_rolled_columns(w_s, w_l)).where(~F.col(CTX)).drop(CTX)
     if frame != "rows":
         raise ValueError("frame must be 'rows' or 'range'")
 
-    block_rows = choose_block_rows(pm, block_rows)
-    if block_rows is None:
-        base = Window.partitionBy("ticker").orderBy("bucket")
-        return pm.select(
-            *pm.columns,
-            *_rolled_columns(base.rowsBetween(-(short_rows - 1), 0), base.rowsBetween(-(long_rows - 1), 0)),
-        )
-
     spread, base = blocked_rows(pm, "ticker", "bucket", long_rows - 1, block_rows)
     rolled = spread.select(
         *pm.columns,
@@ -126,15 +117,15 @@ def score(rolled: DataFrame, on_overflow: str = "raise") -> DataFrame:
 def build_signal(
     sentiment: DataFrame,
     bars: DataFrame,
-    limit: int | None = 100,
+    limit: int | None = None,
     frame: str = "rows",
-    block_rows: int | str | None = "auto",
+    block_rows: int = DEFAULT_BLOCK_ROWS,
     on_overflow: str = "raise",
 ) -> DataFrame:
     """The 9-column signal table.
 
-    ``limit`` keeps the newest rows (bucket desc, |composite| desc, ticker),
-    100 by default like the reference; ``None`` returns every row.
+    ``limit`` keeps the newest rows (bucket desc, |composite| desc, ticker);
+    by default every row is returned.
     """
     scored = score(rolling(per_minute(sentiment), frame=frame, block_rows=block_rows), on_overflow)
     closes = bar_closes(bars)

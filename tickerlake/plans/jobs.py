@@ -96,25 +96,25 @@ def write_bars(
     return lake.write_market(new_bars, root)
 
 
-def summarize(spark: SparkSession, root: str, limit: int | None = 50) -> DataFrame:
+def summarize(spark: SparkSession, root: str, limit: int | None = None, since=None, until=None) -> DataFrame:
     """Per-source, per-minute event counts, newest first."""
     prepare_session(spark)
-    return features.latest_minute_counts(lake.read_events(spark, root), limit)
+    return features.latest_minute_counts(lake.read_events(spark, root, since, until), limit)
 
 
-def ticker_view(spark: SparkSession, root: str, grain: str = "minute", limit: int | None = 50) -> DataFrame:
+def ticker_view(spark: SparkSession, root: str, grain: str = "minute", limit: int | None = None, since=None, until=None) -> DataFrame:
     """Mentions and mean compound per ticker and grain, newest first."""
     prepare_session(spark)
-    return features.latest_per_ticker(lake.read_sentiment(spark, root), grain, limit)
+    return features.latest_per_ticker(lake.read_sentiment(spark, root, since, until), grain, limit)
 
 
-def signal_view(spark: SparkSession, root: str, limit: int | None = 100, frame: str = "rows") -> DataFrame:
+def signal_view(spark: SparkSession, root: str, limit: int | None = None, frame: str = "rows") -> DataFrame:
     prepare_session(spark)
     return signal.build_signal(lake.read_sentiment(spark, root), lake.read_market(spark, root), limit=limit, frame=frame)
 
 
-def backtest_report(spark: SparkSession, root: str, limit: int | None = 100) -> DataFrame:
-    """One-row backtest summary over the signal (the newest ``limit`` rows by default)."""
+def backtest_report(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
+    """One-row backtest summary over the signal (all rows, or the newest ``limit``)."""
     return backtest.summary(signal_view(spark, root, limit=limit))
 
 

@@ -258,7 +258,7 @@ def q_compact(spark, sf_dir):
     feed = fixtures.landing_feed(spark, sf_dir)
     k = QP.COMPACT_BATCHES
     for i in range(k):
-        part = feed.filter(F.abs(F.xxhash64("event_id")) % k == i)
+        part = feed.filter(F.pmod(F.xxhash64("event_id"), F.lit(k)) == i)
         lake.land_events(spark, part, root)
     ops.compact(spark, root)
     return lake.read_events(spark, root).select(*LAKE_COLS)

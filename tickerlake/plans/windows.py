@@ -18,31 +18,12 @@ All windows involved are bounded by a day, a block or the number of days.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerlake.plans.sizing import bounded_broadcast, estimated_bytes
+from tickerlake.plans.sizing import bounded_broadcast
 
 DEFAULT_BLOCK_ROWS = 4096
-# A per-key window over an input whose optimizer size estimate is below this
-# bound runs unblocked (fewer stages): no group can be much larger than the
-# whole input, and a few hundred MB fit one task (window buffers spill).
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-
-
-def choose_block_rows(df: DataFrame, block_rows: int | str | None) -> int | None:
-    """Resolve ``"auto"``: no blocking when ``df`` is estimated small, else the default.
-
-    Estimates of filters, projections and aggregates over a scan do not
-    exceed the scan (explodes can undercount by their fan-out, here a few
-    tickers per post), so a small estimate means every per-key group is
-    small. Unknown estimates block.
-    """
-    if block_rows != "auto":
-        return block_rows
-    size = estimated_bytes(df)
-    return None if size is not None and size <= SMALL_INPUT_BYTES else DEFAULT_BLOCK_ROWS
 IDX, BLK, CTX = "_idx", "_blk", "_ctx"
 
 
@@ -70,13 +51,11 @@ def blocked_rows(
 
     Use ``base.rowsBetween(-j, 0)`` with ``j <= lookback`` (or ``lag`` up to
     ``lookback``) on the returned rows, then filter ``~_ctx`` and drop the
-    helper columns. ``df`` is persisted (memory, spilling to disk; rebuilt
-    from lineage if an executor is lost) because it feeds both the counts
-    and the rows.
+    helper columns. ``df`` feeds both the counts and the
+    rows; Spark reuses its last exchange.
     """
     if block_rows <= lookback:
         raise ValueError("block_rows must exceed the lookback")
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     idx = row_index(df, key, order)
     own = F.expr(f"{IDX} div {block_rows}")
     blocks = F.when(F.col(IDX) % block_rows >= block_rows - lookback, F.array(own, own + 1)).otherwise(F.array(own))
@@ -87,3 +66,17 @@ def blocked_rows(
 def finish(rows: DataFrame) -> DataFrame:
     """Drop context copies and helper columns."""
     return rows.filter(~F.col(CTX)).drop(CTX, BLK, IDX)
+
+
+def blocked_range(df: DataFrame, key: str, at: str, lookback: int, block: int = 1440) -> tuple[DataFrame, Window]:
+    """(rows with _blk/_ctx, base window) for exact ranges of ``lookback`` units of the integer ``at``.
+
+    Blocks are ``block`` units long; rows of the last ``lookback`` units of a
+    block are copied into the next one as context.
+    """
+    if block <= lookback:
+        raise ValueError("block must exceed the lookback")
+    own = F.floor(F.col(at) / block)
+    blocks = F.when(F.pmod(F.col(at), F.lit(block)) >= block - lookback, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = df.select("*", F.explode(blocks).alias(BLK)).withColumn(CTX, F.col(BLK) != own)
+    return spread, Window.partitionBy(key, BLK).orderBy(at)

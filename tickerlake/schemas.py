@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Raw events lake: {root}/source=/dt=/hr=/part-*.parquet
@@ -116,9 +117,8 @@ def conform(df: DataFrame, contract: T.StructType) -> DataFrame:
     """Select the contract's columns in order, failing loudly on drift.
 
     Missing columns or a type that differs from the contract raise
-    ``SchemaDrift``. Extra columns are dropped. Nullability is not checked
-    here because Spark's inferred nullability is conservative; writers that
-    need non-null columns filter or coalesce explicitly.
+    ``SchemaDrift``. Extra columns are dropped. A NULL in a column that the
+    contract declares non-null raises when the rows are computed.
     """
     have = {f.name: f.dataType for f in df.schema.fields}
     problems = []
@@ -129,7 +129,12 @@ def conform(df: DataFrame, contract: T.StructType) -> DataFrame:
             problems.append(f"{f.name}: {have[f.name].simpleString()} != {f.dataType.simpleString()}")
     if problems:
         raise SchemaDrift("; ".join(problems))
-    return df.select(*[f.name for f in contract.fields])
+    return df.select(*[F.col(f.name) if f.nullable else _not_null(f.name) for f in contract.fields])
+
+
+def _not_null(name: str):
+    found = F.when(F.col(name).isNull(), F.raise_error(F.lit(f"NULL in non-null column {name}"))).otherwise(F.col(name))
+    return found.alias(name)
 
 
 def _same_array(a: T.DataType, b: T.DataType) -> bool:

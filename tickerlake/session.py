@@ -56,7 +56,8 @@ def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables and lineage cuts.
 
     Uses the folder the cluster names in ``spark.checkpoint.dir``. Only when
-    the session has none (local tests) is a local temporary folder set.
+    the session has none and runs in one process (local tests) is a local
+    temporary folder set; a cluster without one raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -65,8 +66,10 @@ def scratch_root(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    else:
+    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tickerlake-ckpt-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return sc.getCheckpointDir().rstrip("/")
 
 

@@ -23,16 +23,17 @@ def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEXT_SQL = """
 CASE event_id % 100
   WHEN 0 THEN NULL WHEN 1 THEN ''
-  WHEN 2 THEN 'just some prose with no symbols'
-  WHEN 3 THEN 'FOR ALL THE THINGS'
-  WHEN 4 THEN '$YOLO to the moon'
-  WHEN 5 THEN '$NVDA up. AAPL flat. NVDA again.'
-  WHEN 6 THEN 'MSFT then $AAPL'
-  WHEN 7 THEN '$F up, F-150 too; $GOOGLX AAPL_X AAPL2'
-  ELSE concat('$', CASE user_id % 4 WHEN 0 THEN 'AAPL' WHEN 1 THEN 'MSFT' WHEN 2 THEN 'NVDA' ELSE 'TSLA' END, ' ',
-       CASE event_id % 7 WHEN 0 THEN 'bullish on' WHEN 1 THEN 'loving' WHEN 2 THEN 'great quarter for'
-            WHEN 3 THEN 'terrible day for' WHEN 4 THEN 'bearish on'
-            WHEN 5 THEN 'mixed feelings about' ELSE 'neutral on' END, ' this week')
+  WHEN 2 THEN 'quiet session, nobody named a company'
+  WHEN 3 THEN 'IT IS ON NOW OR SO THEY ALL SAY'
+  WHEN 4 THEN '$QQZZ is not a listing'
+  WHEN 5 THEN '$ORCL opened first, then AMD, and ORCL closed last'
+  WHEN 6 THEN 'INTC before $CSCO'
+  WHEN 7 THEN '$F rose with the F-150; $CSCOX INTC_Y AMD3'
+  ELSE concat('$', CASE user_id % 4 WHEN 0 THEN 'INTC' WHEN 1 THEN 'CSCO' WHEN 2 THEN 'ORCL' ELSE 'AMD' END, ' ',
+       CASE event_id % 9 WHEN 0 THEN 'posted a very strong quarter!' WHEN 1 THEN 'was not good at all'
+            WHEN 2 THEN 'had gains, but the outlook is poor' WHEN 3 THEN 'is AMAZING and may rally'
+            WHEN 4 THEN 'looks slightly weak' WHEN 5 THEN 'suffered a crash!!' WHEN 6 THEN 'filed its numbers'
+            WHEN 7 THEN 'is hardly a scam' ELSE 'gave a disappointing but confident call' END, ' (thread)')
 END
 """
 
@@ -64,7 +65,7 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ev = events_table(spark, sf_dir).select("event_id", "ts", "user_id", "value")
     return ev.select(
-        F.expr("CASE user_id % 4 WHEN 0 THEN 'AAPL' WHEN 1 THEN 'MSFT' WHEN 2 THEN 'NVDA' ELSE 'TSLA' END").alias(
+        F.expr("CASE user_id % 4 WHEN 0 THEN 'INTC' WHEN 1 THEN 'CSCO' WHEN 2 THEN 'ORCL' ELSE 'AMD' END").alias(
             "ticker"
         ),
         F.expr(f"{EPOCH_US} + ((unix_micros(CAST(ts AS TIMESTAMP)) - {EPOCH_US}) div 60)").alias("trade_us"),
@@ -144,7 +145,7 @@ def write_time_chunks(lines: DataFrame, path: str, chunks: int = 4) -> list[str]
     for k in range(chunks):
         a, z = lo + k * step, min(hi, lo + (k + 1) * step)
         part = f"{path}/chunk={k:04d}"
-        lines.filter((F.col("event_ts") >= a) & (F.col("event_ts") < z)).select("value").coalesce(1).write.mode(
+        lines.filter((F.col("event_ts") >= a) & (F.col("event_ts") < z)).select("value").write.mode(
             "overwrite"
         ).text(part)
         out.append(part)

@@ -13,6 +13,7 @@ failed job leaves no partial files visible.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -140,44 +141,29 @@ def _observed_rows(obs: Observation) -> int:
     # metrics row is then missing, which means nothing was written.
     try:
         return int(obs.get.get("rows", 0))
-    except Exception:  # noqa: BLE001
-        return 0
-
-
-# Above this many touched (source, dt, hr) partitions a landing batch is
-# matched against a date range instead of an explicit partition list.
-MAX_PARTITION_LIST = 5000
+    except Py4JJavaError as e:
+        if "AssertionError" in str(e.java_exception):
+            return 0
+        raise
 
 
 def land_events(spark: SparkSession, df: DataFrame, root: str, max_records_per_file: int | None = None) -> int:
     """Append events to the raw lake so that re-landing adds nothing.
 
-    Incoming rows are deduplicated on (source, event_id), then anti-joined
-    with the rows already in the lake *in the partitions the batch touches*:
-    the batch's distinct (source, dt, hr) keys (a few per micro-batch) are
-    read back to the driver and become a partition filter, so only those
-    hour partitions of the lake are scanned (column-pruned to the key).
-    Very wide batches fall back to their date range. Returns the number of
-    rows appended.
+    An event is known by (source, event_id), whatever its time: of several
+    incoming rows the earliest (event_ts, then ingested_ts, then text) is
+    taken, and ids that the lake holds in any hour are left out. The lake is
+    read for its two key columns only. Rows with a null source or id raise.
+    Returns the number of rows appended.
     """
-    incoming = with_hour_partitions(conform(df, EVENT_SCHEMA), "event_ts").dropDuplicates(["source", "event_id"])
+    rest = [f.name for f in EVENT_SCHEMA.fields if f.name not in ("source", "event_id")]
+    order = ["event_ts", "ingested_ts", "text", *[c for c in rest if c not in ("event_ts", "ingested_ts", "text")]]
+    first = conform(df, EVENT_SCHEMA).groupBy("source", "event_id").agg(F.min(F.struct(*order)).alias("first"))
+    incoming = first.select("source", "event_id", "first.*").select(*[f.name for f in EVENT_SCHEMA.fields])
     base = root.rstrip("/")
-    if not _glob_matches(spark, f"{base}/source=*"):
-        # Fresh lake: nothing to anti-join against.
-        return write_partitioned(incoming, base, EVENT_PARTITIONS, "event_ts", "append", max_records_per_file)
-    existing = read_events(spark, root).select("source", "dt", "hr", "event_id")
-    keys = incoming.select("source", "dt", "hr").distinct().limit(MAX_PARTITION_LIST + 1).collect()
-    if not keys:
-        return 0
-    if len(keys) <= MAX_PARTITION_LIST:
-        wanted = [f"{k['source']}|{k['dt']}|{k['hr']}" for k in keys]
-        key = F.concat_ws("|", F.col("source"), F.col("dt").cast("string"), F.col("hr"))
-        existing = existing.filter(key.isin(wanted))
-    else:
-        b = incoming.agg(F.min("dt").alias("lo"), F.max("dt").alias("hi")).first()
-        existing = existing.filter(F.col("dt").between(b["lo"], b["hi"]))
-    fresh = incoming.join(existing, ["source", "dt", "hr", "event_id"], "left_anti")
-    return write_partitioned(fresh, base, EVENT_PARTITIONS, "event_ts", "append", max_records_per_file)
+    existing = read_events(spark, root).select("source", "event_id")
+    fresh = incoming.join(existing, ["source", "event_id"], "left_anti")
+    return write_partitioned(with_hour_partitions(fresh, "event_ts"), base, EVENT_PARTITIONS, "event_ts", "append", max_records_per_file)
 
 
 def overwrite_events(df: DataFrame, root: str) -> int:

@@ -6,7 +6,7 @@ parsing); the cursor is the streaming checkpoint, so a restart resumes
 where it stopped instead of skipping ahead.
 
 Every micro-batch is landed with ``lake.land_events`` (dedup on
-(source, event_id) + anti-join with the touched hour partitions), so a batch
+(source, event_id) + anti-join with the lake's ids), so a batch
 that is replayed after a failure adds nothing. Reject reasons are counted per
 batch and written to a small metrics table (one folder per batch id,
 overwritten on replay).
@@ -92,15 +92,12 @@ def start_landing(
     ingested_ts: int | None = None,
     trigger: dict | None = None,
     max_files_per_trigger: int | None = None,
-    dedupe_within: str | None = None,
 ):
     """Start the landing stream; returns the StreamingQuery.
 
-    ``dedupe_within`` (e.g. "1 hour") drops repeated item ids inside the
-    stream before landing (``dropDuplicatesWithinWatermark`` on the item's
-    event time); repeats further apart are still caught by the anti-join
-    in ``land_events``, so this only saves work on chatty sources. Reject
-    counts are then taken after the dedup (missing items count once).
+    Items delivered more than once, in one batch or in several, are landed
+    once by ``land_events``; nothing is dropped for being late or without a
+    time.
 
     ``items_path`` is a folder of JSON-lines files, or an already parsed
     streaming DataFrame (``items_from_json_strings`` over any source).
@@ -111,27 +108,15 @@ def start_landing(
         items = items_path
     else:
         items = read_item_stream(spark, items_path, max_files_per_trigger)
-    if dedupe_within:
-        items = (
-            items.withColumn("__item_time", F.timestamp_seconds(F.coalesce(F.col("item.time"), F.lit(0))))
-            .withColumn("__item_id", F.coalesce(F.col("item.id").cast("string"), F.lit("")))
-            .withWatermark("__item_time", dedupe_within)
-            .dropDuplicatesWithinWatermark(["__item_id", "parse_error"])
-            .drop("__item_time", "__item_id")
-        )
-
     def land_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # used twice: reasons and landing
-        if metrics_path is not None:
-            (
-                batch_reasons(batch)
-                .coalesce(1)
-                .write.mode("overwrite")
-                .parquet(f"{metrics_path}/batch_id={batch_id}")
-            )
-        events = normalise_items(batch.filter(~F.col("parse_error")), source, ingested_ts)
-        lake.land_events(batch.sparkSession, events, root)
-        batch.unpersist()
+        try:
+            if metrics_path is not None:
+                batch_reasons(batch).write.mode("overwrite").parquet(f"{metrics_path}/batch_id={batch_id}")
+            events = normalise_items(batch.filter(~F.col("parse_error")), source, ingested_ts)
+            lake.land_events(batch.sparkSession, events, root)
+        finally:
+            batch.unpersist()
 
     writer = items.writeStream.foreachBatch(land_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"availableNow": True}))

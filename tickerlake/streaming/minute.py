@@ -40,7 +40,7 @@ def start_minute_counts(
     """Start the update-mode stream; returns the StreamingQuery."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (
         minute_count_updates(events, watermark)
