@@ -53,7 +53,7 @@ class Options:
     threshold: int = 80  # percent
     positions: int = 64
     trees: int = 4
-    small: int = 1024
+    small: int = 2048
     medium: int = 4
     max_levels: int = 12
     bitmap_bits: int = 1 << 24
@@ -186,9 +186,9 @@ def _groups(batches, key: str):
 
 def _labels(link: np.ndarray) -> np.ndarray:
     """Component (least index) of each row of a symmetric boolean matrix."""
-    label = np.arange(len(link))
+    label = np.arange(len(link), dtype=np.int32)
     while True:
-        least = np.where(link, label[None, :], len(link)).min(1)
+        least = np.where(link, label[None, :], np.int32(len(link))).min(1)
         new = np.minimum(label, least)
         new = new[new]
         if (new == label).all():
