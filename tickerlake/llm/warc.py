@@ -167,8 +167,13 @@ def write(rows: DataFrame, folder: str, frame_bytes: int = 1 << 20, bundle_bytes
 
 
 def frames_of(index: DataFrame) -> DataFrame:
-    """(bundle, frame): one row per frame, spread for reading."""
-    return index.select("bundle", "frame").distinct()
+    """(bundle, frame): one row per frame, dealt to as many tasks as a shuffle has partitions.
+
+    The rows are tiny but stand for whole frames, so they must not be merged
+    into few tasks by size; hence the given number.
+    """
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.select("bundle", "frame").distinct().repartition(n, "bundle", "frame")
 
 
 _READ = "record_id string, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
