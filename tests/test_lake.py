@@ -123,13 +123,19 @@ def test_failed_landing_leaves_no_partial_files(spark, lake_root):
 
 
 def test_storage_report(spark, lake_root):
+    from pathlib import Path
+
     from tickerlake.operators.ops import file_counts, storage_report
     from tickerlake.sources import fixtures
 
     feed = fixtures.landing_feed(spark, "/root/testdata/sf0.001")
     lake.land_events(spark, feed, lake_root)
     ev = lake.read_events(spark, lake_root)
-    r = storage_report(ev).first()
+    assert storage_report(lake.event_files(spark, lake_root + "-none"), ev.limit(0)).first().bytes == 0
+    files = lake.event_files(spark, lake_root)
+    r = storage_report(files, ev).first()
+    on_disk = [p for p in Path(lake_root).rglob("*.parquet")]
+    assert r.files == len(on_disk) and r.bytes == sum(p.stat().st_size for p in on_disk)
     parts = file_counts(ev).collect()
     assert r.rows == feed.count() == sum(p.rows for p in parts)
     assert r.files == sum(p.files for p in parts) >= len(parts) > 0

@@ -69,3 +69,31 @@ def test_all_caps_emphasis(spark):
     assert s[1]["compound"] > s[0]["compound"]  # caps word among lower-case words
     assert s[2]["compound"] == s[3]["compound"]  # all words caps: no emphasis
     assert s[4]["compound"] == s[0]["compound"]
+
+
+def test_each_rule_is_met_in_documents(spark):
+    """Switching any one rule off changes the scores of at least 1 % of the texts."""
+    from dataclasses import replace
+    from decimal import Decimal
+
+    from tickerlake.plans.params import RULE_LEXICON, RULE_PARAMS
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, zero = Decimal("1.0"), Decimal("0.000")
+
+    def scores(params):
+        rows = score_texts(docs, lexicon_df(spark, RULE_LEXICON), keep=["doc_id"], params=params).collect()
+        return {r.doc_id: r.compound for r in rows}
+
+    base = scores(RULE_PARAMS)
+    off = {
+        "negation": {"negation_scalar": Decimal("1.00")},
+        "boosters": {"booster_decay": (zero, zero, zero)},
+        "contrast": {"before_contrast": one, "after_contrast": one},
+        "exclamation": {"exclaim_step": zero},
+        "caps": {"caps_step": zero},
+    }
+    for rule, change in off.items():
+        other = scores(replace(RULE_PARAMS, **change))
+        changed = sum(base[d] != other[d] for d in base)
+        assert changed >= 0.01 * len(base), (rule, changed, len(base))

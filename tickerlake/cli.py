@@ -28,8 +28,8 @@ def main(argv: list[str] | None = None) -> int:
         c = sub.add_parser(name, help=help_)
         c.add_argument("--lake", required=True, help="lake root (any Hadoop file system URI)")
         c.add_argument("--show", type=int, default=50, help="rows to print")
-        c.add_argument("--since", default=None, help="first date (query, tickers)")
-        c.add_argument("--until", default=None, help="last date (query, tickers)")
+        c.add_argument("--since", default=None, help="first date (query, score, tickers, signal, report)")
+        c.add_argument("--until", default=None, help="last date (query, score, tickers, signal, report)")
         return c
 
     c = cmd("ingest", "land JSON item files with a streaming job")
@@ -73,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "query":
         jobs.summarize(spark, a.lake, since=a.since, until=a.until).show(a.show, truncate=False)
     elif a.cmd == "score":
-        print(f"scored {jobs.score_lake(spark, a.lake)} events")
+        print(f"scored {jobs.score_lake(spark, a.lake, since=a.since, until=a.until)} events")
     elif a.cmd == "tickers":
         jobs.ticker_view(spark, a.lake, a.grain, since=a.since, until=a.until).show(a.show, truncate=False)
     elif a.cmd == "market":
@@ -89,14 +89,14 @@ def main(argv: list[str] | None = None) -> int:
         )
         print(f"wrote {n} bars")
     elif a.cmd == "signal":
-        sig = jobs.signal_view(spark, a.lake, limit=a.limit or None)
+        sig = jobs.signal_view(spark, a.lake, limit=a.limit or None, since=a.since, until=a.until)
         if a.out:
             sig.write.mode("overwrite").parquet(a.out)
         else:
             sig.show(a.show, truncate=False)
     elif a.cmd == "report":
-        jobs.backtest_report(spark, a.lake, limit=a.limit or None).show(truncate=False)
-        ops.storage_report(lake.read_events(spark, a.lake)).show(truncate=False)
+        jobs.backtest_report(spark, a.lake, limit=a.limit or None, since=a.since, until=a.until).show(truncate=False)
+        ops.storage_report(lake.event_files(spark, a.lake), lake.read_events(spark, a.lake)).show(truncate=False)
     elif a.cmd == "metrics":
         ops.pipeline_metrics(lake.read_events(spark, a.lake), lake.read_sentiment(spark, a.lake)).show(
             a.show, truncate=False

@@ -46,22 +46,18 @@ def equity_curve(signal: DataFrame, chunk_unit: str = "hour") -> DataFrame:
     Columns: ticker, bucket, pos, pnl (NULL on flat rows), is_trade, cum_pnl,
     peak, drawdown (the last three NULL on flat rows). Order (bucket, ticker).
     """
-    rows = with_pnl(signal).select(
-        "ticker",
-        "bucket",
-        "pos",
-        F.when(F.col("pos") != 0, F.col("pnl")).alias("pnl"),
-        (F.col("pos") != 0).alias("is_trade"),
-        F.date_trunc(chunk_unit, F.col("bucket")).alias("_chunk"),
-    )
+    rows = with_pnl(signal).select("ticker", "bucket", "pos", "pnl", F.date_trunc(chunk_unit, F.col("bucket")).alias("_chunk"))
+    is_trade = F.col("pos") != 0
+    won = F.when(is_trade, F.col("pnl"))
     upto = Window.partitionBy("_chunk").orderBy("bucket", "ticker").rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumn("_p", F.sum("pnl").over(upto))
-    local = local.withColumn("_lmax", F.max(F.when(F.col("is_trade"), F.col("_p"))).over(upto))
-
+    local = rows.withColumn("_p", F.sum(won).over(upto))
+    # Both uses of ``local`` read the same columns, so the signal and its
+    # shuffle by chunk are evaluated once (the second is a reused exchange).
     chunks = local.groupBy("_chunk").agg(
-        F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("_s"),
-        F.max(F.when(F.col("is_trade"), F.col("_p"))).alias("_m"),
+        F.coalesce(F.sum(won), F.lit(0.0)).alias("_s"),
+        F.max(F.when(is_trade, F.col("_p"))).alias("_m"),
     )
+    local = local.withColumn("_lmax", F.max(F.when(is_trade, F.col("_p"))).over(upto))
     # One row per chunk (hour); ordered scan over a small table.
     earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_off", F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)))
@@ -74,11 +70,11 @@ def equity_curve(signal: DataFrame, chunk_unit: str = "hour") -> DataFrame:
         "ticker",
         "bucket",
         "pos",
-        "pnl",
-        "is_trade",
-        F.when(F.col("is_trade"), cum).alias("cum_pnl"),
-        F.when(F.col("is_trade"), peak).alias("peak"),
-        F.when(F.col("is_trade"), cum - peak).alias("drawdown"),
+        won.alias("pnl"),
+        is_trade.alias("is_trade"),
+        F.when(is_trade, cum).alias("cum_pnl"),
+        F.when(is_trade, peak).alias("peak"),
+        F.when(is_trade, cum - peak).alias("drawdown"),
     )
 
 
@@ -111,13 +107,14 @@ def summary(signal: DataFrame) -> DataFrame:
     )
 
 
-def with_costs(signal: DataFrame, cost_bps: float = 1.0, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Per-row pnl net of a cost of ``cost_bps`` per unit of position change.
+def with_costs(
+    signal: DataFrame, cost_bps: float = 1.0, slippage_bps: float = 0.0, block_rows: int = DEFAULT_BLOCK_ROWS
+) -> DataFrame:
+    """Per-row pnl net of fees and slippage (both in basis points) per unit of position change.
 
     Turnover is |pos - previous pos| within a ticker in bucket order (the
-    first row trades from flat). Unless the input is estimated small, the
-    previous row comes from a blocked window (see ``plans.windows``), so no
-    ticker's history sits in one task.
+    first row trades from flat). The previous row comes from a blocked
+    window (see ``plans.windows``), so no ticker's history sits in one task.
     """
     p = with_pnl(signal).select("ticker", "bucket", "pos", "pnl")
     spread, w = blocked_rows(p, "ticker", "bucket", lookback=1, block_rows=block_rows)
@@ -128,7 +125,7 @@ def with_costs(signal: DataFrame, cost_bps: float = 1.0, block_rows: int = DEFAU
         "pos",
         "pnl",
         turnover.alias("turnover"),
-        (F.col("pnl") - turnover * F.lit(cost_bps / 10_000.0)).alias("net_pnl"),
+        (F.col("pnl") - turnover * F.lit((cost_bps + slippage_bps) / 10_000.0)).alias("net_pnl"),
         CTX,
         BLK,
         IDX,

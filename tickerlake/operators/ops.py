@@ -14,19 +14,19 @@ def partition_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("source", "dt", "hr").agg(F.count(F.lit(1)).alias("n"))
 
 
-def storage_report(table: DataFrame, events_per_sec: float = 100.0) -> DataFrame:
+def storage_report(files: DataFrame, table: DataFrame, events_per_sec: float = 100.0) -> DataFrame:
     """Compressed bytes on disk, rows, bytes/row, GB/day and $/month at a rate.
 
-    Reads only Parquet footers' worth of metadata per file: ``_metadata``
-    gives each row's file path and size; sizes are summed once per file.
-    One output row.
+    ``files`` (path, length) is a file listing such as ``lake.event_files``;
+    the rows of ``table`` are counted without reading a column. One output
+    row.
     """
-    files = table.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
-    per_file = files.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"))
-    tot = per_file.agg(
-        F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("rows"),
-        F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"),
+    listed = files.agg(F.count(F.lit(1)).alias("files"), F.lit(0).cast("long").alias("rows"), F.sum("length").alias("bytes"))
+    counted = table.agg(F.lit(0).cast("long").alias("files"), F.count(F.lit(1)).alias("rows"), F.lit(0).cast("long").alias("bytes"))
+    tot = listed.unionByName(counted).agg(
+        F.sum("files").alias("files"),
+        F.sum("rows").alias("rows"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"),
     )
     per_row = F.when(F.col("rows") > 0, F.col("bytes") / F.col("rows")).otherwise(0.0)
     gb_day = per_row * F.lit(86400.0 * events_per_sec) / F.lit(1024.0**3)
@@ -94,28 +94,32 @@ def pipeline_metrics(
     """
     from tickerlake.operators.ingest import reject_counts
 
-    def rows(df: DataFrame, name: str, value: str, reason=None) -> DataFrame:
-        return df.select(
-            F.lit(name).alias("name"),
-            F.col("source"),
-            (F.col(reason) if reason else F.lit(None).cast("string")).alias("reason"),
-            F.col(value).cast("long").alias("value"),
-        )
+    def counters(df: DataFrame, named: dict[str, str]) -> DataFrame:
+        """One row per counter from one aggregate, so each table is read once."""
+        each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("long").alias("value")) for n, c in named.items()])
+        return df.select("source", F.explode(each).alias("c")).select("c.name", "source", F.lit(None).cast("string").alias("reason"), "c.value")
 
     ev = events.groupBy("source").agg(
         F.count(F.lit(1)).alias("events_out"),
         F.countDistinct("dt", "hr").alias("partitions"),
     )
-    parts = [rows(ev, "sink.events_out", "events_out"), rows(ev, "sink.partitions", "partitions")]
+    parts = [counters(ev, {"sink.events_out": "events_out", "sink.partitions": "partitions"})]
     if scored is not None:
         sc = scored.groupBy("source").agg(
             F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("tickers") > 0, True)).alias("t")
         )
-        parts += [rows(sc, "score.events_out", "n"), rows(sc, "score.with_tickers", "t")]
+        parts.append(counters(sc, {"score.events_out": "n", "score.with_tickers": "t"}))
     if items is not None:
-        rc = reject_counts(items).withColumn("source", F.lit(item_source))
-        total = rc.groupBy("source").agg(F.sum("n").alias("n"))
-        parts += [rows(total, "ingest.events_in", "n"), rows(rc.filter(F.col("reason") != "accepted"), "ingest.events_skipped", "n", "reason")]
+        rc = reject_counts(items).rollup("reason").agg(F.sum("n").alias("n"), F.grouping("reason").alias("all"))
+        everything = F.col("all") == 1
+        parts.append(
+            rc.filter(everything | (F.col("reason") != "accepted")).select(
+                F.when(everything, "ingest.events_in").otherwise("ingest.events_skipped").alias("name"),
+                F.lit(item_source).alias("source"),
+                "reason",
+                F.col("n").cast("long").alias("value"),
+            )
+        )
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

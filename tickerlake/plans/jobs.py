@@ -108,14 +108,20 @@ def ticker_view(spark: SparkSession, root: str, grain: str = "minute", limit: in
     return features.latest_per_ticker(lake.read_sentiment(spark, root, since, until), grain, limit)
 
 
-def signal_view(spark: SparkSession, root: str, limit: int | None = None, frame: str = "rows") -> DataFrame:
+def signal_view(spark: SparkSession, root: str, limit: int | None = None, frame: str = "rows", since=None, until=None) -> DataFrame:
+    """Signal over the scored table and the bars (closes are NULL without bars).
+
+    ``since``/``until`` (dates, inclusive) prune both tables at the scan;
+    rolling frames then start at ``since``.
+    """
     prepare_session(spark)
-    return signal.build_signal(lake.read_sentiment(spark, root), lake.read_market(spark, root), limit=limit, frame=frame)
+    scored = lake.read_sentiment(spark, root, since, until)
+    return signal.build_signal(scored, lake.read_market(spark, root, since, until), limit=limit, frame=frame)
 
 
-def backtest_report(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
+def backtest_report(spark: SparkSession, root: str, limit: int | None = None, since=None, until=None) -> DataFrame:
     """One-row backtest summary over the signal (all rows, or the newest ``limit``)."""
-    return backtest.summary(signal_view(spark, root, limit=limit))
+    return backtest.summary(signal_view(spark, root, limit=limit, since=since, until=until))
 
 
 def market_anchor(spark: SparkSession, root: str, minutes: int = 120) -> DataFrame:

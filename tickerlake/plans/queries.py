@@ -121,6 +121,12 @@ def q_docs_score(spark, sf_dir):
     return sentiment.score_texts(docs, lexicon_df(spark), keep=["doc_id"])
 
 
+def q_docs_score_rules(spark, sf_dir):
+    """Documents scored with a lexicon of their own frequent words, so that every rule is met often."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return sentiment.score_texts(docs, lexicon_df(spark, QP.RULE_LEXICON), keep=["doc_id"], params=QP.RULE_PARAMS)
+
+
 def q_score(spark, sf_dir):
     s = scored_feed(spark, sf_dir)
     return s.select(
@@ -249,7 +255,19 @@ def q_pipeline_metrics(spark, sf_dir):
 def q_storage_cost(spark, sf_dir):
     """Land the feed, then report compressed bytes, bytes/row and cost."""
     root = _landed_lake(spark, sf_dir)
-    return ops.storage_report(lake.read_events(spark, root))
+    return ops.storage_report(lake.event_files(spark, root), lake.read_events(spark, root))
+
+
+def q_storage_check(spark, sf_dir):
+    """The storage report's rows, and whether its other figures agree with each other."""
+    r = q_storage_cost(spark, sf_dir)
+    day = F.col("bytes") / F.col("rows") * 86400 * 100 / F.lit(1024.0**3)
+    return r.select(
+        "rows",
+        (F.col("files") >= 24).alias("file_per_partition"),
+        F.col("bytes").between(F.col("rows"), F.col("rows") * 200).alias("bytes_in_range"),
+        (F.abs(F.col("usd_per_month") - day * 30 * ops.PRICE_PER_GB_MONTH) < 1e-9).alias("cost_agrees"),
+    )
 
 
 def q_compact(spark, sf_dir):
@@ -286,6 +304,45 @@ def q_market_lake(spark, sf_dir):
     return lake.read_market(spark, root).select("ticker", "ts", "open", "high", "low", "close", "volume", "dt", "hr")
 
 
+def _scored_lake(spark: SparkSession, sf_dir: str, with_bars: bool = True) -> str:
+    """The feed landed and scored, and the bars written unless told otherwise."""
+    from tickerlake.plans import jobs
+
+    root = _landed_lake(spark, sf_dir)
+    jobs.score_lake(spark, root, scored_ts=QP.SCORED_TS)
+    if with_bars:
+        jobs.write_bars(spark, root, fixtures.prints(spark, sf_dir))
+    return root
+
+
+def q_signal_lake(spark, sf_dir):
+    """The signal read from lake tables, through the job."""
+    from tickerlake.plans import jobs
+
+    return jobs.signal_view(spark, _scored_lake(spark, sf_dir))
+
+
+def q_signal_no_market(spark, sf_dir):
+    """The signal of a lake that has no bars yet: closes and returns are NULL."""
+    from tickerlake.plans import jobs
+
+    return jobs.signal_view(spark, _scored_lake(spark, sf_dir, with_bars=False))
+
+
+def q_backtest_lake(spark, sf_dir):
+    from tickerlake.plans import jobs
+
+    return _round(jobs.backtest_report(spark, _scored_lake(spark, sf_dir)), _SUMMARY_DIGITS)
+
+
+def q_redelivered(spark, sf_dir):
+    """The feed landed, then delivered again five hours later: nothing is added."""
+    root = _landed_lake(spark, sf_dir)
+    later = F.col("event_ts") + 5 * 3_600_000
+    lake.land_events(spark, fixtures.landing_feed(spark, sf_dir).withColumn("event_ts", later), root)
+    return lake.read_events(spark, root).select(*LAKE_COLS)
+
+
 def q_market_window(spark, sf_dir):
     """Bars for the mentioned tickers only, in a window centred on the events."""
     from tickerlake.plans import jobs
@@ -316,6 +373,22 @@ def q_stream_land(spark, sf_dir):
     return lake.read_events(spark, root).select(*STREAM_COLS)
 
 
+def q_stream_land_dedup(spark, sf_dir):
+    """Every item delivered twice, in two rounds of files; items without a time are kept."""
+    from tickerlake.streaming import land as sland
+
+    base = scratch_path(spark, "stream-dedup")
+    for delivery in ("first", "again"):
+        fixtures.write_time_chunks(fixtures.item_json_lines(spark, sf_dir), f"{base}/in/{delivery}", chunks=2)
+    root = f"{base}/lake"
+    q = sland.start_landing(
+        spark, f"{base}/in/*/*", root, f"{base}/ckpt", source=QP.ITEM_SOURCE, ingested_ts=QP.INGEST_CLOCK_MS,
+        max_files_per_trigger=1,
+    )
+    q.awaitTermination()
+    return lake.read_events(spark, root).select(*STREAM_COLS)
+
+
 def q_stream_minute(spark, sf_dir):
     """Feed as JSON files -> watermarked 1-minute counts in update mode -> latest per window."""
     from tickerlake.schemas import EVENT_SCHEMA

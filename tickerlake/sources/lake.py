@@ -17,6 +17,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickerlake.functions.tables import empty_table
 from tickerlake.functions.timecols import dt_of, event_at, hr_of
@@ -78,6 +79,15 @@ def read_events(spark: SparkSession, root: str, since=None, until=None) -> DataF
     return df.withColumn("event_at", event_at(F.col("event_ts")))
 
 
+def event_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of the raw lake's Parquet files; no file content is read."""
+    glob = f"{root.rstrip('/')}/source=*"
+    if not _glob_matches(spark, glob):
+        return empty_table(spark, T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType())]))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    return found.load(glob).select("path", "length")
+
+
 def read_sentiment(spark: SparkSession, root: str, since=None, until=None) -> DataFrame:
     base = sentiment_root(root)
     df = _date_window(_read(spark, base, f"{base}/source=*", SENTIMENT_SCHEMA, EVENT_PARTITIONS), since, until)
