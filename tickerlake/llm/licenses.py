@@ -138,8 +138,12 @@ def fit(docs: DataFrame, o: Options = Options()) -> Model:
     model = Model(features, None, None, 1.0, own[:, 1], own[:, 0], size, family)
 
     lines, y = _examples(o, rng)
-    some = docs.select("doc_id", "text").where("text IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").select("text").limit(o.max_rows)
-    corpus = [x for r in some.collect() for x in r["text"].split("\n") if x.strip()]  # whole texts of at most max_rows documents
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
+    share = o.max_rows / max(texts.count(), o.max_rows)
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
+    # about max_rows whole texts (equal rows count once), however large the table
+    some = texts.where(drawn).dropDuplicates().select("text").limit(2 * o.max_rows)
+    corpus = [x for t in sorted(r["text"] for r in some.collect()) for x in t.split("\n") if x.strip()]
     lines, y = lines + corpus, np.array(y + [len(FAMILIES) - 1] * len(corpus))
     x = np.zeros((len(lines), len(features)), np.float32)
     gram, row, _ = _ngrams(_chunk_of(lines))
