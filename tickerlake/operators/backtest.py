@@ -47,6 +47,7 @@ def equity_curve(signal: DataFrame, chunk_unit: str = "hour") -> DataFrame:
     peak, drawdown (the last three NULL on flat rows). Order (bucket, ticker).
     """
     rows = with_pnl(signal).select("ticker", "bucket", "pos", "pnl", F.date_trunc(chunk_unit, F.col("bucket")).alias("_chunk"))
+    rows = rows.filter(F.col("_chunk").isNotNull())  # said for both uses; the join below says it for one only
     is_trade = F.col("pos") != 0
     won = F.when(is_trade, F.col("pnl"))
     upto = Window.partitionBy("_chunk").orderBy("bucket", "ticker").rowsBetween(Window.unboundedPreceding, 0)
