@@ -239,3 +239,9 @@ def test_pipeline_stages_keep_columns(spark):
             assert out.columns == docs.columns
         assert 0 < out.count() <= docs.count()
         docs = out
+
+
+def test_warc_frames_are_read_by_many_tasks(spark):
+    frames = warc.frames_of(spark.range(400).select(F.lit("b").alias("bundle"), F.col("id").cast("int").alias("frame")))
+    tasks = frames.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert frames.count() == 400 and tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -170,10 +170,12 @@ def frames_of(index: DataFrame) -> DataFrame:
     """(bundle, frame): one row per frame, dealt to as many tasks as a shuffle has partitions.
 
     The rows are tiny but stand for whole frames, so they must not be merged
-    into few tasks by size; hence the given number.
+    into few tasks by size; hence the given number. They are dealt by a hash:
+    by the columns of ``distinct`` themselves the repartition would be
+    dropped as redundant, and its shuffle merged by size after all.
     """
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return index.select("bundle", "frame").distinct().repartition(n, "bundle", "frame")
+    return index.select("bundle", "frame").distinct().repartition(n, F.xxhash64("bundle", "frame"))
 
 
 _READ = "record_id string, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
