@@ -99,7 +99,11 @@ def test_near_duplicates_edges(spark):
     got = minhash_dedup.near_duplicates(docs_of(spark, EDGES)).collect()
     assert len(got) == len(EDGES)
     assert minhash_dedup.near_duplicates(docs_of(spark, [])).count() == 0
-    assert minhash_dedup.deduplicate(docs_of(spark, [(1, "a b c"), (2, "a b c"), (3, None), (4, None)])).count() == 3
+    rows = [(1, "a b c"), (2, "a b c"), (1, "a b c"), (None, "a b c"), (3, None), (4, None), (4, None), (5, " \t"), (6, "d e f"), (6, "d e f")]
+    clash = docs_of(spark, rows).withColumns({"_key": F.lit("own"), "key": F.lit(3), "vertex": F.lit(4)})
+    kept = minhash_dedup.deduplicate(clash)
+    assert sorted((r.doc_id, r.text or "", r._key, r.score) for r in kept.collect()) == [
+        (1, "a b c", "own", "mine"), (3, "", "own", "mine"), (4, "", "own", "mine"), (4, "", "own", "mine"), (5, " \t", "own", "mine"), (6, "d e f", "own", "mine")]
 
 
 def test_components_chain(spark):
@@ -245,3 +249,53 @@ def test_warc_frames_are_read_by_many_tasks(spark):
     frames = warc.frames_of(spark.range(400).select(F.lit("b").alias("bundle"), F.col("id").cast("int").alias("frame")))
     tasks = frames.select(F.spark_partition_id().alias("p")).distinct().count()
     assert frames.count() == 400 and tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stage_rows(spark):
+    """Documents with nulls in every column, long, blank and repeated texts and clashing extra columns."""
+    rows = [(d, t, "en" if i % 2 else None, f"s{i % 3}" if i % 3 else None) for i, (d, t) in enumerate(EDGES)] + [(None, None, None, None)] * 2
+    rows += [(100 + i, " ".join(f"plain{(i * 7 + k) % 50}" for k in range(30)), "en", "s1") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    extra = ["score", "mean", "peak", "row", "key", "_key", "digest", "n_words", "size", "target", "spans", "items", "kept", "vertex"]
+    return docs.withColumns({c: F.lit(f"own {c}") for c in extra})
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_edge_rows(spark, empty):
+    import corpus_pipeline
+
+    docs = stage_rows(spark)
+    docs = docs.limit(0) if empty else docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        if name == "mixing":
+            assert out.columns == ["doc_id", "size", "source_size", "target", "taken"] and len(rows) == docs.count()
+            continue
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert all(r.score == "own score" and r._key == "own _key" and r.digest == "own digest" for r in rows)
+        was, now = ({str(r) for r in x} for x in (docs.collect(), rows))
+        assert now <= was and empty == (not now)
+        if name != "near_duplicates":
+            assert len(rows) == docs.count()  # clean rows all stay
+        docs = spark.createDataFrame(rows, docs.schema)
+
+
+def test_operators_on_edge_rows(spark):
+    docs = stage_rows(spark)
+    n = docs.count()
+    assert fingerprint.against_next(docs).count() == n == fingerprint.fingerprints(docs).count()
+    assert ctw.score(docs, F.pmod("doc_id", F.lit(10)) == 0, F.col("lang")).count() == n
+    assert ctw.score(docs.limit(0), F.lit(False), F.col("lang")).count() == 0
+    assert mixing.mix(docs).count() == n and decontam.find(docs, docs.select(F.col("doc_id").alias("item_id"), "text")).count() == n
+    model = licenses.fit(docs)
+    assert licenses.scan(docs, model).count() == n and licenses.scan(docs.limit(0), licenses.fit(docs.limit(0))).count() == 0
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs, spark.createDataFrame([(100, 1), (101, 0), (102, None), (None, 1)], "doc_id bigint, toxic int"))).count() == 0
+    turns = spark.createDataFrame([(None, None, None, None), (1, 0, "user", None), (1, 0, "user", None), (2, None, "assistant", "x" * 50_000)], "conv_id bigint, turn bigint, role string, text string").withColumn("formatted", F.lit("own"))
+    out = chat.format_records(chat.rows_to_records(turns), "conv_id").withColumn("back", chat.read_back(F.col("formatted")))
+    assert {r.conv_id: len(r.back) for r in out.collect()} == {None: 1, 1: 2, 2: 1}
+    assert chat.format_records(chat.rows_to_records(turns.limit(0)), "conv_id").count() == 0
+    pages = spark.createDataFrame([(None, None, None), (1, "http://a.org/x", "h"), (1, "http://a.org/x", "h"), (2, "http://" + "y" * 60_000, "")], "page_id bigint, url string, html string").withColumns({"host": F.lit("own"), "rule": F.lit(1), "key": F.lit(2), "digest": F.lit(3)})
+    assert url_filter.judge(pages, queries.URL_RULES, url_filter.Cascade()).count() == 4
+    folder, index = warc.archive(pages)
+    assert warc.read(spark, folder, warc.frames_of(index)).count() == 4

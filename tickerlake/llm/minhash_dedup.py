@@ -391,11 +391,16 @@ def near_duplicates(docs: DataFrame, o: Options = Options()) -> DataFrame:
 def deduplicate(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """One row of ``docs`` per component: the one with the least doc_id (ties: the least text hash).
 
-    Documents without words have no links and all stay.
+    Rows that share doc_id and text are one document, and any one of them
+    stays. Documents without words have no links and all stay.
     """
     found = near_duplicates(docs, o)
-    alone = found.where("n_shingles = 0").select("key")
     first = found.where("n_shingles > 0 AND kept").groupBy("component_id").agg(F.min("key").alias("key")).select("key")
-    keep = alone.unionByName(first).distinct()
-    marked = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
-    return marked.join(keep.withColumnRenamed("key", "_key"), "_key", "left_semi").drop("_key")
+    key = "_key"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    has_words = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = docs.where(has_words).withColumn(key, F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
+    # the join shuffles by key where it shuffles, and the repeats meet there
+    kept = marked.join(first.withColumnRenamed("key", key), key, "left_semi").dropDuplicates([key]).drop(key)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~has_words))

@@ -229,4 +229,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    return score(docs, model).where(F.col("score") < threshold).select(*docs.columns)
+    """Rows of ``docs`` that score below ``threshold``; all their columns keep their values."""
+    others = [c for c in docs.columns if c != "text"]
+    bare = docs.select("text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    kept = score(bare, model).where(F.col("score") < threshold)
+    return kept.select("text", *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)]).select(*[F.col(f"`{c}`") for c in docs.columns])
