@@ -1,6 +1,7 @@
 """Lexicon scoring (reference expectations) and its rules."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickerlake.functions.lexicon import lexicon_df
 from tickerlake.operators.sentiment import score_texts
@@ -54,8 +55,12 @@ def test_shares_sum_to_one(spark):
 
 
 def test_duplicates_stay_duplicate(spark):
-    df = spark.createDataFrame([(1, "love it"), (1, "love it")], "id long, text string")
-    assert score_texts(df, lexicon_df(spark), keep=["id"]).count() == 2
+    rows = [(1, "love it"), (1, "love it"), (1, "love it"), (1, "awful, awful close"), (2, None), (2, None), (2, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = score_texts(df, lexicon_df(spark), keep=["id"]).collect()
+    once = {t: score_texts(df.where(F.col("text") == t).limit(1), lexicon_df(spark), keep=["id"]).first() for t in ("love it", "awful, awful close")}
+    assert len(got) == len(rows) and got.count(once["love it"]) == 3 and got.count(once["awful, awful close"]) == 1
+    assert [r.compound for r in got if r.id == 2] == [0.0] * 3
 
 
 def test_worked_values(spark):

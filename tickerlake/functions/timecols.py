@@ -41,8 +41,3 @@ def dt_of(ms: Column) -> Column:
 def hr_of(ms: Column) -> Column:
     """UTC two-digit hour partition value of an epoch-ms column."""
     return F.date_format(F.timestamp_millis(ms), "HH")
-
-
-def minute_ms(ms: Column) -> Column:
-    """Epoch ms truncated to the minute, still epoch ms (floor for negatives)."""
-    return ms - F.pmod(ms, F.lit(60_000))

@@ -15,20 +15,16 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of ``df`` in bytes, or None when unavailable."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        # a Scala BigInt; py4j may hand it over as an int or as an object
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # pragma: no cover - e.g. Spark Connect sessions
-        return None
+def estimated_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate of ``df`` in bytes."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    # a Scala BigInt; py4j may hand it over as an int or as an object
+    return int(str(stats.sizeInBytes()))
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """``broadcast(df)`` if its estimated size is at most ``limit``, else ``df``."""
-    size = estimated_bytes(df)
-    if size is not None and size <= limit:
+    if estimated_bytes(df) <= limit:
         return F.broadcast(df)
     return df
 
@@ -44,14 +40,8 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
-    size = estimated_bytes(df)
-    if size is None:
-        return df
-    try:
-        split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    except Exception:  # pragma: no cover
-        split = 128 * 1024 * 1024
-    if -(-size // max(split, 1)) >= target:
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if -(-estimated_bytes(df) // max(split, 1)) >= target:
         return df
     # Hash of the whole row: deterministic on retry without the local sort a
     # round-robin repartition needs.

@@ -70,29 +70,6 @@ ITEM_SCHEMA = T.StructType(
     ]
 )
 
-SIGNAL_COLUMNS = (
-    "ticker",
-    "bucket",
-    "z_mentions",
-    "sentiment_shift",
-    "composite",
-    "position",
-    "close_now",
-    "close_fwd_5m",
-    "fwd_ret_5m",
-)
-
-BACKTEST_COLUMNS = (
-    "n_signals",
-    "n_trades",
-    "total_pnl",
-    "mean_pnl",
-    "std_pnl",
-    "sharpe_annual",
-    "max_drawdown",
-    "hit_rate",
-)
-
 
 class SchemaDrift(ValueError):
     """Raised when a DataFrame does not match a table contract."""

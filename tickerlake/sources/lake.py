@@ -176,12 +176,6 @@ def land_events(spark: SparkSession, df: DataFrame, root: str, max_records_per_f
     return write_partitioned(with_hour_partitions(fresh, "event_ts"), base, EVENT_PARTITIONS, "event_ts", "append", max_records_per_file)
 
 
-def overwrite_events(df: DataFrame, root: str) -> int:
-    """Replace the partitions present in ``df`` (no dedup; the batch is the truth)."""
-    out = with_hour_partitions(conform(df, EVENT_SCHEMA), "event_ts")
-    return write_partitioned(out, root.rstrip("/"), EVENT_PARTITIONS, "event_ts", "overwrite")
-
-
 def write_sentiment(df: DataFrame, root: str) -> int:
     """Dynamic overwrite of the sentiment partitions present in ``df``."""
     out = with_hour_partitions(conform(df, SENTIMENT_SCHEMA), "event_ts")
