@@ -70,25 +70,18 @@ def score_texts(
 
     ``keep`` must not include the text column (it is not carried through
     the shuffle). Duplicate input rows stay duplicate.
+
+    Rows are numbered where they are read, so ``df`` has to give a repeated
+    task its rows in the same order, as scans and written tables do; store the
+    result of a shuffle before it is scored.
     """
     contrib, group_cols = token_contributions(df, lexicon, keep, text_col, params)
-    # Equal rows are one group and add up alike: each has its exact share of
-    # the sums. The key comes from the row itself, so a repeated task, whatever
-    # order its input has, gives the same groups.
-    copies = F.count_if("__first")
-
-    def share(c: Column) -> Column:
-        return (F.sum(c) / copies).cast("decimal(28,8)")
-
-    c = F.col("__c")
     per_row = contrib.groupBy(*group_cols).agg(
-        copies.alias("__copies"),
-        share(c).alias("__s"),
-        share(F.when(c > 0, c + 1)).alias("__pos"),
-        share(F.when(c < 0, c - 1)).alias("__neg"),
-        (F.count(F.when(c != 0, True)) / copies).cast("bigint").alias("__hits"),
+        F.sum("__c").alias("__s"),
+        F.sum(F.when(F.col("__c") > 0, F.col("__c") + 1)).alias("__pos"),
+        F.sum(F.when(F.col("__c") < 0, F.col("__c") - 1)).alias("__neg"),
+        F.count(F.when(F.col("__c") != 0, True)).alias("__hits"),
     )
-    per_row = per_row.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return per_row.select(*keep, *_finish(params))
 
 
@@ -99,9 +92,8 @@ def token_contributions(
     text_col: str = "text",
     params: ScoringParams = DEFAULT_PARAMS,
 ) -> tuple[DataFrame, list[str]]:
-    """Rows per text (group columns + ``__first`` + ``__c``): one per
-    lexicon-word token, plus the text's first token row (``__first``) so every
-    text is present.
+    """Rows per text (group columns + ``__c``): one per lexicon-word token,
+    plus the text's first token row so every text is present.
 
     ``__c`` is the token's exact DECIMAL contribution, NULL for tokens that
     are not lexicon words. Internal columns start with ``__``.
@@ -111,8 +103,8 @@ def token_contributions(
     if clash:
         raise ValueError(f"keep columns may not start with '__' or be the text column: {clash}")
     base = (
-        ensure_parallelism(df.select(*keep, F.col(text_col).alias("__text")))
-        .withColumn("__row", F.xxhash64("__text"))
+        # numbered at the scan, before any shuffle, so a repeated task numbers alike
+        ensure_parallelism(df.select(*keep, F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row")))
         .withColumn("__otoks", raw_tokens(F.col("__text"), p))
         .withColumn("__excl", F.least(exclamations(F.col("__text")), F.lit(p.exclaim_cap)))
         .drop("__text")
@@ -206,8 +198,7 @@ def token_contributions(
         .otherwise(neg_scaled)
     )
     c = contrasted.cast(CONTRIB_TYPE)
-    first = F.col("__i").isNull() | (F.col("__i") == 1)
-    return j.select(*group_cols, first.alias("__first"), c.alias("__c")), group_cols
+    return j.select(*group_cols, c.alias("__c")), group_cols
 
 
 def _finish(p: ScoringParams) -> list[Column]:
