@@ -299,3 +299,45 @@ def test_operators_on_edge_rows(spark):
     assert url_filter.judge(pages, queries.URL_RULES, url_filter.Cascade()).count() == 4
     folder, index = warc.archive(pages)
     assert warc.read(spark, folder, warc.frames_of(index)).count() == 4
+
+
+def test_ctw_keeps_every_byte_string(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 12))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(words, 12)), "xyz"[i % 3], i % 5 == 0) for i in range(120)] + [(900, "unheard banana", "x", True), (901, None, None, False)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, out boolean")
+    o = ctw.Options(piece=50, max_frequent=20)
+    ends = [sum(1 for r in rows if not r[3] and r[2] == c) for c in (None, "x", "y", "z")]
+    most = sorted("xyz", key=lambda c: (-ends[" xyz".index(c)], c))
+    ends = [ends[0], *[ends[" xyz".index(c)] for c in most]]
+    # the whole tree, grown in one piece from plain Python's counts
+    n = {}
+
+    def add(k, string, times=1):
+        for d in range(8):
+            gram = (d, int.from_bytes(string[-d - 1 :], "big"))
+            n[gram] = n.get(gram, 0) + times
+
+    for _, text, lang, out in rows:
+        k = 1 + most.index(lang) if lang else 0
+        if not out:
+            add(k, bytes([1 + k, 0x0A]))
+            for w in split(text):
+                s = bytes([1 + k]) + w.encode() + b" "
+                for i in range(2, len(s) + 1):
+                    add(k, s[:i])
+    levels = [sorted((g, c) for (d, g), c in n.items() if d == depth) for depth in range(8)]
+    tree = ctw.grow([np.array([g for g, _ in x], np.uint64) for x in levels], [np.array([c for _, c in x], float) for x in levels])
+
+    def log10(k, text):
+        total = tree.log10(np.array([(1 + k) << 8 | 0x0A], np.uint64))[0] + np.log10((ends[k] + 0.5) / (sum(ends) + 2))
+        for w in split(text):
+            s = bytes([1 + k]) + w.encode() + b" "
+            total += tree.log10(np.array([int.from_bytes(s[max(0, i - 8) : i], "big") for i in range(2, len(s) + 1)], np.uint64)).sum()
+        return total
+
+    got = {r.doc_id: r.score for r in ctw.score(docs, F.col("out"), F.col("lang"), o).collect()}
+    assert len(got) == len(rows)
+    for i, text, _, _ in rows:
+        want = np.log10(sum(10 ** (log10(k, text) + 60) for k in range(4))) - 60
+        assert abs(got[i] - want) < 1e-3 * max(1, abs(want) / 10), (i, got[i], want)
