@@ -233,6 +233,24 @@ def test_license_scan(spark):
     assert got[103].families == ["gpl"] and not got[102].families and not got[7].families
 
 
+def test_license_scan_wrapped_and_several(spark):
+    gpl, lgpl = "This work is licensed under the GNU General Public License, version 3", "licensed under the GNU Lesser General Public License, version 3"
+    rows = [
+        (201, "Some prose here.\nThis work is licensed under the\nGNU General Public License, version 3\nmore prose"),
+        (202, f"A title. Released under the MIT License. Some words between them. {gpl}. The end."),
+        (203, "\n".join(f"# {w}" for w in "Redistribution and use in source and binary forms with or without modification are permitted".split())),
+        (204, "plain words " * 4000 + "Licensed under CC BY-SA 4.0 " + "plain words " * 4000 + "Released under the BSD License"),
+        (205, lgpl.replace("GNU ", "GNU\n")), (206, "This work is\nlicensed to the general\npublic"),
+        (207, "This work is licensed under the"), (208, "GNU General Public License, version 3"),
+        (209, "Released under the MIT License\n" * 3),
+    ]
+    docs = docs_of(spark, rows).coalesce(1)
+    got = {r.doc_id: r for r in licenses.scan(docs, licenses.fit(docs)).collect()}
+    want = {201: ["gpl"], 202: ["gpl", "mit"], 203: ["bsd"], 204: ["bsd", "cc-by-sa"], 205: ["lgpl"], 206: [], 207: [], 209: ["mit"]}
+    assert {k: got[k].families for k in want} == want
+    assert [(h.paragraph, h.family) for h in got[201].hits] == [(1, "gpl")] and len(got[209].hits) == 3
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 

@@ -10,6 +10,12 @@ where its calibrated probability reaches ``least`` and a notice of the
 family shares at least ``overlap`` of its word pairs with the paragraph;
 all else is unknown.
 
+Notices that a line does not show by itself (wrapped over several lines, or
+next to another one in the same line) are found in the running words of the
+text: every stretch of at most twice a notice's words that has ``overlap`` of
+its pairs is judged alone, whatever its lines, and reported at its first line
+unless the family is reported there already.
+
 Defined cases: a null or empty text has no paragraphs; blank lines are no
 paragraphs; repeated rows give a row each; other columns are ignored.
 """
@@ -95,6 +101,66 @@ class Model:
         prob[some] = p.max(1)
         return out, prob
 
+    def stretches(self, chunk: W.Chunk, doc: np.ndarray, o: Options) -> list[tuple[int, int, int, float]]:
+        """(first word, last word, family, probability) of notices in the running words of texts; ``doc`` is the text of each row."""
+        h = chunk.hash
+        if len(h) < 2:
+            return []
+        own = doc[chunk.row]
+        pair = np.where(own[:-1] == own[1:], W.combine(h[:-1], h[1:]), np.uint64(0))
+        at = np.minimum(np.searchsorted(self.features, pair), len(self.features) - 1)
+        place = np.flatnonzero(self.features[at] == pair)
+        at = at[place]
+        key = place + own[place] * 4096  # texts lie further apart than a stretch
+        found = []
+        for n, size in enumerate(self.notice_size):
+            pairs = self.template[self.notice == n]
+            mine = np.flatnonzero(np.isin(at, pairs))
+            k, need, reach = key[mine], int(np.ceil(o.overlap * size - 1e-9)), 2 * (size + 1)
+            start = mine[np.searchsorted(k, k + reach) - np.arange(len(k)) >= need]
+            if not len(start):
+                continue
+            share, end = np.zeros(len(start), np.int64), key[start].copy()
+            for f in pairs:
+                where = key[mine[at[mine] == f]]
+                if len(where):
+                    i = np.searchsorted(where, key[start])
+                    nearest = where[np.minimum(i, len(where) - 1)]
+                    ok = (i < len(where)) & (nearest < key[start] + reach)
+                    share += ok
+                    end = np.maximum(end, np.where(ok, nearest, 0))
+            ok = share >= need
+            begin, last, share = place[start][ok], (place[start] + end - key[start])[ok], share[ok]
+            i = 0
+            while i < len(begin):
+                j = int(np.searchsorted(begin, last[i], side="right"))
+                best = min(range(i, j), key=lambda m: (-share[m], last[m] - begin[m]))
+                found.append((int(begin[best]), int(last[best]) + 1, int(self.family[n]), share[best] / size))
+                i = max(i + 1, int(np.searchsorted(begin, last[best], side="right")))
+        if not found:
+            return []
+        begin, last = np.array([f[0] for f in found]), np.array([f[1] for f in found])
+        word, owner = W.ragged(begin, last - begin + 1)
+        p = np.zeros(len(found))
+        for i in range(0, len(found), 4096):
+            some = (owner >= i) & (owner < i + 4096)
+            w, r = word[some], owner[some] - i
+            within = np.flatnonzero(r[:-1] == r[1:])
+            gram, row = np.concatenate([h[w], pair[w[within]]]), np.concatenate([r, r[within]])
+            g = np.minimum(np.searchsorted(self.features, gram), len(self.features) - 1)
+            met = self.features[g] == gram
+            x = np.zeros((min(4096, len(found) - i), len(self.features)), np.float32)
+            x[row[met], g[met]] = 1
+            p[i : i + len(x)] = self.probabilities(x)[np.arange(len(x)), [f[2] for f in found[i : i + 4096]]]
+        # of stretches over the same words the best fitting one stays
+        out, taken = [], np.zeros(len(h), bool)
+        for i in sorted(np.flatnonzero(p >= o.least), key=lambda i: (-found[i][3], -p[i], found[i][0])):
+            a, b, family, _ = found[i]
+            if 2 * taken[a : b + 1].sum() <= b - a + 1:
+                taken[a : b + 1] = True
+                out.append((a, b, family, float(p[i])))
+        return sorted(out)
+
     def probabilities(self, x):
         z = (x @ self.weights + self.bias) / self.temperature
         e = np.exp(z - z.max(1, keepdims=True))
@@ -213,6 +279,13 @@ def scan(docs: DataFrame, model: Model, o: Options = Options()) -> DataFrame:
                 hits = [[] for _ in range(j - i)]
                 for r in np.flatnonzero(fam < len(FAMILIES) - 1):
                     hits[doc[r]].append({"paragraph": int(number[r] - before[doc[r]]), "family": FAMILIES[fam[r]], "probability": float(prob[r])})
+                for a, z, family, p in m.stretches(c, doc, o):
+                    lines = range(c.row[a], c.row[z] + 1)
+                    if not any(fam[r] == family for r in lines):
+                        r = lines[0]
+                        hits[doc[r]].append({"paragraph": int(number[r] - before[doc[r]]), "family": FAMILIES[family], "probability": p})
+                for x in hits:
+                    x.sort(key=lambda h: h["paragraph"])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, j - i), pa.array(np.bincount(doc[has], minlength=j - i)), pa.array([sorted({h["family"] for h in x}) for x in hits], pa.list_(pa.string())), pa.array(hits, pa.list_(hit))],
                     names=["doc_id", "n_paragraphs", "families", "hits"],
