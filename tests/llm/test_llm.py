@@ -56,6 +56,21 @@ def test_toxicity_learns_and_keeps_rows(spark):
     assert toxicity.score(docs_of(spark, EDGES), none).count() == len(EDGES)
 
 
+def test_toxicity_with_few_labels(spark):
+    rows = [(i, f"plain river stone {i}" + (" grotblim" * 3 if i % 10 == 0 else "")) for i in range(60)]
+    docs = docs_of(spark, rows)
+    for first in range(0, 60, 20):  # two toxic documents each, so a split by chance alone often lacks a class
+        labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(first, first + 20)], "doc_id bigint, toxic int")
+        model = toxicity.fit(docs, labels)
+        assert model.curve[1:].any() and model.grams.size  # the curve is fitted
+        got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+        assert min(got[i] for i in range(0, 60, 10)) > max(got[i] for i in range(60) if i % 10)
+    # a class with one document, or none: the share of toxic labels
+    for ids, toxic, share in (([0, *range(1, 10)], {0}, 0.1), ([1, 2, 900], {900}, 1 / 3), ([901, 902, 903, 904], {904}, 0.25)):
+        model = toxicity.fit(docs, spark.createDataFrame([(i, int(i in toxic)) for i in ids], "doc_id bigint, toxic int"))
+        assert all(abs(r.score - share) < 1e-9 for r in toxicity.score(docs, model).collect())
+
+
 def brute_components(rows, k=2, threshold=80):
     sets = []
     for _, t in rows:

@@ -19,8 +19,8 @@ Scoring reads every text whole.
 
 Defined cases: a null, empty or blank text scores by a mean and peak of 0;
 labels with a null toxic value are ignored, of several for one document the
-highest holds; without rows of both classes all scores are the share of
-toxic labels (0 without labels). Repeated rows and other columns pass
+highest holds; where a class has no two labelled documents all scores are
+the share of toxic labels (0 without labels). Repeated rows and other columns pass
 through; a column called score, mean or peak is replaced.
 """
 
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,13 +145,18 @@ def fit(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
     seen = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     nothing = np.zeros(0, np.uint64), np.zeros(0, np.float32)
     empty = Model(*nothing, *nothing, np.array([0.0, 0, 0, 0]), o.order)
+    # without a logistic fit every text scores the share of toxic labels
+    share = seen.get(1, 0) / max(sum(seen.values()), 1)
+    empty.curve[0] = np.log(max(share, 1e-12) / max(1 - share, 1e-12))
     if not (seen.get(0) and seen.get(1)):
-        share = seen.get(1, 0) / max(sum(seen.values()), 1)
-        empty.curve[0] = np.log(max(share, 1e-12) / max(1 - share, 1e-12))
         return empty
     rate = F.when(F.col("toxic") == 1, o.max_rows / seen[1]).otherwise(o.max_rows / seen[0])
     # about max_rows ids of each class: a bounded table
-    some = lab.where(F.col("u") < rate).limit(3 * o.max_rows).select("doc_id", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(o.held_back)) == 0).alias("held"))
+    some = lab.where(F.col("u") < rate).limit(3 * o.max_rows).select("doc_id", "toxic")
+    # held back by class, of those with a document: the second, and then one in held_back (over a bounded table)
+    met = some.join(docs.select("doc_id").join(F.broadcast(some.select("doc_id")), "doc_id").distinct(), "doc_id")
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id"))
+    some = met.select("doc_id", "toxic", (place % o.held_back == 2 % o.held_back).alias("held"))
     own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").withColumn("digest", F.xxhash64("text"))
 
     def count(batches):
@@ -178,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
     key = kept["gram"].to_numpy().view(np.uint64)
     order = np.argsort(key)
     key, toxic, ordinary = key[order], kept["toxic"].to_numpy()[order], kept["ordinary"].to_numpy()[order]
-    model = Model(key, *_class_models(key, toxic, ordinary, o.order), np.zeros(4), o.order)
+    model = Model(key, *_class_models(key, toxic, ordinary, o.order), empty.curve, o.order)
 
     shipped = spark.sparkContext.broadcast(model)
 
