@@ -374,3 +374,24 @@ def test_ctw_keeps_every_byte_string(spark):
     for i, text, _, _ in rows:
         want = np.log10(sum(10 ** (log10(k, text) + 60) for k in range(4))) - 60
         assert abs(got[i] - want) < 1e-3 * max(1, abs(want) / 10), (i, got[i], want)
+
+
+def test_ctw_base_columns_match_brute_force(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 23}" for k in range(i % 9))) for i in range(60)] + [(70, "never seen w1 never"), (71, None)]
+    held = {i for i, _ in rows if i % 10 == 0 or i == 71}
+    n, docs = {}, 0
+    for i, t in rows:
+        if i not in held:
+            docs += 1
+            for w in split(t):
+                n[w] = n.get(w, 0) + 1
+    total = sum(n.values()) + docs
+    z = total + 0.1 * (len(n) + 2)
+    out = F.pmod("doc_id", F.lit(10)).isin(0) | (F.col("doc_id") == 71)
+    for most in (5, 1 << 19):  # words met in a join, words at hand
+        got = {r.doc_id: r for r in ctw.score(docs_of(spark, rows), out, o=ctw.Options(max_frequent=most)).collect()}
+        for i, t in rows:
+            words, r = split(t), got[i]
+            want = sum(np.log10((n.get(w, 0) + 0.1) / z) for w in words) + np.log10((docs + 0.1) / z)
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in held, len(words) + 1, sum(w in n for w in words) + 1, total)
+            assert abs(r.base_score - want) < 1e-9 * max(1, abs(want))
