@@ -395,3 +395,20 @@ def test_ctw_base_columns_match_brute_force(spark):
             want = sum(np.log10((n.get(w, 0) + 0.1) / z) for w in words) + np.log10((docs + 0.1) / z)
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in held, len(words) + 1, sum(w in n for w in words) + 1, total)
             assert abs(r.base_score - want) < 1e-9 * max(1, abs(want))
+
+
+def test_pipeline_near_duplicates_match_brute_force(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice([f"w{i}" for i in range(200)], 80))) for i in range(10)]
+    for g in range(4):  # near copies, and copies too far apart
+        for changes in (1, 1, 2, 6):
+            w = rows[g][1].split()
+            for _ in range(changes):
+                w[rng.integers(len(w))] = f"n{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    want = {d for d, (_, root) in brute_components(rows, k=5).items() if d == root}
+    assert 10 < len(want) < len(rows)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, rows), SF).collect()
+    assert {r.doc_id for r in kept} == want and len(kept) == len(want)
