@@ -153,10 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
     rate = F.when(F.col("toxic") == 1, o.max_rows / seen[1]).otherwise(o.max_rows / seen[0])
     # about max_rows ids of each class: a bounded table
     some = lab.where(F.col("u") < rate).limit(3 * o.max_rows).select("doc_id", "toxic")
-    # held back by class, of those with a document: the second, and then one in held_back (over a bounded table)
+    # one in held_back, and of each class with two documents one on either side (over a bounded table)
     met = some.join(docs.select("doc_id").join(F.broadcast(some.select("doc_id")), "doc_id").distinct(), "doc_id")
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id"))
-    some = met.select("doc_id", "toxic", (place % o.held_back == 2 % o.held_back).alias("held"))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(o.held_back)) == 0
+    own = Window.partitionBy("toxic")
+    place, n, n_held = F.row_number().over(own.orderBy("doc_id")), F.count(F.lit(1)).over(own), F.count_if(drawn).over(own)
+    some = met.select("doc_id", "toxic", F.when(n_held == 0, place == 2).when(n_held == n, place != 1).otherwise(drawn).alias("held"))
     own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").withColumn("digest", F.xxhash64("text"))
 
     def count(batches):
