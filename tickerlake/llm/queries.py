@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerlake.llm import chat, ctw, decontam, fingerprint, licenses, minhash_dedup, mixing, toxicity, url_filter, warc
+from tickerlake.llm import chat, ctw, decontam, fingerprint, licenses, minhash_dedup, mixing, suffix_dedup, toxicity, url_filter, warc
 from tickerlake.llm.tables import ascii_lower, crc_remainder, table
 
 URL_RULES = [
@@ -99,6 +99,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.spans_of(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
     return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0])))

@@ -33,4 +33,24 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-__all__ = ["ascii_lower", "crc_remainder", "scratch_path", "scratch_root", "stored", "table"]
+def with_small(big: DataFrame, small: DataFrame, keys: list[str], times: Column | None = None, how: str = "inner", share: int = 1000) -> DataFrame:
+    """``big`` joined with ``small`` (one row per key) without gathering a hot key in one task.
+
+    A key is hot with over 1/``share`` of the rows of ``big`` (10,000 at least,
+    so there are at most ``share`` of them). Their rows of ``small`` are
+    broadcast, the others meet in a plain join. ``times`` is the number of
+    rows of ``big`` per key where ``small`` knows it; without it the rows are
+    counted, folded before they are shuffled.
+    """
+    bound = max(10_000, big.count() // share)
+    if times is not None:
+        hot = small.where(times > bound).select(*keys)
+    else:
+        hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound).select(*keys)
+    hot = F.broadcast(stored(hot, "hot-keys"))
+    few = F.broadcast(small.join(hot, keys, "left_semi"))
+    usual = big.join(hot, keys, "left_anti").join(small, keys, how)
+    return usual.unionByName(big.join(hot, keys, "left_semi").join(few, keys, how))
+
+
+__all__ = ["ascii_lower", "crc_remainder", "scratch_path", "scratch_root", "stored", "table", "with_small"]
