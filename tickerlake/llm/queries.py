@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerlake.llm import chat, ctw, decontam, fingerprint, licenses, minhash_dedup, mixing, suffix_dedup, toxicity, url_filter, warc
+from tickerlake.llm import chat, ctw, decontam, fingerprint, licenses, merkle, minhash_dedup, mixing, prefix_trie, suffix_dedup, toxicity, url_filter, warc
 from tickerlake.llm.tables import ascii_lower, crc_remainder, table
 
 URL_RULES = [
@@ -105,6 +105,20 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    convs = prefix_trie.rebuilt(turns, base, shared.cast("int"), 3)
+    return prefix_trie.trie(convs).drop("n_ends")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    third = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    return merkle.proofs(merkle.tampered(docs, third))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
     return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0])))
