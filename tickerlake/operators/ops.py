@@ -126,26 +126,22 @@ def pipeline_metrics(
     return out
 
 
-def compact(spark, root: str, since=None, until=None, staging: str | None = None) -> int:
+def compact(spark, root: str, since=None, until=None, before_commit=None) -> int:
     """Rewrite raw-lake partitions (dates ``since``..``until``) into few files each.
 
-    Many micro-batches leave many small files per hour. The selected
-    partitions are copied to a staging folder under the shared scratch root,
-    then written back with dynamic partition overwrite (reading and
-    overwriting the same files in one job is not safe). Rows are unchanged.
-    Returns the number of rows rewritten.
+    Many micro-batches leave many small files per hour. The files that are
+    there at the start are rewritten and replaced in one commit
+    (``sources.snapshot``); what lands meanwhile stays as it is, a failure
+    before the commit changes nothing, and one after it is completed by the
+    next rewrite while readers already see the new files. Files of the id
+    index are merged too. ``before_commit`` is called when the new files are
+    written and nothing is committed yet. Returns the number of rows rewritten.
     """
-    from tickerlake.session import scratch_path
-    from tickerlake.sources import lake
-
-    events = lake.read_events(spark, root, since=since, until=until).drop("event_at")
-    stage = staging or scratch_path(spark, "compact-stage")
-    wrote = lake.write_partitioned(events, stage, lake.EVENT_PARTITIONS, "event_ts", "overwrite")
-    staged = lake.read_events(spark, stage).drop("event_at")
-    if staged.count() != wrote:
-        raise RuntimeError(f"staged copy under {stage} is incomplete; the lake was left as it is")
-    n = lake.write_partitioned(staged, root.rstrip("/"), lake.EVENT_PARTITIONS, "event_ts", "overwrite")
-    lake.delete_path(spark, stage)
+    from tickerlake.sources import ids, lake
+
+    n = lake.compact_events(spark, root, since, until, before_commit)
+    if ids.is_sound(spark, root):
+        ids.compact(spark, root)
     return n
 
 

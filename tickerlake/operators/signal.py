@@ -46,6 +46,16 @@ def per_minute(sentiment: DataFrame) -> DataFrame:
     )
 
 
+def last_minutes(pm: DataFrame, n: int = LONG_ROWS - 1) -> DataFrame:
+    """Per ticker its last ``n`` active minutes: all that later frames can reach back to.
+
+    The limit is applied before the shuffle too, so a task gets at most ``n``
+    rows of a ticker from each task before it.
+    """
+    newest = Window.partitionBy("ticker").orderBy(F.col("bucket").desc())
+    return pm.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n).drop("_n")
+
+
 def _rolled_columns(w_short: Window, w_long: Window) -> list[Column]:
     return [
         F.sum("mentions").over(w_short).alias("m5"),
@@ -121,13 +131,20 @@ def build_signal(
     frame: str = "rows",
     block_rows: int = DEFAULT_BLOCK_ROWS,
     on_overflow: str = "raise",
+    context: DataFrame | None = None,
 ) -> DataFrame:
     """The 9-column signal table.
 
     ``limit`` keeps the newest rows (bucket desc, |composite| desc, ticker);
-    by default every row is returned.
+    by default every row is returned. ``context`` holds minutes before those
+    of ``sentiment`` (``last_minutes``); frames reach into them, but they give
+    no rows of their own.
     """
-    scored = score(rolling(per_minute(sentiment), frame=frame, block_rows=block_rows), on_overflow)
+    pm = per_minute(sentiment)
+    if context is not None:
+        pm = pm.withColumn("_own", F.lit(True)).unionByName(context.select("ticker", "bucket", "mentions", "avg_sentiment").withColumn("_own", F.lit(False)))
+    rolled = rolling(pm, frame=frame, block_rows=block_rows)
+    scored = score(rolled if context is None else rolled.where("_own"), on_overflow)
     closes = bar_closes(bars)
     joined = scored.join(closes, ["ticker", "bucket"], "left").select(
         "ticker",

@@ -6,7 +6,10 @@ DataFrame (views, reports) or writes a table and returns the row count.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickerlake.functions.lexicon import lexicon_df
 from tickerlake.operators import backtest, bars, features, signal
@@ -14,6 +17,8 @@ from tickerlake.operators.sentiment import score_events
 from tickerlake.session import prepare_session
 from tickerlake.sources import lake
 
+HORIZON_MINUTES = 5  # of forward closes
+
 
 def land(spark: SparkSession, events: DataFrame, root: str) -> int:
     """Idempotent batch landing of events (lake contract columns)."""
@@ -39,7 +44,7 @@ def score_lake(
     prepare_session(spark)
     events = lake.read_events(spark, root, since=since, until=until)
     scored = score_events(events, lexicon if lexicon is not None else lexicon_df(spark), scored_ts)
-    return lake.write_sentiment(scored, root)
+    return lake.write_sentiment(spark, scored, root)
 
 
 def select_prints(
@@ -90,9 +95,7 @@ def write_bars(
     selected = select_prints(spark, root, prints, tickers, mentioned_only, window_minutes)
     new_bars = bars.resample_prints(selected)
     if merge:
-        from tickerlake.session import scratch_path
-
-        return lake.merge_market(spark, new_bars, root, scratch_path(spark, "market-merge"))
+        return lake.merge_market(spark, new_bars, root)
     return lake.write_market(new_bars, root)
 
 
@@ -108,15 +111,50 @@ def ticker_view(spark: SparkSession, root: str, grain: str = "minute", limit: in
     return features.latest_per_ticker(lake.read_sentiment(spark, root, since, until), grain, limit)
 
 
+def _minutes_before(spark: SparkSession, root: str, hour, stored_upto=None) -> DataFrame:
+    """Per ticker its last 59 active minutes before ``hour``.
+
+    Read from the newest stored frames and the hours since; without stored
+    frames from the whole table before ``hour``.
+    """
+    asof, stored = lake.read_frames(spark, root, stored_upto or hour)
+    scored = lake.read_sentiment(spark, root, since=asof, until=_hour_before(hour))
+    return signal.last_minutes(stored.unionByName(signal.per_minute(scored)))
+
+
+def _hour_before(hour) -> str:
+    return (datetime.strptime("T".join(lake.hour_of(hour)), "%Y-%m-%dT%H") - timedelta(hours=1)).strftime("%Y-%m-%dT%H")
+
+
+def save_frames(spark: SparkSession, root: str, asof) -> None:
+    """Store what signals from the hour (or date) ``asof`` on need of the time before it.
+
+    Rests on the frames stored before, so a daily run reads a day. Scoring
+    again what lies before ``asof`` removes the frames; they are then saved anew.
+    """
+    prepare_session(spark)
+    lake.write_frames(spark, _minutes_before(spark, root, asof, _hour_before(asof)), root, asof)
+
+
 def signal_view(spark: SparkSession, root: str, limit: int | None = None, frame: str = "rows", since=None, until=None) -> DataFrame:
     """Signal over the scored table and the bars (closes are NULL without bars).
 
-    ``since``/``until`` (dates, inclusive) prune both tables at the scan;
-    rolling frames then start at ``since``.
+    ``since``/``until`` (dates, or hours such as ``2024-01-01T06``, inclusive)
+    prune both tables at the scan and leave the values as they are: frames
+    reach back into the minutes before ``since`` (``save_frames`` keeps that
+    cheap), and bars are read five minutes past ``until``.
     """
     prepare_session(spark)
     scored = lake.read_sentiment(spark, root, since, until)
-    return signal.build_signal(scored, lake.read_market(spark, root, since, until), limit=limit, frame=frame)
+    context = None if since is None else _minutes_before(spark, root, since)
+    if until is None:
+        closes = lake.read_market(spark, root, since)
+    else:
+        day, hour = lake.hour_of(until, last=True)
+        end = datetime.strptime(f"{day}T{hour}", "%Y-%m-%dT%H") + timedelta(hours=1)
+        closes = lake.read_market(spark, root, since, end.strftime("%Y-%m-%dT%H"))
+        closes = closes.where(F.col("ts") < int(end.replace(tzinfo=UTC).timestamp() * 1000) + HORIZON_MINUTES * 60_000)
+    return signal.build_signal(scored, closes, limit=limit, frame=frame, context=context)
 
 
 def backtest_report(spark: SparkSession, root: str, limit: int | None = None, since=None, until=None) -> DataFrame:

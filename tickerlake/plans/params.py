@@ -16,7 +16,11 @@ INGEST_CLOCK_MS = 1_704_153_600_000
 # Bar window length used for the market anchor.
 BAR_MINUTES = 120
 # A user-typed symbol list: messy on purpose (case, blanks, spaces).
-UNIVERSE_TEXT = " aapl, Msft ,, nvda ,zzzz"
+UNIVERSE_TEXT = " intc, Amd ,, orcl ,zzzz"
+# Windowed runs: hours to start from and to end with, the hour whose frames
+# are stored before, and what that means for the rows of the full signal.
+SINCE_HOUR, UNTIL_HOUR, FRAMES_HOUR = "2024-01-01T06", "2024-01-01T08", "2024-01-01T04"
+WINDOWS = {"since": "bucket >= TIMESTAMP '2024-01-01 06:00:00'", "until": "bucket < TIMESTAMP '2024-01-01 09:00:00'"}
 PERIODS_PER_YEAR = PERIODS_PER_YEAR_5M
 # Scored-at stamp for registered queries.
 SCORED_TS = 0

@@ -17,7 +17,7 @@ from tickerlake.functions.timecols import event_at
 from tickerlake.operators import backtest, bars, features, ingest, ops, sentiment, signal
 from tickerlake.plans import params as QP
 from tickerlake.session import prepare_session, scratch_path
-from tickerlake.sources import fixtures, lake
+from tickerlake.sources import fixtures, ids, lake
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -322,6 +322,35 @@ def q_signal_lake(spark, sf_dir):
     return jobs.signal_view(spark, _scored_lake(spark, sf_dir))
 
 
+def _windowed_lake(spark: SparkSession, sf_dir: str) -> str:
+    """The scored lake with frames stored two hours before the window starts."""
+    from tickerlake.plans import jobs
+
+    root = _scored_lake(spark, sf_dir)
+    jobs.save_frames(spark, root, QP.FRAMES_HOUR)
+    return root
+
+
+def q_signal_since(spark, sf_dir):
+    """A run from an hour on gives the rows that the full signal has there."""
+    from tickerlake.plans import jobs
+
+    return jobs.signal_view(spark, _windowed_lake(spark, sf_dir), since=QP.SINCE_HOUR)
+
+
+def q_signal_until(spark, sf_dir):
+    """A run up to an hour gives the rows that the full signal has there, forward closes included."""
+    from tickerlake.plans import jobs
+
+    return jobs.signal_view(spark, _scored_lake(spark, sf_dir), until=QP.UNTIL_HOUR)
+
+
+def q_backtest_window(spark, sf_dir):
+    from tickerlake.plans import jobs
+
+    return _round(jobs.backtest_report(spark, _windowed_lake(spark, sf_dir), since=QP.SINCE_HOUR, until=QP.UNTIL_HOUR), _SUMMARY_DIGITS)
+
+
 def q_signal_no_market(spark, sf_dir):
     """The signal of a lake that has no bars yet: closes and returns are NULL."""
     from tickerlake.plans import jobs
@@ -343,6 +372,38 @@ def q_redelivered(spark, sf_dir):
     return lake.read_events(spark, root).select(*LAKE_COLS)
 
 
+def q_redelivered_bucketed(spark, sf_dir):
+    """The feed landed in three batches that fill the buckets of the id index, then delivered again as a whole."""
+    root = scratch_path(spark, "lake-buckets")
+    feed = fixtures.landing_feed(spark, sf_dir)
+    for k in range(3):
+        lake.land_events(spark, feed.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == k), root)
+        ids.flush(spark, root, always=True)
+    lake.land_events(spark, feed.withColumn("event_ts", F.col("event_ts") + F.expr("IF(pmod(xxhash64(event_id), 4) < 3, 18000000, 0)")), root)
+    return lake.read_events(spark, root).select(*LAKE_COLS)
+
+
+def q_compact_concurrent(spark, sf_dir):
+    """Half of the feed lands while the other half is compacted, after its files were written and before the commit."""
+    root = scratch_path(spark, "lake-compact-while")
+    feed = fixtures.landing_feed(spark, sf_dir)
+    even = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    lake.land_events(spark, feed.filter(even), root)
+    ops.compact(spark, root, before_commit=lambda: lake.land_events(spark, feed.filter(~even), root))
+    return lake.read_events(spark, root).select(*LAKE_COLS)
+
+
+def q_market_merge(spark, sf_dir):
+    """Bars merged ticker by ticker into the same hours; the last merge replaces one ticker's bars by themselves."""
+    from tickerlake.plans import jobs
+
+    root = scratch_path(spark, "lake-merge")
+    prints = fixtures.prints(spark, sf_dir)
+    for tickers in (["INTC", "CSCO"], ["ORCL", "AMD"], ["INTC"]):
+        jobs.write_bars(spark, root, prints.filter(F.col("ticker").isin(tickers)), merge=True)
+    return lake.read_market(spark, root).select("ticker", "ts", "open", "high", "low", "close", "volume", "dt", "hr")
+
+
 def q_market_window(spark, sf_dir):
     """Bars for the mentioned tickers only, in a window centred on the events."""
     from tickerlake.plans import jobs

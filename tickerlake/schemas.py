@@ -47,6 +47,16 @@ BAR_SCHEMA = T.StructType(
     ]
 )
 
+# Per ticker the last active minutes before an hour: {root}/derived/frames/asof=/
+FRAME_SCHEMA = T.StructType(
+    [
+        T.StructField("ticker", T.StringType(), True),
+        T.StructField("bucket", T.TimestampNTZType(), True),
+        T.StructField("mentions", T.LongType(), True),
+        T.StructField("avg_sentiment", T.DoubleType(), True),
+    ]
+)
+
 # Hive partition columns as they are read back. Inference would turn hr=09
 # into the integer 9, so the types are always given.
 HOUR_PARTITIONS = T.StructType(

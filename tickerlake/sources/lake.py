@@ -8,24 +8,31 @@ Layout under a root (any Hadoop file system URI):
 
 Reads give typed empty tables when nothing has been written yet. Writes go
 through Spark's commit protocol, so a lost executor only re-runs tasks and a
-failed job leaves no partial files visible.
+failed job leaves no partial files visible. Rewrites (compaction, bar merges)
+go through ``sources.snapshot``, which events and bars are read by; landing
+knows redelivered ids from ``sources.ids``.
 """
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerlake.functions.tables import empty_table
 from tickerlake.functions.timecols import dt_of, event_at, hr_of
-from tickerlake.schemas import BAR_SCHEMA, EVENT_SCHEMA, SENTIMENT_SCHEMA, conform, read_schema
+from tickerlake.schemas import BAR_SCHEMA, EVENT_SCHEMA, FRAME_SCHEMA, SENTIMENT_SCHEMA, conform, read_schema
+from tickerlake.sources import ids, snapshot
+from tickerlake.sources.files import Folder, glob_matches
 
 EVENT_PARTITIONS = ["source", "dt", "hr"]
 MARKET_PARTITIONS = ["dt", "hr"]
 COMPRESSION = "zstd"
+EVENT_READ = read_schema(EVENT_SCHEMA, EVENT_PARTITIONS)
+BAR_READ = read_schema(BAR_SCHEMA, MARKET_PARTITIONS)
 
 
 def sentiment_root(root: str) -> str:
@@ -36,34 +43,23 @@ def market_root(root: str) -> str:
     return f"{root.rstrip('/')}/derived/market"
 
 
-def _glob_matches(spark: SparkSession, glob: str) -> bool:
-    """Whether a path glob matches anything (one directory listing, any file system)."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(glob)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(p)
-    return found is not None and len(found) > 0
-
-
-def _read(spark: SparkSession, base: str, glob: str, contract, partitions) -> DataFrame:
-    schema = read_schema(contract, partitions)
-    if not _glob_matches(spark, glob):
-        return empty_table(spark, schema)
-    try:
-        return spark.read.schema(schema).option("basePath", base).parquet(glob)
-    except AnalysisException as exc:  # nothing written yet
-        cond = (getattr(exc, "getCondition", lambda: None)() or "") + str(exc)
-        if "PATH_NOT_FOUND" in cond or "Path does not exist" in cond:
-            return empty_table(spark, schema)
-        raise
+def hour_of(at, last: bool = False) -> tuple[str, str]:
+    """(date, hour) of a date (its first hour, or its last) or of a time such as ``2024-01-01T06``."""
+    day, _, hour = str(at).replace(" ", "T").partition("T")
+    return day, hour[:2] if hour else ("23" if last else "00")
 
 
 def _date_window(df: DataFrame, since, until) -> DataFrame:
-    """Filter on the ``dt`` partition column (pruned at planning time)."""
+    """Filter on the partition columns ``dt`` and ``hr`` (pruned at planning time); both ends belong to it."""
+    day, hour = F.col("dt"), F.col("hr")
     if since is not None:
-        df = df.filter(F.col("dt") >= F.lit(since).cast("date"))
+        d, h = hour_of(since)
+        d = F.lit(d).cast("date")
+        df = df.filter((day >= d) if h == "00" else ((day > d) | ((day == d) & (hour >= h))))
     if until is not None:
-        df = df.filter(F.col("dt") <= F.lit(until).cast("date"))
+        d, h = hour_of(until, last=True)
+        d = F.lit(d).cast("date")
+        df = df.filter((day <= d) if h == "23" else ((day < d) | ((day == d) & (hour <= h))))
     return df
 
 
@@ -72,38 +68,32 @@ def read_events(spark: SparkSession, root: str, since=None, until=None) -> DataF
 
     The glob ``source=*`` keeps ``derived/`` out. The ``source`` value comes
     from the path, which is the value every writer here partitions by.
-    ``since``/``until`` (dates, inclusive) prune whole partitions.
+    ``since``/``until`` (dates or hours such as ``2024-01-01T06``, inclusive)
+    prune whole partitions.
     """
     base = root.rstrip("/")
-    df = _date_window(_read(spark, base, f"{base}/source=*", EVENT_SCHEMA, EVENT_PARTITIONS), since, until)
+    df = _date_window(snapshot.read(spark, base, "source=*", EVENT_READ), since, until)
     return df.withColumn("event_at", event_at(F.col("event_ts")))
 
 
 def event_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, length) of the raw lake's Parquet files; no file content is read."""
     glob = f"{root.rstrip('/')}/source=*"
-    if not _glob_matches(spark, glob):
+    snapshot.recover(spark, root)
+    if not glob_matches(spark, glob):
         return empty_table(spark, T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType())]))
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
     return found.load(glob).select("path", "length")
 
 
 def read_sentiment(spark: SparkSession, root: str, since=None, until=None) -> DataFrame:
-    base = sentiment_root(root)
-    df = _date_window(_read(spark, base, f"{base}/source=*", SENTIMENT_SCHEMA, EVENT_PARTITIONS), since, until)
+    schema = read_schema(SENTIMENT_SCHEMA, EVENT_PARTITIONS)
+    df = _date_window(snapshot.read(spark, sentiment_root(root), "source=*", schema), since, until)
     return df.withColumn("event_at", event_at(F.col("event_ts")))
 
 
 def read_market(spark: SparkSession, root: str, since=None, until=None) -> DataFrame:
-    base = market_root(root)
-    return _date_window(_read(spark, base, f"{base}/dt=*", BAR_SCHEMA, MARKET_PARTITIONS), since, until)
-
-
-def delete_path(spark: SparkSession, path: str) -> bool:
-    """Recursively delete a folder on any Hadoop file system (staging cleanup)."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return _date_window(snapshot.read(spark, market_root(root), "dt=*", BAR_READ), since, until)
 
 
 def with_hour_partitions(df: DataFrame, ts_col: str) -> DataFrame:
@@ -118,6 +108,7 @@ def write_partitioned(
     order_by: str,
     mode: str,
     max_records_per_file: int | None = None,
+    seen: dict | None = None,
 ) -> int:
     """Write ``df`` partitioned by ``partitions``; rows ordered by ``order_by`` in each file.
 
@@ -129,11 +120,11 @@ def write_partitioned(
 
     ``max_records_per_file`` caps file size in rows (the size-based flush of
     a micro-batch sink). Returns the number of rows written (observed during
-    the write, no second pass).
+    the write, no second pass); ``seen`` gets the least ``order_by`` value too.
     """
     obs = Observation()
     writer = (
-        df.observe(obs, F.count(F.lit(1)).alias("rows"))
+        df.observe(obs, F.count(F.lit(1)).alias("rows"), F.min(order_by).alias("least"))
         .hint("rebalance", *partitions)
         .sortWithinPartitions(*partitions, order_by)
         .write.mode(mode)
@@ -143,43 +134,102 @@ def write_partitioned(
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", str(int(max_records_per_file)))
     writer.partitionBy(*partitions).parquet(path)
-    return _observed_rows(obs)
+    told = _observed(obs)
+    if seen is not None:
+        seen["least"] = told.get("least")
+    return int(told.get("rows", 0))
 
 
-def _observed_rows(obs: Observation) -> int:
+def _observed(obs: Observation) -> dict:
     # AQE drops the observation node when it proves the input empty; the
     # metrics row is then missing, which means nothing was written.
     try:
-        return int(obs.get.get("rows", 0))
+        return dict(obs.get)
     except Py4JJavaError as e:
         if "AssertionError" in str(e.java_exception):
-            return 0
+            return {}
         raise
 
 
-def land_events(spark: SparkSession, df: DataFrame, root: str, max_records_per_file: int | None = None) -> int:
+def first_deliveries(df: DataFrame) -> DataFrame:
+    """One row per (source, event_id): the earliest by event_ts, ingested_ts, then text and the other columns."""
+    rest = [f.name for f in EVENT_SCHEMA.fields if f.name not in ("source", "event_id")]
+    order = ["event_ts", "ingested_ts", "text", *[c for c in rest if c not in ("event_ts", "ingested_ts", "text")]]
+    by = Window.partitionBy("event_id", "source").orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(by)).where("_rank = 1").drop("_rank")
+
+
+def land_events(spark: SparkSession, df: DataFrame, root: str, max_records_per_file: int | None = None, cache: bool = True) -> int:
     """Append events to the raw lake so that re-landing adds nothing.
 
     An event is known by (source, event_id), whatever its time: of several
     incoming rows the earliest (event_ts, then ingested_ts, then text) is
-    taken, and ids that the lake holds in any hour are left out. The lake is
-    read for its two key columns only. Rows with a null source or id raise.
+    taken, and ids that the lake holds in any hour are left out. The id index
+    (``sources.ids``) tells them; of the lake only the index buckets whose
+    filter answers yes are read. Rows with a null source or id raise.
+
+    ``cache`` keeps the batch for the three steps that read it (filters,
+    events, index); without it the batch is computed again for each.
     Returns the number of rows appended.
     """
-    rest = [f.name for f in EVENT_SCHEMA.fields if f.name not in ("source", "event_id")]
-    order = ["event_ts", "ingested_ts", "text", *[c for c in rest if c not in ("event_ts", "ingested_ts", "text")]]
-    first = conform(df, EVENT_SCHEMA).groupBy("source", "event_id").agg(F.min(F.struct(*order)).alias("first"))
-    incoming = first.select("source", "event_id", "first.*").select(*[f.name for f in EVENT_SCHEMA.fields])
     base = root.rstrip("/")
-    existing = read_events(spark, root).select("source", "event_id")
-    fresh = incoming.join(existing, ["source", "event_id"], "left_anti")
-    return write_partitioned(with_hour_partitions(fresh, "event_ts"), base, EVENT_PARTITIONS, "event_ts", "append", max_records_per_file)
+    incoming = first_deliveries(conform(df, EVENT_SCHEMA))
+    filled = glob_matches(spark, f"{base}/source=*")
+    if filled and not ids.is_sound(spark, base):
+        ids.rebuild(spark, base, read_events(spark, base))
+    if cache:
+        incoming = incoming.persist()
+    try:
+        fresh = incoming
+        if filled:
+            ids.flush(spark, base)
+            seen = ids.known(spark, base, ids.opened(spark, base, incoming))
+            fresh = incoming.join(seen, ["event_id", "source"], "left_anti").select(*incoming.columns)
+        mark = ids.begin(spark, base)
+        n = write_partitioned(with_hour_partitions(fresh, "event_ts"), base, EVENT_PARTITIONS, "event_ts", "append", max_records_per_file)
+        if n:
+            ids.add(spark, base, fresh.select("source", "event_id"))
+        ids.end(spark, base, mark)
+        return n
+    finally:
+        if cache:
+            incoming.unpersist()
+
+
+def write_sentiment(spark: SparkSession, df: DataFrame, root: str) -> int:
+    """Dynamic overwrite of the sentiment partitions present in ``df``.
+
+    Stored frames of later hours rest on rows that may have changed, so they go.
+    """
+    out = with_hour_partitions(conform(df, SENTIMENT_SCHEMA), "event_ts")
+    seen: dict = {}
+    n = write_partitioned(out, sentiment_root(root), EVENT_PARTITIONS, "event_ts", "overwrite", seen=seen)
+    if n:
+        first = datetime.fromtimestamp(seen["least"] / 1000, UTC).strftime("%Y-%m-%dT%H")
+        folder = Folder(spark, frames_root(root))
+        for name in folder.names():
+            if name.removeprefix("asof=") > first:
+                folder.delete(name)
+    return n
 
 
-def write_sentiment(df: DataFrame, root: str) -> int:
-    """Dynamic overwrite of the sentiment partitions present in ``df``."""
-    out = with_hour_partitions(conform(df, SENTIMENT_SCHEMA), "event_ts")
-    return write_partitioned(out, sentiment_root(root), EVENT_PARTITIONS, "event_ts", "overwrite")
+def frames_root(root: str) -> str:
+    return f"{root.rstrip('/')}/derived/frames"
+
+
+def write_frames(spark: SparkSession, minutes: DataFrame, root: str, asof) -> None:
+    """Store ``minutes`` (per ticker its last active minutes before the hour ``asof``)."""
+    minutes.select(*FRAME_SCHEMA.names).write.mode("overwrite").option("compression", COMPRESSION).parquet(f"{frames_root(root)}/asof={'T'.join(hour_of(asof))}")
+
+
+def read_frames(spark: SparkSession, root: str, upto) -> tuple[str | None, DataFrame]:
+    """The newest stored frames as of ``upto`` or before: (their hour, minutes); (None, empty) without any."""
+    folder, last = Folder(spark, frames_root(root)), "T".join(hour_of(upto))
+    hours = [n.removeprefix("asof=") for n in folder.names() if n.startswith("asof=") and folder.exists(f"{n}/_SUCCESS")]
+    best = max((h for h in hours if h <= last), default=None)
+    if best is None:
+        return None, empty_table(spark, FRAME_SCHEMA)
+    return best, spark.read.schema(FRAME_SCHEMA).parquet(f"{folder.path}/asof={best}")
 
 
 def write_market(df: DataFrame, root: str) -> int:
@@ -188,46 +238,51 @@ def write_market(df: DataFrame, root: str) -> int:
     return write_partitioned(out, market_root(root), MARKET_PARTITIONS, "ts", "overwrite")
 
 
-def merge_market(spark: SparkSession, df: DataFrame, root: str, staging: str) -> int:
+def merge_market(spark: SparkSession, df: DataFrame, root: str, attempts: int = 5) -> int:
     """Upsert bars by (ticker, ts): touched (dt, hr) partitions keep bars of
     tickers not in ``df`` instead of being replaced wholesale.
 
-    Existing bars of the touched dates are read (partition-pruned), those
-    not superseded by ``df`` are kept, and the union is staged under
-    ``staging`` (shared scratch) before the dynamic overwrite, because a job
-    must not overwrite the files it reads. Returns the rows written.
+    The files of the touched partitions are listed and rewritten together
+    with the new bars in one commit (``sources.snapshot``). If any of these
+    partitions changed meanwhile, the merge is done again on what is there
+    then. Returns the rows written.
     """
     new = with_hour_partitions(conform(df, BAR_SCHEMA), "ts")
     base = market_root(root)
-    if not _glob_matches(spark, f"{base}/dt=*"):
-        return write_partitioned(new, base, MARKET_PARTITIONS, "ts", "overwrite")
-    b = new.agg(F.min("dt").alias("lo"), F.max("dt").alias("hi")).first()
-    if b is None or b["lo"] is None:
+    hours = {(str(r["dt"]), r["hr"]) for r in new.select("dt", "hr").distinct().collect()}  # 24 a day at most
+    if not hours:
         return 0
-    existing = read_market(spark, root, since=b["lo"], until=b["hi"])
-    touched = new.select("dt", "hr").distinct()
-    kept = existing.join(touched, ["dt", "hr"], "left_semi").join(new.select("ticker", "ts"), ["ticker", "ts"], "left_anti")
-    merged = new.unionByName(kept.select(*new.columns))
-    write_partitioned(merged, staging, MARKET_PARTITIONS, "ts", "overwrite")
-    staged = _read(spark, staging, f"{staging}/dt=*", BAR_SCHEMA, MARKET_PARTITIONS)
-    n = write_partitioned(staged, base, MARKET_PARTITIONS, "ts", "overwrite")
-    delete_path(spark, staging)
-    return n
-
 
-def has_files(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` holds at least one Parquet file (any file system).
-
-    Stops at the first file found, so it stays cheap on a large lake.
-    """
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return False
-    it = fs.listFiles(p, True)
-    while it.hasNext():
-        if it.next().getPath().getName().endswith(".parquet"):
-            return True
-    return False
+    def listed() -> list[str]:
+        return snapshot.files_of(spark, base, "dt=*", BAR_READ, lambda part: (part["dt"], part["hr"]) in hours)
+
+    for attempt in range(attempts):
+        snapshot.recover(spark, base)
+        inputs = listed()
+        kept = snapshot.read_files(spark, base, BAR_READ, inputs).join(new.select("ticker", "ts"), ["ticker", "ts"], "left_anti")
+        merged = new.unionByName(kept.select(*new.columns))
+        try:
+            return snapshot.rewrite(
+                spark, base, inputs, lambda to, rows=merged: write_partitioned(rows, to, MARKET_PARTITIONS, "ts", "append"),
+                unchanged=lambda was=inputs: listed() == was,
+            )
+        except snapshot.RewriteConflict:
+            if attempt + 1 == attempts:
+                raise
+    raise AssertionError("unreachable")
+
+
+def compact_events(spark: SparkSession, root: str, since=None, until=None, before_commit=None, apply_now: bool = True) -> int:
+    """Rewrite raw-lake partitions (dates ``since``..``until``) into few files each; see ``ops.compact``."""
+    base = root.rstrip("/")
+    snapshot.recover(spark, base)
+    low, high = since and hour_of(since), until and hour_of(until, last=True)
+    wanted = lambda part: (not low or (part["dt"], part["hr"]) >= low) and (not high or (part["dt"], part["hr"]) <= high)
+    inputs = snapshot.files_of(spark, base, "source=*", EVENT_READ, wanted)
+    if not inputs:
+        return 0
+    rows = snapshot.read_files(spark, base, EVENT_READ, inputs)
+    return snapshot.rewrite(
+        spark, base, inputs, lambda to: write_partitioned(rows, to, EVENT_PARTITIONS, "event_ts", "append"),
+        expect=lambda n: n == rows.count(), before_commit=before_commit, apply_now=apply_now,
+    )
