@@ -28,8 +28,8 @@ def main(argv: list[str] | None = None) -> int:
         c = sub.add_parser(name, help=help_)
         c.add_argument("--lake", required=True, help="lake root (any Hadoop file system URI)")
         c.add_argument("--show", type=int, default=50, help="rows to print")
-        c.add_argument("--since", default=None, help="first date (query, score, tickers, signal, report)")
-        c.add_argument("--until", default=None, help="last date (query, score, tickers, signal, report)")
+        c.add_argument("--since", default=None, help="first date, or hour such as 2024-01-01T06")
+        c.add_argument("--until", default=None, help="last date or hour")
         return c
 
     c = cmd("ingest", "land JSON item files with a streaming job")
@@ -39,6 +39,17 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--duration", type=float, default=None, help="stop after so many seconds")
     c.add_argument("--metrics", default=None, help="folder for reject reasons per batch")
     c.add_argument("--every", default=None, help="processing-time trigger, e.g. '30 seconds'; default: drain and stop")
+    c.add_argument("--max-files", type=int, default=None, help="files read per batch")
+    c.add_argument("--max-bytes", default=None, help="bytes read per batch, e.g. 128m")
+    c.add_argument("--max-rows-per-file", type=int, default=None, help="rows per file written")
+    c.add_argument("--file-bytes", type=int, default=None, help="file size to aim at, before compression")
+    c = cmd("replay", "repair quarantined lines and land them, each once")
+    c.add_argument("--repair", required=True, help="SQL expression over line, e.g. \"concat(line, '}')\"")
+    c.add_argument("--run", required=True, help="name of this replay")
+    c.add_argument("--source", default="forum")
+    c = cmd("frames", "store the minutes that signals from an hour on reach back to")
+    c.add_argument("--asof", required=True, help="date or hour, e.g. 2024-01-01T06")
+    c = cmd("compact", "rewrite raw partitions into few files; landing may go on")
     cmd("query", "events per source and minute, newest first")
     cmd("score", "score raw events into the sentiment table")
     c = cmd("tickers", "mentions and mean sentiment per ticker and grain")
@@ -65,11 +76,25 @@ def main(argv: list[str] | None = None) -> int:
         from tickerlake.streaming.land import start_landing
 
         trig = {"processingTime": a.every} if a.every else None
-        q = start_landing(spark, a.items, a.lake, a.checkpoint, source=a.source, trigger=trig, metrics_path=a.metrics)
+        q = start_landing(
+            spark, a.items, a.lake, a.checkpoint, source=a.source, trigger=trig, metrics_path=a.metrics,
+            max_files_per_trigger=a.max_files, max_bytes_per_trigger=a.max_bytes,
+            max_records_per_file=a.max_rows_per_file, target_file_bytes=a.file_bytes,
+        )
         if a.duration is None:
             q.awaitTermination()
         elif not q.awaitTermination(a.duration):
             q.stop()
+    elif a.cmd == "replay":
+        from pyspark.sql import functions as F
+
+        from tickerlake.streaming.land import replay
+
+        print(f"landed {replay(spark, a.lake, F.expr(a.repair), a.run, source=a.source)} repaired events")
+    elif a.cmd == "frames":
+        jobs.save_frames(spark, a.lake, a.asof)
+    elif a.cmd == "compact":
+        print(f"rewrote {ops.compact(spark, a.lake, a.since, a.until)} events")
     elif a.cmd == "query":
         jobs.summarize(spark, a.lake, since=a.since, until=a.until).show(a.show, truncate=False)
     elif a.cmd == "score":

@@ -450,6 +450,74 @@ def q_stream_land_dedup(spark, sf_dir):
     return lake.read_events(spark, root).select(*STREAM_COLS)
 
 
+def _landed_stream(spark: SparkSession, sf_dir: str, lines: DataFrame, **kw) -> str:
+    """JSON lines landed file by file; returns the folder of lake and metrics."""
+    from tickerlake.streaming import land as sland
+
+    base = scratch_path(spark, "stream-lines")
+    fixtures.write_time_chunks(lines, f"{base}/in", chunks=4)
+    q = sland.start_landing(
+        spark, f"{base}/in/*", f"{base}/lake", f"{base}/ckpt", metrics_path=f"{base}/metrics",
+        source=QP.ITEM_SOURCE, ingested_ts=QP.INGEST_CLOCK_MS, max_files_per_trigger=1, **kw,
+    )
+    q.awaitTermination()
+    return base
+
+
+def q_malformed(spark, sf_dir):
+    """Reasons of a feed in which every tenth item is broken, and the lines kept of them."""
+    from tickerlake.streaming import land as sland
+
+    base = _landed_stream(spark, sf_dir, fixtures.broken_json_lines(spark, sf_dir))
+    told = sland.read_metrics(spark, f"{base}/metrics").where(F.col("reason").isin("accepted", "empty", "null", "malformed"))
+    kept = sland.read_quarantine(spark, f"{base}/lake").agg(F.sum("n").cast("long").alias("n"))
+    return told.select("reason", "n").unionByName(kept.select(F.lit("quarantined").alias("reason"), "n"))
+
+
+def q_replayed(spark, sf_dir):
+    """The broken feed after its lines were repaired and replayed (twice, which adds nothing)."""
+    from tickerlake.streaming import land as sland
+
+    root = f"{_landed_stream(spark, sf_dir, fixtures.broken_json_lines(spark, sf_dir))}/lake"
+    for run in ("first", "again"):
+        sland.replay(spark, root, F.concat("line", F.lit("}")), run, QP.ITEM_SOURCE, QP.INGEST_CLOCK_MS)
+    return lake.read_events(spark, root).select(*STREAM_COLS)
+
+
+def q_run_metrics(spark, sf_dir):
+    """What the landing runs counted themselves: events, batches that wrote, and whether files and bytes were seen."""
+    from tickerlake.streaming import land as sland
+
+    base = _landed_stream(spark, sf_dir, fixtures.item_json_lines(spark, sf_dir), max_records_per_file=1000)
+    told = sland.read_metrics(spark, f"{base}/metrics")
+    value = lambda *names: F.sum(F.when(F.col("reason").isin(*names), F.col("n"))).cast("long")
+    return told.agg(
+        value("accepted", "empty", "null", "no_id", "malformed").alias("events_in"),
+        value("landed").alias("events_out"),
+        (value("flushes") == 4).alias("every_batch_wrote"),
+        (value("files") >= value("flushes")).alias("files_counted"),
+        value("bytes").between(value("landed"), value("landed") * 400).alias("bytes_in_range"),
+    )
+
+
+def q_stream_ids(spark, sf_dir):
+    """Items read by id from a store that grows between three runs of one checkpoint."""
+    from tickerlake.sources.item_ids import ItemIds
+    from tickerlake.streaming import land as sland
+
+    spark.dataSource.register(ItemIds)
+    base = scratch_path(spark, "stream-ids")
+    for part in range(3):
+        fixtures.append_item_store(spark, sf_dir, f"{base}/store", part, 3)
+        stored = spark.readStream.format("item_ids").option("path", f"{base}/store").option("start", "earliest").load()
+        q = sland.start_landing(
+            spark, sland.items_from_json_strings(stored), f"{base}/lake", f"{base}/ckpt",
+            source=QP.ITEM_SOURCE, ingested_ts=QP.INGEST_CLOCK_MS,
+        )
+        q.awaitTermination()
+    return lake.read_events(spark, f"{base}/lake").select(*STREAM_COLS)
+
+
 def q_stream_minute(spark, sf_dir):
     """Feed as JSON files -> watermarked 1-minute counts in update mode -> latest per window."""
     from tickerlake.schemas import EVENT_SCHEMA

@@ -1,7 +1,7 @@
 """Input views derived from the supplied test tables.
 
-Nothing here synthesises rows: every view is a projection of ``events`` so
-its size grows with the data. Time is compressed 60-fold (30 days -> 12
+Every view is a projection of ``events``, one row to a row, so its size grows
+with the data; the texts of posts and items are templated phrases. Time is compressed 60-fold (30 days -> 12
 hours) so that one-minute buckets are dense.
 """
 
@@ -123,6 +123,24 @@ def item_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return it.select("event_ts", line.alias("value"))
 
 
+def broken_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``item_json_lines`` in which every tenth item has lost its last character."""
+    it = items(spark, sf_dir)
+    whole = F.to_json(F.col("item"))
+    cut = F.col("item_key") % 10 == 0
+    line = F.when(F.col("item").isNull(), F.lit("null")).when(cut, F.expr("substring(to_json(item), 1, length(to_json(item)) - 1)")).otherwise(whole)
+    return it.select("event_ts", line.alias("value"))
+
+
+def append_item_store(spark: SparkSession, sf_dir: str, path: str, part: int, parts: int) -> None:
+    """The items (id, value) whose number lies in one of ``parts`` equal ranges, as Parquet."""
+    it = items(spark, sf_dir)
+    value = F.when(F.col("item").isNull(), F.lit("null")).otherwise(F.to_json(F.col("item")))
+    top = it.agg(F.max("item_key")).first()[0] + 1
+    own = F.col("item_key").between(top * part // parts, top * (part + 1) // parts - 1)
+    it.filter(own).select(F.col("item_key").alias("id"), value.alias("value")).write.mode("append").parquet(path)
+
+
 def event_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_ts, value): the landing feed as JSON lines (lake contract fields)."""
     f = landing_feed(spark, sf_dir)

@@ -86,6 +86,13 @@ def event_files(spark: SparkSession, root: str) -> DataFrame:
     return found.load(glob).select("path", "length")
 
 
+def event_size(spark: SparkSession, root: str) -> tuple[int, int]:
+    """(files, bytes) of the raw lake, as the file system counts them (one call per source)."""
+    folder = Folder(spark, root)
+    sources = [n for n in folder.names() if n.startswith("source=")]
+    return sum(folder.files(n) for n in sources), sum(folder.size(n) for n in sources)
+
+
 def read_sentiment(spark: SparkSession, root: str, since=None, until=None) -> DataFrame:
     schema = read_schema(SENTIMENT_SCHEMA, EVENT_PARTITIONS)
     df = _date_window(snapshot.read(spark, sentiment_root(root), "source=*", schema), since, until)
