@@ -64,6 +64,7 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--out", default=None, help="write the signal as Parquet here instead of printing")
     c = cmd("report", "backtest summary and storage report")
     c.add_argument("--limit", type=int, default=0, help="newest signal rows to test; 0 = all")
+    c.add_argument("--store", action="store_true", help="store the window's hours and report over all stored hours")
     cmd("metrics", "pipeline counters computed from the lake")
 
     a = p.parse_args(argv)
@@ -120,7 +121,11 @@ def main(argv: list[str] | None = None) -> int:
         else:
             sig.show(a.show, truncate=False)
     elif a.cmd == "report":
-        jobs.backtest_report(spark, a.lake, limit=a.limit or None, since=a.since, until=a.until).show(truncate=False)
+        if a.store:
+            print(f"stored {jobs.store_backtest(spark, a.lake, a.since, a.until)} hours")
+            jobs.stored_backtest(spark, a.lake).show(truncate=False)
+        else:
+            jobs.backtest_report(spark, a.lake, limit=a.limit or None, since=a.since, until=a.until).show(truncate=False)
         ops.storage_report(lake.event_files(spark, a.lake), lake.read_events(spark, a.lake)).show(truncate=False)
     elif a.cmd == "metrics":
         ops.pipeline_metrics(lake.read_events(spark, a.lake), lake.read_sentiment(spark, a.lake)).show(

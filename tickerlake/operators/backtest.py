@@ -9,13 +9,19 @@ at the first trade (not at 0). A window without a partition would move all
 trades into one task, so the scan runs in two levels: running sums inside
 hourly chunks (bounded by 60 minutes x tickers), then running offsets and
 peaks over the per-chunk summaries (one row per hour), broadcast back.
+
+The summary needs no curve: ``pieces`` describes each hour by figures that
+merge (counts, sum, mean and squared deviations, highest and lowest running
+sum, worst fall), and ``merged`` folds them in order, hours to days, days to
+months, months to years. Merging is associative, so the pieces of a day can
+be stored and a new day adds its own.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerlake.plans.sizing import bounded_broadcast
@@ -79,35 +85,90 @@ def equity_curve(signal: DataFrame, chunk_unit: str = "hour") -> DataFrame:
     )
 
 
-def summary(signal: DataFrame) -> DataFrame:
-    """One row: n_signals, n_trades, total_pnl, mean_pnl, std_pnl, sharpe_annual,
-    max_drawdown, hit_rate. Zeros when there are no trades."""
-    curve = equity_curve(signal)
-    t = F.col("is_trade")
-    agg = curve.agg(
+PIECE = ("n_signals", "n_trades", "wins", "s", "mean", "m2", "high", "low", "fall")
+
+
+def pieces(signal: DataFrame, unit: str = "hour") -> DataFrame:
+    """(at, n_signals, n_trades, wins, s, mean, m2, high, low, fall) per ``unit`` of time.
+
+    s is the sum of pnl, m2 the sum of squared deviations from the mean; high
+    and low are the extremes of the running sum after a trade, fall the worst
+    distance from its peak (NULL without trades).
+    """
+    rows = with_pnl(signal).select(F.date_trunc(unit, "bucket").cast("timestamp_ntz").alias("at"), "bucket", "ticker", "pos", "pnl")
+    is_trade = F.col("pos") != 0
+    won = F.when(is_trade, F.col("pnl"))
+    upto = Window.partitionBy("at").orderBy("bucket", "ticker").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("_p", F.when(is_trade, F.sum(won).over(upto)))
+    run = run.withColumn("_peak", F.max("_p").over(upto))
+    n = F.count(won)
+    return run.groupBy("at").agg(
         F.count(F.lit(1)).alias("n_signals"),
-        F.count(F.when(t, True)).alias("n_trades"),
-        F.sum("pnl").alias("_total"),
-        F.avg("pnl").alias("_mean"),
-        F.stddev_pop("pnl").alias("_std"),
-        F.min("drawdown").alias("_mdd"),
-        F.avg(F.when(t, (F.col("pnl") > 0).cast("double"))).alias("_hit"),
+        n.alias("n_trades"),
+        F.count(F.when(won > 0, True)).alias("wins"),
+        F.coalesce(F.sum(won), F.lit(0.0)).alias("s"),
+        F.coalesce(F.avg(won), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.var_pop(won) * n, F.lit(0.0)).alias("m2"),
+        F.max("_p").alias("high"),
+        F.min("_p").alias("low"),
+        F.min(F.when(is_trade, F.col("_p") - F.col("_peak"))).alias("fall"),
     )
+
+
+def _merge(a: Column, b: Column) -> Column:
+    """The piece of ``a`` followed by ``b``."""
+    n = a["n_trades"] + b["n_trades"]
+    apart = b["mean"] - a["mean"]
+    return F.struct(
+        (a["n_signals"] + b["n_signals"]).alias("n_signals"),
+        n.alias("n_trades"),
+        (a["wins"] + b["wins"]).alias("wins"),
+        (a["s"] + b["s"]).alias("s"),
+        F.when(n > 0, (a["mean"] * a["n_trades"] + b["mean"] * b["n_trades"]) / n).otherwise(0.0).alias("mean"),
+        F.when(n > 0, a["m2"] + b["m2"] + apart * apart * a["n_trades"] * b["n_trades"] / n).otherwise(0.0).alias("m2"),
+        F.greatest(a["high"], a["s"] + b["high"]).alias("high"),
+        F.least(a["low"], a["s"] + b["low"]).alias("low"),
+        F.least(a["fall"], b["fall"], a["s"] - a["high"] + b["low"]).alias("fall"),
+    )
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """All pieces as one row, folded in time order level by level; no group holds more than a level's rows."""
+    nothing = F.struct(
+        *[F.lit(0).cast("long").alias(c) for c in PIECE[:3]], *[F.lit(0.0).alias(c) for c in PIECE[3:6]],
+        *[F.lit(None).cast("double").alias(c) for c in PIECE[6:]],
+    )
+    for unit in ("day", "month", "year", None):
+        keys = [F.date_trunc(unit, "at").cast("timestamp_ntz").alias("at")] if unit else []
+        ordered = F.array_sort(F.collect_list(F.struct("at", F.struct(*PIECE).alias("piece"))))
+        folded = parts.groupBy(*keys).agg(F.aggregate(ordered, nothing, lambda acc, x: _merge(acc, x["piece"])).alias("piece"))
+        parts = folded.select(*(["at"] if unit else []), "piece.*")
+    return parts
+
+
+def figures(total: DataFrame) -> DataFrame:
+    """The summary row of one merged piece; zeros when there are no trades."""
     has = F.col("n_trades") > 0
-    std = F.coalesce(F.col("_std"), F.lit(0.0))
-    sharpe = F.when(std > 0, F.col("_mean") / std * F.lit(math.sqrt(PERIODS_PER_YEAR_5M))).otherwise(0.0)
-    return agg.select(
-        F.col("n_signals").cast("long").alias("n_signals"),
-        F.col("n_trades").cast("long").alias("n_trades"),
-        F.when(has, F.col("_total")).otherwise(0.0).alias("total_pnl"),
-        F.when(has, F.col("_mean")).otherwise(0.0).alias("mean_pnl"),
-        F.when(has, std).otherwise(0.0).alias("std_pnl"),
-        F.when(has, sharpe).otherwise(0.0).alias("sharpe_annual"),
-        F.when(has, F.col("_mdd")).otherwise(0.0).alias("max_drawdown"),
-        F.when(has, F.col("_hit")).otherwise(0.0).alias("hit_rate"),
+    mean = F.when(has, F.col("mean")).otherwise(0.0)
+    std = F.when(has, F.sqrt(F.col("m2") / F.col("n_trades"))).otherwise(0.0)
+    return total.select(
+        "n_signals",
+        "n_trades",
+        F.when(has, F.col("s")).otherwise(0.0).alias("total_pnl"),
+        mean.alias("mean_pnl"),
+        std.alias("std_pnl"),
+        F.when(std > 0, mean / std * F.lit(math.sqrt(PERIODS_PER_YEAR_5M))).otherwise(0.0).alias("sharpe_annual"),
+        F.when(has, F.col("fall")).otherwise(0.0).alias("max_drawdown"),
+        F.when(has, F.col("wins") / F.col("n_trades")).otherwise(0.0).alias("hit_rate"),
     )
 
 
+def summary(signal: DataFrame) -> DataFrame:
+    """One row: n_signals, n_trades, total_pnl, mean_pnl, std_pnl, sharpe_annual,
+    max_drawdown, hit_rate. Zeros when there are no trades."""
+    return figures(merged(pieces(signal)))
+
+
 def with_costs(
     signal: DataFrame, cost_bps: float = 1.0, slippage_bps: float = 0.0, block_rows: int = DEFAULT_BLOCK_ROWS
 ) -> DataFrame:

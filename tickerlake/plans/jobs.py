@@ -162,6 +162,22 @@ def backtest_report(spark: SparkSession, root: str, limit: int | None = None, si
     return backtest.summary(signal_view(spark, root, limit=limit, since=since, until=until))
 
 
+def store_backtest(spark: SparkSession, root: str, since=None, until=None) -> int:
+    """Store the backtest pieces of the window's hours, replacing those hours; returns the hours stored.
+
+    A daily run over its own day adds that day's pieces. Bars must reach five
+    minutes past ``until``.
+    """
+    parts = backtest.pieces(signal_view(spark, root, since=since, until=until))
+    return lake.write_pieces(parts, root)
+
+
+def stored_backtest(spark: SparkSession, root: str, since=None, until=None) -> DataFrame:
+    """The one-row summary of the stored pieces; no signal is computed."""
+    prepare_session(spark)
+    return backtest.figures(backtest.merged(lake.read_pieces(spark, root, since, until)))
+
+
 def market_anchor(spark: SparkSession, root: str, minutes: int = 120) -> DataFrame:
     """Data bounds of the raw lake and a window start centred on them."""
     prepare_session(spark)

@@ -351,6 +351,18 @@ def q_backtest_window(spark, sf_dir):
     return _round(jobs.backtest_report(spark, _windowed_lake(spark, sf_dir), since=QP.SINCE_HOUR, until=QP.UNTIL_HOUR), _SUMMARY_DIGITS)
 
 
+def q_backtest_daily(spark, sf_dir):
+    """The backtest from stored pieces of three windows, each of which added its own hours."""
+    from tickerlake.plans import jobs
+
+    root = _scored_lake(spark, sf_dir)
+    for window in ({"until": "2024-01-01T03"}, {"since": "2024-01-01T04", "until": "2024-01-01T07"}, {"since": "2024-01-01T08"}):
+        if "since" in window:
+            jobs.save_frames(spark, root, window["since"])
+        jobs.store_backtest(spark, root, **window)
+    return _round(jobs.stored_backtest(spark, root), _SUMMARY_DIGITS)
+
+
 def q_signal_no_market(spark, sf_dir):
     """The signal of a lake that has no bars yet: closes and returns are NULL."""
     from tickerlake.plans import jobs

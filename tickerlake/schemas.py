@@ -57,6 +57,13 @@ FRAME_SCHEMA = T.StructType(
     ]
 )
 
+# Mergeable backtest figures of an hour: {root}/derived/backtest/dt=/hr=/
+PIECE_SCHEMA = T.StructType(
+    [T.StructField("at", T.TimestampNTZType(), True)]
+    + [T.StructField(c, T.LongType(), True) for c in ("n_signals", "n_trades", "wins")]
+    + [T.StructField(c, T.DoubleType(), True) for c in ("s", "mean", "m2", "high", "low", "fall")]
+)
+
 # Hive partition columns as they are read back. Inference would turn hr=09
 # into the integer 9, so the types are always given.
 HOUR_PARTITIONS = T.StructType(

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tickerlake.functions.tables import empty_table
 from tickerlake.functions.timecols import dt_of, event_at, hr_of
-from tickerlake.schemas import BAR_SCHEMA, EVENT_SCHEMA, FRAME_SCHEMA, SENTIMENT_SCHEMA, conform, read_schema
+from tickerlake.schemas import BAR_SCHEMA, EVENT_SCHEMA, FRAME_SCHEMA, PIECE_SCHEMA, SENTIMENT_SCHEMA, conform, read_schema
 from tickerlake.sources import ids, snapshot
 from tickerlake.sources.files import Folder, glob_matches
 
@@ -239,6 +239,21 @@ def read_frames(spark: SparkSession, root: str, upto) -> tuple[str | None, DataF
     return best, spark.read.schema(FRAME_SCHEMA).parquet(f"{folder.path}/asof={best}")
 
 
+def pieces_root(root: str) -> str:
+    return f"{root.rstrip('/')}/derived/backtest"
+
+
+def write_pieces(parts: DataFrame, root: str) -> int:
+    """Dynamic overwrite of the hours present in ``parts`` (``backtest.pieces``)."""
+    out = conform(parts, PIECE_SCHEMA).withColumns({"dt": F.to_date("at"), "hr": F.date_format("at", "HH")})
+    return write_partitioned(out, pieces_root(root), MARKET_PARTITIONS, "at", "overwrite")
+
+
+def read_pieces(spark: SparkSession, root: str, since=None, until=None) -> DataFrame:
+    schema = read_schema(PIECE_SCHEMA, MARKET_PARTITIONS)
+    return _date_window(snapshot.read(spark, pieces_root(root), "dt=*", schema), since, until)
+
+
 def write_market(df: DataFrame, root: str) -> int:
     """Dynamic overwrite of the bar partitions (dt, hr) present in ``df``."""
     out = with_hour_partitions(conform(df, BAR_SCHEMA), "ts")
