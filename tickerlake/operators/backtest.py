@@ -13,7 +13,7 @@ peaks over the per-chunk summaries (one row per hour), broadcast back.
 The summary needs no curve: ``pieces`` describes each hour by figures that
 merge (counts, sum, mean and squared deviations, highest and lowest running
 sum, worst fall), and ``merged`` folds them in order, hours to days, days to
-months, months to years. Merging is associative, so the pieces of a day can
+years. Merging is associative, so the pieces of a day can
 be stored and a new day adds its own.
 """
 
@@ -138,7 +138,7 @@ def merged(parts: DataFrame) -> DataFrame:
         *[F.lit(0).cast("long").alias(c) for c in PIECE[:3]], *[F.lit(0.0).alias(c) for c in PIECE[3:6]],
         *[F.lit(None).cast("double").alias(c) for c in PIECE[6:]],
     )
-    for unit in ("day", "month", "year", None):
+    for unit in ("day", "year", None):
         keys = [F.date_trunc(unit, "at").cast("timestamp_ntz").alias("at")] if unit else []
         ordered = F.array_sort(F.collect_list(F.struct("at", F.struct(*PIECE).alias("piece"))))
         folded = parts.groupBy(*keys).agg(F.aggregate(ordered, nothing, lambda acc, x: _merge(acc, x["piece"])).alias("piece"))

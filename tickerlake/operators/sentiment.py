@@ -85,6 +85,15 @@ def score_texts(
     return per_row.select(*keep, *_finish(params))
 
 
+LISTED_WORDS = 20_000
+
+
+def _listed_words(lexicon: DataFrame) -> list[str] | None:
+    """The lexicon's words, if there are at most ``LISTED_WORDS`` (no more are fetched)."""
+    rows = lexicon.filter(F.col("kind") == "word").select("token").distinct().limit(LISTED_WORDS + 1).collect()
+    return sorted(r[0] for r in rows if r[0] is not None) if len(rows) <= LISTED_WORDS else None
+
+
 def token_contributions(
     df: DataFrame,
     lexicon: DataFrame,
@@ -124,17 +133,24 @@ def token_contributions(
     def prev(i: Column, k: int) -> Column:
         return F.when(i >= k, toks[i - k])
 
-    ctx = F.transform(
-        toks,
-        lambda t, i: F.struct(
+    def seen(i: Column) -> Column:
+        return F.struct(
             (i + 1).alias("__i"),
-            t.alias("__t"),
+            toks[i].alias("__t"),
             all_caps(otoks[i]).alias("__cap"),
             prev(i, 1).alias("__p1"),
             prev(i, 2).alias("__p2"),
             prev(i, 3).alias("__p3"),
-        ),
-    )
+        )
+
+    # Where the lexicon's words are few enough for a literal set, only the
+    # places of lexicon words are exploded, not every token.
+    listed = _listed_words(lexicon)
+    if listed is None:
+        ctx = F.transform(toks, lambda t, i: seen(i))
+    else:
+        places = F.filter(F.transform(toks, lambda t, i: F.when(t.isin(listed), i)), lambda i: i.isNotNull())
+        ctx = F.transform(places, seen)
     group_cols = [*keep, "__row", "__n_tok", "__but", "__excl", "__capdiff"]
     exploded = base.select(
         *group_cols,
