@@ -301,3 +301,42 @@ def test_a_landing_that_died_before_its_ids_were_added(spark, lake_root, monkeyp
 def test_landing_sorts_no_texts_to_aggregate_them(spark):
     plan = lake.first_deliveries(wire(spark, 3))._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "Window" in plan
+
+
+# --- contract versions, scope of bars -----------------------------------------
+
+
+def test_a_later_contract_version_adds_nullable_columns(spark, lake_root):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from tickerlake.schemas import SchemaDrift, later_version
+
+    second = later_version(EVENT_SCHEMA, T.StructField("lang", T.StringType(), True))
+    lake.land_events(spark, wire(spark, 3), lake_root)
+    lake.land_events(spark, wire(spark, 3, first=3).withColumn("lang", F.lit("de")), lake_root, contract=second)
+    for _ in range(2):  # before and after the files were rewritten
+        got = {r.event_id: r.lang for r in lake.read_events(spark, lake_root, contract=second).collect()}
+        assert got == {**{f"m{k}": None for k in range(3)}, **{f"m{k}": "de" for k in range(3, 6)}}
+        assert lake.read_events(spark, lake_root).count() == 6
+        ops.compact(spark, lake_root)
+    with pytest.raises(SchemaDrift, match="no later version"):
+        lake.land_events(spark, wire(spark, 3, first=6), lake_root)
+    other = later_version(EVENT_SCHEMA, T.StructField("lang", T.LongType(), True))
+    with pytest.raises(SchemaDrift):
+        lake.land_events(spark, wire(spark, 3, first=6).withColumn("lang", F.lit(1).cast("long")), lake_root, contract=other)
+    for bad in (T.StructField("text", T.StringType(), True), T.StructField("must", T.StringType(), False), T.StructField("hr", T.StringType(), True)):
+        with pytest.raises(SchemaDrift):
+            later_version(EVENT_SCHEMA, bad)
+
+
+def test_bars_of_an_empty_lake_are_the_baskets_around_now(spark, lake_root):
+    from tickerlake.plans import jobs
+
+    now = 1_700_000_000_000 // 60_000 * 60_000
+    prints = [(t, (now + 60_000 * m) * 1000, m + 500, 9.0, 1) for m in range(-90, 90) for t in ("SPY", "AMD")]
+    df = spark.createDataFrame(prints, "ticker string, trade_us long, trade_id long, price double, qty long")
+    assert jobs.write_bars(spark, lake_root, df, mentioned_only=True, window_minutes=60, now_ms=now) == 60
+    got = lake.read_market(spark, lake_root).collect()
+    assert {r.ticker for r in got} == {"SPY"}
+    assert min(r.ts for r in got) == now - 30 * 60_000 and max(r.ts for r in got) == now + 29 * 60_000

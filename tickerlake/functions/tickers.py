@@ -33,6 +33,8 @@ KNOWN_TICKERS: tuple[str, ...] = (
     "SPY", "QQQ", "IWM", "DIA", "VOO", "VTI", "ARKK", "GLD", "SLV",
     "TLT", "TQQQ", "SQQQ", "VIX", "UVXY", "USO",
 )
+# Symbols whose bars are built while nothing is mentioned yet.
+DEFAULT_BASKET: tuple[str, ...] = ("AAPL", "MSFT", "NVDA", "TSLA", "AMZN", "META", "GOOGL", "SPY", "QQQ")
 # Cashtag: "$" then 1-5 capitals ending at a word boundary.
 CASHTAG_PATTERN = r"\$([A-Z]{1,5})\b"
 # Bare symbol: 2-5 capitals between word boundaries.

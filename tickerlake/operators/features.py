@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerlake.functions.tickers import extract_tickers, normalise_symbols, unknown_symbols
+from tickerlake.functions.tickers import DEFAULT_BASKET, extract_tickers, normalise_symbols, unknown_symbols
 from tickerlake.functions.timecols import bucket, truncate
 from tickerlake.plans.sizing import bounded_broadcast
 
@@ -59,6 +59,14 @@ def distinct_tickers(sentiment: DataFrame) -> DataFrame:
     return sentiment.select(F.explode("tickers").alias("ticker")).distinct()
 
 
+def mentioned_or_basket(sentiment: DataFrame) -> DataFrame:
+    """Tickers mentioned in the scored table; the default basket while there are none."""
+    mentioned = distinct_tickers(sentiment)
+    basket = sentiment.sparkSession.createDataFrame([(t,) for t in DEFAULT_BASKET], "ticker string")
+    any_ = mentioned.limit(1).select(F.lit(True).alias("_any"))
+    return mentioned.unionByName(basket.join(any_, F.lit(True), "left_anti"))
+
+
 def event_bounds(events: DataFrame, minutes: int = 120) -> DataFrame:
     """(min_ts, max_ts, anchor_ts): data bounds and a bar-window start.
 

@@ -54,26 +54,30 @@ def select_prints(
     tickers: DataFrame | None = None,
     mentioned_only: bool = False,
     window_minutes: int | None = None,
+    now_ms: int | None = None,
 ) -> DataFrame:
     """Prints restricted the way a bar build is scoped.
 
     ``tickers`` (a one-column ``ticker`` table, e.g. from
     ``features.universe``) or, with ``mentioned_only``, the tickers mentioned
-    in the scored table; ``window_minutes`` keeps a window of that length
-    centred on the raw events' time range (one scalar row is read back to
-    build the filter, which then reaches the prints scan).
+    in the scored table (a default basket while there are none);
+    ``window_minutes`` keeps a window of that length centred on the raw
+    events' time range, or on ``now_ms`` (default: the clock) while there are
+    no events (one scalar row is read back to build the filter, which then
+    reaches the prints scan).
     """
     prepare_session(spark)
     if tickers is None and mentioned_only:
-        tickers = features.distinct_tickers(lake.read_sentiment(spark, root))
+        tickers = features.mentioned_or_basket(lake.read_sentiment(spark, root))
     if tickers is not None:
         prints = features.restrict_to_universe(prints, tickers)
     if window_minutes is not None:
         b = features.event_bounds(lake.read_events(spark, root), window_minutes).first()
-        if b is not None and b["anchor_ts"] is not None:
-            start_us = int(b["anchor_ts"]) * 1000
-            end_us = start_us + int(window_minutes) * 60_000_000
-            prints = prints.filter((prints["trade_us"] >= start_us) & (prints["trade_us"] < end_us))
+        now = int(datetime.now(UTC).timestamp() * 1000) if now_ms is None else now_ms
+        anchor = b["anchor_ts"] if b["anchor_ts"] is not None else now - int(window_minutes) // 2 * 60_000
+        start_us = int(anchor) * 1000
+        end_us = start_us + int(window_minutes) * 60_000_000
+        prints = prints.filter((prints["trade_us"] >= start_us) & (prints["trade_us"] < end_us))
     return prints
 
 
@@ -85,6 +89,7 @@ def write_bars(
     mentioned_only: bool = False,
     window_minutes: int | None = None,
     merge: bool = False,
+    now_ms: int | None = None,
 ) -> int:
     """Resample trade prints to one-minute bars and write them.
 
@@ -92,7 +97,7 @@ def write_bars(
     this run disappear from them); ``merge=True`` upserts by (ticker, ts)
     instead. Returns the number of rows written.
     """
-    selected = select_prints(spark, root, prints, tickers, mentioned_only, window_minutes)
+    selected = select_prints(spark, root, prints, tickers, mentioned_only, window_minutes, now_ms)
     new_bars = bars.resample_prints(selected)
     if merge:
         return lake.merge_market(spark, new_bars, root)

@@ -405,6 +405,21 @@ def q_compact_concurrent(spark, sf_dir):
     return lake.read_events(spark, root).select(*LAKE_COLS)
 
 
+def q_mixed_versions(spark, sf_dir):
+    """One source landed before a column was added to the contract, the other after; compacted and read together."""
+    from pyspark.sql import types as T
+
+    from tickerlake.schemas import EVENT_SCHEMA, later_version
+
+    root = scratch_path(spark, "lake-versions")
+    feed = fixtures.landing_feed(spark, sf_dir)
+    second = later_version(EVENT_SCHEMA, T.StructField("lang", T.StringType(), True))
+    lake.land_events(spark, feed.filter("source = 'synth'"), root)
+    lake.land_events(spark, feed.filter("source = 'forum'").withColumn("lang", F.lit("en")), root, contract=second)
+    ops.compact(spark, root)
+    return lake.read_events(spark, root, contract=second).select(*LAKE_COLS, "lang")
+
+
 def q_market_merge(spark, sf_dir):
     """Bars merged ticker by ticker into the same hours; the last merge replaces one ticker's bars by themselves."""
     from tickerlake.plans import jobs

@@ -92,6 +92,24 @@ class SchemaDrift(ValueError):
     """Raised when a DataFrame does not match a table contract."""
 
 
+def later_version(old: T.StructType, *added: T.StructField) -> T.StructType:
+    """The next version of a contract: the old fields, then new nullable ones.
+
+    Files of the old version read as NULL in the new columns.
+    """
+    for f in added:
+        if not f.nullable or f.name in old.names or f.name in HOUR_PARTITIONS.names:
+            raise SchemaDrift(f"a later version may only add nullable columns with new names, not {f.name}")
+    return T.StructType([*old.fields, *added])
+
+
+def is_later_version(new: T.StructType, old: T.StructType) -> bool:
+    """Whether ``new`` is ``old`` or adds nullable columns to it."""
+    n = len(old.fields)
+    same = [(a.name, a.dataType) == (b.name, b.dataType) for a, b in zip(new.fields, old.fields, strict=False)]
+    return len(new.fields) >= n and all(same) and all(f.nullable for f in new.fields[n:])
+
+
 def read_schema(contract: T.StructType, partitions: list[str]) -> T.StructType:
     """Schema to read a partitioned table back with.
 

@@ -15,6 +15,7 @@ knows redelivered ids from ``sources.ids``.
 
 from __future__ import annotations
 
+import json
 from datetime import UTC, datetime
 
 from py4j.protocol import Py4JJavaError
@@ -24,14 +25,13 @@ from pyspark.sql import types as T
 
 from tickerlake.functions.tables import empty_table
 from tickerlake.functions.timecols import dt_of, event_at, hr_of
-from tickerlake.schemas import BAR_SCHEMA, EVENT_SCHEMA, FRAME_SCHEMA, PIECE_SCHEMA, SENTIMENT_SCHEMA, conform, read_schema
+from tickerlake.schemas import BAR_SCHEMA, EVENT_SCHEMA, FRAME_SCHEMA, PIECE_SCHEMA, SENTIMENT_SCHEMA, SchemaDrift, conform, is_later_version, read_schema
 from tickerlake.sources import ids, snapshot
 from tickerlake.sources.files import Folder, glob_matches
 
 EVENT_PARTITIONS = ["source", "dt", "hr"]
 MARKET_PARTITIONS = ["dt", "hr"]
 COMPRESSION = "zstd"
-EVENT_READ = read_schema(EVENT_SCHEMA, EVENT_PARTITIONS)
 BAR_READ = read_schema(BAR_SCHEMA, MARKET_PARTITIONS)
 
 
@@ -63,16 +63,37 @@ def _date_window(df: DataFrame, since, until) -> DataFrame:
     return df
 
 
-def read_events(spark: SparkSession, root: str, since=None, until=None) -> DataFrame:
+def contract_of(spark: SparkSession, base: str, default: T.StructType) -> T.StructType:
+    """The newest contract version that was written to a table (``default`` if none is noted)."""
+    folder = Folder(spark, f"{base.rstrip('/')}/_contract")
+    noted = folder.names()
+    return T.StructType.fromJson(json.loads(folder.read_text(noted[-1]))) if noted else default
+
+
+def note_contract(spark: SparkSession, base: str, contract: T.StructType, first: T.StructType) -> None:
+    """Note the version that is about to be written; an older or foreign one raises ``SchemaDrift``.
+
+    Versions are numbered by their columns (``_contract/v007.json``).
+    """
+    newest = contract_of(spark, base, first)
+    if not is_later_version(contract, newest):
+        raise SchemaDrift(f"the table holds columns {newest.names}; {contract.names} is no later version of that")
+    folder, name = Folder(spark, f"{base.rstrip('/')}/_contract"), f"v{len(contract.fields):03d}.json"
+    if not folder.exists(name):
+        folder.write_text(name, json.dumps(contract.jsonValue()))
+
+
+def read_events(spark: SparkSession, root: str, since=None, until=None, contract: T.StructType = EVENT_SCHEMA) -> DataFrame:
     """Raw events with ``dt``, ``hr`` from the paths and ``event_at``.
 
     The glob ``source=*`` keeps ``derived/`` out. The ``source`` value comes
     from the path, which is the value every writer here partitions by.
     ``since``/``until`` (dates or hours such as ``2024-01-01T06``, inclusive)
-    prune whole partitions.
+    prune whole partitions. ``contract`` may be any version; files of earlier
+    ones give NULL in columns that came later.
     """
     base = root.rstrip("/")
-    df = _date_window(snapshot.read(spark, base, "source=*", EVENT_READ), since, until)
+    df = _date_window(snapshot.read(spark, base, "source=*", read_schema(contract, EVENT_PARTITIONS)), since, until)
     return df.withColumn("event_at", event_at(F.col("event_ts")))
 
 
@@ -160,13 +181,19 @@ def _observed(obs: Observation) -> dict:
 
 def first_deliveries(df: DataFrame) -> DataFrame:
     """One row per (source, event_id): the earliest by event_ts, ingested_ts, then text and the other columns."""
-    rest = [f.name for f in EVENT_SCHEMA.fields if f.name not in ("source", "event_id")]
-    order = ["event_ts", "ingested_ts", "text", *[c for c in rest if c not in ("event_ts", "ingested_ts", "text")]]
+    order = ["event_ts", "ingested_ts", "text", *[c for c in df.columns if c not in ("source", "event_id", "event_ts", "ingested_ts", "text")]]
     by = Window.partitionBy("event_id", "source").orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(by)).where("_rank = 1").drop("_rank")
 
 
-def land_events(spark: SparkSession, df: DataFrame, root: str, max_records_per_file: int | None = None, cache: bool = True) -> int:
+def land_events(
+    spark: SparkSession,
+    df: DataFrame,
+    root: str,
+    max_records_per_file: int | None = None,
+    cache: bool = True,
+    contract: T.StructType = EVENT_SCHEMA,
+) -> int:
     """Append events to the raw lake so that re-landing adds nothing.
 
     An event is known by (source, event_id), whatever its time: of several
@@ -177,10 +204,12 @@ def land_events(spark: SparkSession, df: DataFrame, root: str, max_records_per_f
 
     ``cache`` keeps the batch for the three steps that read it (filters,
     events, index); without it the batch is computed again for each.
-    Returns the number of rows appended.
+    ``contract`` is the version that ``df`` is written in; once a later one
+    was written, an earlier one raises. Returns the number of rows appended.
     """
     base = root.rstrip("/")
-    incoming = first_deliveries(conform(df, EVENT_SCHEMA))
+    note_contract(spark, base, contract, EVENT_SCHEMA)
+    incoming = first_deliveries(conform(df, contract))
     filled = glob_matches(spark, f"{base}/source=*")
     if filled and not ids.is_sound(spark, base):
         ids.rebuild(spark, base, read_events(spark, base))
@@ -300,10 +329,11 @@ def compact_events(spark: SparkSession, root: str, since=None, until=None, befor
     snapshot.recover(spark, base)
     low, high = since and hour_of(since), until and hour_of(until, last=True)
     wanted = lambda part: (not low or (part["dt"], part["hr"]) >= low) and (not high or (part["dt"], part["hr"]) <= high)
-    inputs = snapshot.files_of(spark, base, "source=*", EVENT_READ, wanted)
+    schema = read_schema(contract_of(spark, base, EVENT_SCHEMA), EVENT_PARTITIONS)
+    inputs = snapshot.files_of(spark, base, "source=*", schema, wanted)
     if not inputs:
         return 0
-    rows = snapshot.read_files(spark, base, EVENT_READ, inputs)
+    rows = snapshot.read_files(spark, base, schema, inputs)
     return snapshot.rewrite(
         spark, base, inputs, lambda to: write_partitioned(rows, to, EVENT_PARTITIONS, "event_ts", "append"),
         expect=lambda n: n == rows.count(), before_commit=before_commit, apply_now=apply_now,
