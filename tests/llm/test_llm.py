@@ -185,6 +185,39 @@ def test_chat_round_trip_and_layouts(spark):
     assert got[5].turns is None and got[6].turns is None and got[7].turns is None
 
 
+def test_record_fingerprints_stand_nulls_empty_arrays_and_further_fields(spark):
+    cases = {
+        '{"messages":[{"role":"user","content":null}]}': ("messages", [("user", None)]),
+        '{"messages":[{"role":"user"},{"content":"x","role":"assistant"}]}': ("messages", [("user", None), ("assistant", "x")]),
+        '{"id":7,"messages":[{"weight":1,"content":"a","role":"user"}],"meta":{"k":[1]}}': ("messages", [("user", "a")]),
+        '{"messages":[]}': ("messages", []),
+        '{"conversations":null,"lang":"en"}': ("shared", []),
+        '{"turns":[{"turn":2,"role":"b","text":"y"},{"turn":null,"role":"a","text":"x"}]}': ("turn rows", [("a", "x"), ("b", "y")]),
+        '{"prompt":null,"response":"r","score":0.5}': ("prompt and response", [("user", None), ("assistant", "r")]),
+        '{"output":"o","instruction":"i","input":null}': ("instruction with input", [("user", "i"), ("assistant", "o")]),
+        '{"prompt":"p","messages":[]}': (None, None),
+        '{"messages":[{"content":"no role"}]}': (None, None),
+        '[{"prompt":"p","response":"r"}]': (None, None),
+        "{}": (None, None),
+        "": (None, None),
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, j string").withColumn("fingerprint", F.lit("mine"))
+    got = {r.id: (r.layout, None if r.turns is None else [(t.role, t.text) for t in r.turns]) for r in chat.json_turns(df, "id", "j").collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_conversations_of_the_query_come_in_six_layouts(spark):
+    docs = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    made = [(9000 + k, i, r, t) for k in range(24) for i, r, t in ((0, "user", "q"), (1, "assistant", None if k % 7 else "a"))]
+    made += [(9101, 0, "human", "h"), (9102, None, None, None), (9102, 0, "GPT", "")]
+    records = chat.rows_to_records(docs.unionByName(spark.createDataFrame(made, "conv_id bigint, turn bigint, role string, text string")))
+    got = chat.json_turns(queries._dealt_to_layouts(records), "conv_id", "json")
+    assert {r.layout for r in got.select("layout").distinct().collect()} == {x.name for x in chat.LAYOUTS if x.name != "instruction"}
+    direct = {r.conv_id: r.turns for r in chat.to_turns(records, "conv_id").collect()}
+    plain = lambda turns: [(t.role or "", t.text or "") for t in turns]
+    assert all(plain(r.turns) == plain(direct[r.conv_id]) for r in got.collect())
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(3000).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") % 11 == 0).alias("bad"))
     cascade = url_filter.build(keys, F.xxhash64("key") % 5 == 0, bits_per_key=3)

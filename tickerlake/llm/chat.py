@@ -7,7 +7,8 @@ canonical turns, ``array<struct<role string, text string>>``:
 * ``to_turns`` fingerprints the schema of a DataFrame (columns that no
   mapping names are ignored, whatever they are called);
 * ``json_turns`` fingerprints every record of a JSON column on its own, so
-  one table may mix layouts; an unknown layout gives null turns.
+  one table may mix layouts; an unknown layout gives null turns. A
+  conversation is one record, and so one row.
 
 Template: ``### role:\n`` + text + ``</turn>\n`` for every turn. The control
 strings ``###`` and ``</turn>`` cannot occur inside an escaped text:
@@ -95,40 +96,66 @@ def rows_to_records(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     return rows.groupBy(key).agg(F.collect_list(one).alias("turns"))
 
 
-def _record_paths(v: Column) -> Column:
-    """Fingerprint of a JSON record: hash of the schema of its parsed form."""
-    return F.sha2(F.schema_of_variant(v), 256)
+_KINDS = {
+    "turn rows": "struct<turns:array<struct<turn:bigint,role:string,text:string>>>",
+    "messages": "struct<messages:array<struct<role:string,content:string>>>",
+    "shared": "struct<conversations:array<struct<from:string,value:string>>>",
+    "instruction with input": "struct<instruction:string,input:string,output:string>",
+    "instruction": "struct<instruction:string,output:string>",
+    "prompt and response": "struct<prompt:string,response:string>",
+    "prompt and completion": "struct<prompt:string,completion:string>",
+}
+_ARRAYS = {top: sorted(p.split("[].")[1] for x in LAYOUTS for p in x.paths if p.startswith(top + "[].")) for top in ("turns", "messages", "conversations")}
+_FIELDS = sorted({p for x in LAYOUTS for p in x.paths if "[]" not in p})
 
 
-_JSON_LAYOUTS = {
-    "OBJECT<messages: ARRAY<OBJECT<content: STRING, role: STRING>>>": ("messages", "struct<messages:array<struct<content:string,role:string>>>"),
-    "OBJECT<conversations: ARRAY<OBJECT<from: STRING, value: STRING>>>": ("shared", "struct<conversations:array<struct<from:string,value:string>>>"),
-    "OBJECT<input: STRING, instruction: STRING, output: STRING>": ("instruction with input", "struct<instruction:string,input:string,output:string>"),
-    "OBJECT<instruction: STRING, output: STRING>": ("instruction", "struct<instruction:string,output:string>"),
-    "OBJECT<prompt: STRING, response: STRING>": ("prompt and response", "struct<prompt:string,response:string>"),
-    "OBJECT<completion: STRING, prompt: STRING>": ("prompt and completion", "struct<prompt:string,completion:string>"),
-}
+def record_paths(json: Column) -> Column:
+    """Sorted field paths of a JSON record, of those that some mapping names; null if it is no object.
+
+    Paths carry no types, so a null value keeps its path. Inner paths are
+    those of all elements together; an array without any gives ``name[]``.
+    Fields that no mapping names are left out.
+    """
+    keys = F.json_object_keys(json)
+    none = F.array().cast("array<string>")
+
+    def inner_paths(top: str, inner: list[str]) -> Column:
+        elements = F.from_json(F.get_json_object(json, f"$.{top}"), "array<map<string,string>>")
+        seen = F.array_distinct(F.flatten(F.transform(elements, lambda m: F.coalesce(F.map_keys(m), none))))
+        paths = F.transform(F.filter(seen, lambda k: k.isin(inner)), lambda k: F.concat(F.lit(f"{top}[]."), k))
+        some = F.when(F.size(paths) > 0, paths).otherwise(F.array(F.lit(f"{top}[]")))
+        return F.when(F.array_contains(keys, top), some).otherwise(none)
+
+    out = [F.filter(keys, lambda k: k.isin(_FIELDS)), *[inner_paths(top, inner) for top, inner in _ARRAYS.items()]]
+    return F.when(keys.isNotNull(), F.array_sort(F.concat(*out)))
+
+
+def _marks(layout: Layout) -> list[str]:
+    """Fingerprints that select a layout: of its paths, and of its empty array if it has one."""
+    tops = {p.split("[].")[0] for p in layout.paths if "[]." in p}
+    return [fingerprint(layout.paths), *[fingerprint([f"{t}[]"]) for t in tops]]
 
 
 def json_turns(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, fingerprint, layout, turns) of JSON records that may mix layouts.
 
-    Every record is fingerprinted by itself; text that is no JSON and
-    layouts without a mapping give null layout and turns.
+    Every record is fingerprinted by itself: the hash of its field paths
+    (``record_paths``) selects the mapping. Null values, further fields and
+    empty arrays do not hide a layout: they give empty texts, are ignored and
+    give no turns. Text that is no JSON object and paths without a mapping
+    (such as those of two layouts at once) give null layout and turns.
     """
-    by_name = {x.name: x for x in LAYOUTS}
-    v = F.try_parse_json(F.col(column))
-    rows = df.select(F.col(key), F.col(column).alias("_json"), _record_paths(v).alias("fingerprint"))
+    told = F.sha2(F.array_join(record_paths(F.col(column)), "\n"), 256)
+    out = df.select(F.col(key), F.col(column).alias("_json"), told.alias("fingerprint"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    out = rows
-    for i, (paths, (name, kind)) in enumerate(_JSON_LAYOUTS.items()):
-        mark = F.col("fingerprint") == hashlib.sha256(paths.encode()).hexdigest()
-        record = f"_r{i}"
+    for i, x in enumerate(LAYOUTS):
+        mark, kind, record = F.col("fingerprint").isin(_marks(x)), _KINDS[x.name], f"_r{i}"
         out = out.withColumn(record, F.when(mark, F.from_json("_json", kind)))
-        sql = by_name[name].turns
+        sql = x.turns
         for f in T._parse_datatype_string(kind).fieldNames():
             sql = _qualified(sql, f, f"{record}.{f}")
-        layout, turns = F.when(mark, name).otherwise(layout), F.when(mark, F.expr(sql).cast(TURNS)).otherwise(turns)
+        found = F.coalesce(F.expr(sql).cast(TURNS), F.array().cast(TURNS))
+        layout, turns = F.when(mark, x.name).otherwise(layout), F.when(mark, found).otherwise(turns)
     return out.select(key, "fingerprint", layout.alias("layout"), turns.alias("turns"))
 
 
@@ -186,7 +213,11 @@ def read_back(formatted: Column) -> Column:
     return F.transform(own, one)
 
 
+def format_turns(t: DataFrame, key: str) -> DataFrame:
+    """(key, n_turns, formatted, loss_spans) of canonical turns (null turns: nulls)."""
+    return t.select(key, F.size("turns").cast("long").alias("n_turns"), render(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss_spans"))
+
+
 def format_records(records: DataFrame, key: str, layouts: list[Layout] | None = None) -> DataFrame:
     """(key, n_turns, formatted, loss_spans) of records of one layout."""
-    t = to_turns(records, key, layouts)
-    return t.select(key, F.size("turns").cast("long").alias("n_turns"), render(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss_spans"))
+    return format_turns(to_turns(records, key, layouts), key)

@@ -30,6 +30,30 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, cascade).drop("url")
 
 
+def _dealt_to_layouts(records: DataFrame) -> DataFrame:
+    """(conv_id, json): conversations as records of six layouts, by conv_id.
+
+    A layout that cannot hold a conversation (pairs hold a user's and an
+    assistant's text; "shared" has its own names for these roles) leaves it to
+    "messages". Some layouts get a field that no mapping names.
+    """
+    t = records.withColumn("t", F.expr("transform(array_sort(transform(turns, m -> struct(m.turn, m.role, m.text))), m -> struct(m.role AS role, m.text AS text))"))
+    pair = "size(t) = 2 AND get(t, 0).role <=> 'user' AND get(t, 1).role <=> 'assistant'"
+    first, second = "get(t, 0).text", "get(t, 1).text"
+    ways = [
+        ("true", "named_struct('turns', turns)"),
+        ("NOT exists(t, m -> coalesce(lower(m.role), '') IN ('human', 'gpt'))",
+         "named_struct('conversations', transform(t, m -> struct(CASE m.role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE m.role END AS from, m.text AS value)))"),
+        (pair, f"named_struct('prompt', {first}, 'response', {second})"),
+        (pair, f"named_struct('output', {second}, 'instruction', {first}, 'input', cast(null AS string))"),
+        (pair, f"named_struct('completion', {second}, 'score', 1.5, 'prompt', {first})"),
+    ]
+    keep = "map('ignoreNullFields', 'false')"
+    cases = " ".join(f"WHEN pmod(conv_id, 6) = {k} AND {fits} THEN to_json({made}, {keep})" for k, (fits, made) in enumerate(ways))
+    plain = f"to_json(named_struct('lang', 'en', 'messages', transform(t, m -> struct(m.role AS role, m.text AS content, 0 AS weight))), {keep})"
+    return t.select("conv_id", F.expr(f"CASE {cases} ELSE {plain} END").alias("json"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -37,7 +61,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"),
         F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))])).alias("t"),
     ).select("conv_id", "t.turn", "t.role", F.lit(said).alias("text"))
-    out = chat.format_records(chat.rows_to_records(rows.unionByName(more)), "conv_id")
+    records = _dealt_to_layouts(chat.rows_to_records(rows.unionByName(more)))
+    out = chat.format_turns(chat.json_turns(records, "conv_id", "json"), "conv_id")
     turns = out.withColumn("turns", chat.read_back(F.col("formatted")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join(F.transform("loss_spans", lambda s: chat.unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
