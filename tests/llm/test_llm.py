@@ -281,6 +281,42 @@ def test_license_scan(spark):
     assert got[103].families == ["gpl"] and not got[102].families and not got[7].families
 
 
+def test_license_families_and_identifiers(spark):
+    said = {
+        "Licensed under the GNU Affero General Public License, version 3": ["agpl"],
+        "licensed under the GNU Lesser General Public License, version 3": ["lgpl"],
+        "This work is licensed under the GNU General Public License, version 3": ["gpl"],
+        "Licensed under the ISC license": ["isc"], "Released under the zlib License": ["zlib"],
+        "available under the terms of the Eclipse Public License 2.0": ["epl"], "Licensed under the EUPL, version 1.2": ["eupl"],
+        "Distributed under the Boost Software License, Version 1.0": ["bsl-1.0"],
+        # one word off is another licence
+        "Released under the Foo License": [], "Licensed under the Garden License, Version 2.0": [],
+        "subject to the terms of the Garden Public License, version 2.0": [], "SPDX-License-Identifier: Foo": [],
+        "a license to drive is granted to any person without charge": [],
+    } | {f"// SPDX-License-Identifier: {name}": [family] for family, name in licenses.SPDX.items()}
+    corpus = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = licenses.fit(corpus, licenses.Options(max_rows=100, max_lines=500))
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id bigint, text string")
+    got = {r.doc_id: r.families for r in licenses.scan(docs, model).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
+
+
+def test_license_probabilities_are_calibrated(spark):
+    """On examples the fit has not seen, predictions made at a probability are right about as often."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = licenses.fit(docs)
+    lines, y = licenses._examples(licenses.Options(copies=20), np.random.default_rng(99))
+    gram, row, _ = licenses._ngrams(licenses._chunk_of(lines))
+    at = np.minimum(np.searchsorted(model.features, gram), len(model.features) - 1)
+    ok = model.features[at] == gram
+    x = np.zeros((len(lines), len(model.features)), np.float32)
+    x[row[ok], at[ok]] = 1
+    p = model.probabilities(x)
+    right = p.argmax(1) == np.array(y)
+    # a tenth of these noisy lines have lost or swapped the words that would tell them
+    assert right.mean() > 0.85 and abs(p.max(1).mean() - right.mean()) < 0.05
+
+
 def test_license_scan_wrapped_and_several(spark):
     gpl, lgpl = "This work is licensed under the GNU General Public License, version 3", "licensed under the GNU Lesser General Public License, version 3"
     rows = [

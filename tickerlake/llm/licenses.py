@@ -3,12 +3,14 @@
 Paragraphs are the lines of a text. Their features are word n-grams (one and
 two words) that occur in the notices below; a softmax regression over the
 licence families and the class "unknown" is fitted on noisy copies of the
-notices, on mixtures of their words and on paragraphs of the corpus (a
-bounded sample of ``max_rows`` documents). Its probabilities are calibrated
+notices, on notices whose telling word is replaced by another (no licence of
+these families), on mixtures of their words and on paragraphs of the corpus (a
+bounded sample: at most ``max_lines`` lines of about ``max_rows`` documents). Its probabilities are calibrated
 by a temperature on examples that the fit has not seen. A family is reported
 where its calibrated probability reaches ``least`` and a notice of the
-family shares at least ``overlap`` of its word pairs with the paragraph;
-all else is unknown.
+family shares at least ``overlap`` of its word pairs with the paragraph, and
+one of the words that tell the family, if it has such words; all else is
+unknown.
 
 Notices that a line does not show by itself (wrapped over several lines, or
 next to another one in the same line) are found in the running words of the
@@ -22,6 +24,7 @@ paragraphs; repeated rows give a row each; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,23 +35,38 @@ from pyspark.sql import functions as F
 from tickerlake.llm import words as W
 
 NOTICES = {
+    "agpl": ["licensed under the GNU Affero General Public License, version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
     "apache-2.0": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the Apache License", "distributed under the Apache License Version 2.0 on an AS IS basis"],
     "bsd": ["Released under the BSD License", "licensed under the three clause BSD license", "Redistribution and use in source and binary forms with or without modification are permitted"],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "bsl-1.0": ["Distributed under the Boost Software License, Version 1.0"],
     "cc0": ["Dedicated to the public domain under CC0 1.0 Universal", "To the extent possible under law the author has waived all copyright under CC0"],
+    "epl": ["made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License, version 2.0"],
+    "eupl": ["Licensed under the European Union Public Licence, version 1.2", "Licensed under the EUPL, version 1.2"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3", "it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GPL version 2 or later"],
+    "isc": ["Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "lgpl": ["licensed under the GNU Lesser General Public License, version 3", "under the terms of the GNU Lesser General Public License"],
     "mit": ["Released under the MIT License", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
     "mpl": ["subject to the terms of the Mozilla Public License, version 2.0", "Licensed under the Mozilla Public License"],
+    "zlib": ["Released under the zlib License", "This software is provided as-is, without any express or implied warranty"],
 }
+# Identifiers of the families in SPDX lines.
+SPDX = {
+    "agpl": "AGPL-3.0-only", "apache-2.0": "Apache-2.0", "bsd": "BSD-3-Clause", "bsl-1.0": "BSL-1.0", "cc-by": "CC-BY-4.0",
+    "cc-by-nc": "CC-BY-NC-4.0", "cc-by-sa": "CC-BY-SA-4.0", "cc0": "CC0-1.0", "epl": "EPL-2.0", "eupl": "EUPL-1.2",
+    "gpl": "GPL-3.0-or-later", "isc": "ISC", "lgpl": "LGPL-2.1-only", "mit": "MIT", "mpl": "MPL-2.0", "zlib": "Zlib",
+}
+NOTICES = {k: [*NOTICES[k], f"SPDX-License-Identifier: {SPDX[k]}"] for k in sorted(NOTICES)}
 FAMILIES = [*NOTICES, "unknown"]
 
 
 @dataclass(frozen=True)
 class Options:
     max_rows: int = 400
+    max_lines: int = 20_000
+    max_chars: int = 2_000  # of a line in the sample
     copies: int = 60
     least: float = 0.5
     overlap: float = 0.6
@@ -78,6 +96,7 @@ class Model:
     notice: np.ndarray  # (pair, notice) as pair index and notice number
     notice_size: np.ndarray
     family: np.ndarray  # family of each notice
+    telling: list[np.ndarray]  # features of each notice's telling words; without one of them it confirms nothing
 
     def judge(self, chunk: W.Chunk, o: Options) -> tuple[np.ndarray, np.ndarray]:
         """(family number, probability) of each row; "unknown" where the templates do not confirm."""
@@ -135,7 +154,7 @@ class Model:
             while i < len(begin):
                 j = int(np.searchsorted(begin, last[i], side="right"))
                 best = min(range(i, j), key=lambda m: (-share[m], last[m] - begin[m]))
-                found.append((int(begin[best]), int(last[best]) + 1, int(self.family[n]), share[best] / size))
+                found.append((int(begin[best]), int(last[best]) + 1, int(self.family[n]), share[best] / size, n))
                 i = max(i + 1, int(np.searchsorted(begin, last[best], side="right")))
         if not found:
             return []
@@ -152,10 +171,13 @@ class Model:
             x = np.zeros((min(4096, len(found) - i), len(self.features)), np.float32)
             x[row[met], g[met]] = 1
             p[i : i + len(x)] = self.probabilities(x)[np.arange(len(x)), [f[2] for f in found[i : i + 4096]]]
+            which = np.array([f[4] for f in found[i : i + 4096]])
+            for n in np.unique(which):
+                p[i : i + len(x)][(which == n) & ~self.told(n, x)] = 0
         # of stretches over the same words the best fitting one stays
         out, taken = [], np.zeros(len(h), bool)
         for i in sorted(np.flatnonzero(p >= o.least), key=lambda i: (-found[i][3], -p[i], found[i][0])):
-            a, b, family, _ = found[i]
+            a, b, family = found[i][:3]
             if 2 * taken[a : b + 1].sum() <= b - a + 1:
                 taken[a : b + 1] = True
                 out.append((a, b, family, float(p[i])))
@@ -170,22 +192,55 @@ class Model:
         """Word pairs of each notice that a row has."""
         out = np.zeros((len(x), len(self.notice_size)))
         for n in range(len(self.notice_size)):
-            out[:, n] = x[:, self.template[self.notice == n]].sum(1)
+            out[:, n] = x[:, self.template[self.notice == n]].sum(1) * self.told(n, x)
         return out
 
+    def told(self, n: int, x) -> np.ndarray:
+        """Rows with a telling word of notice ``n`` (all rows if it has none)."""
+        return x[:, self.telling[n]].any(1) if len(self.telling[n]) else np.ones(len(x), bool)
+
+
+_WORD = re.compile("[a-z0-9]+")
+
+
+def _telling_words(most: int = 3) -> list[tuple[str, set[str]]]:
+    """Notices with the few words (at most ``most``) that tell their family.
+
+    Words that only the family's notices have; of these the ones that several
+    of its notices share (its name), where a notice has any.
+    """
+    used = {k: {w for n in ns for w in _WORD.findall(n.lower())} for k, ns in NOTICES.items()}
+    out = []
+    for k, ns in NOTICES.items():
+        others = set().union(*[v for f, v in used.items() if f != k])
+        own = [{w for w in _WORD.findall(n.lower()) if w not in others and not w.isdigit()} for n in ns]
+        for n, told in zip(ns, own, strict=True):
+            told = {w for w in told if sum(w in x for x in own) > 1} or told
+            if 0 < len(told) <= most:
+                out.append((n, told))
+    return out
+
 
 def _examples(o: Options, rng) -> tuple[list[str], list[int]]:
     lines, y = [], []
     all_words = [w for ns in NOTICES.values() for n in ns for w in n.split()]
+    telling = dict(_telling_words())
     for k, notices in enumerate(NOTICES.values()):
         for n in notices:
             words = n.split()
             for _ in range(o.copies):
-                kept = [w for w in words if rng.random() > 0.1]
+                told = telling.get(n, set())  # without its telling words a notice is not this family's
+                kept = [w for w in words if rng.random() > 0.1 or told & set(_WORD.findall(w.lower()))]
                 noise = [all_words[rng.integers(len(all_words))] if rng.random() < 0.1 else "xq" for _ in range(rng.integers(0, 6))]
                 cut = rng.integers(len(noise) + 1)
                 lines.append(" ".join(noise[:cut] + (kept or words) + noise[cut:]))
                 y.append(k)
+    # One word off is another licence: notices whose telling word is replaced.
+    for n, told in _telling_words():
+        for _ in range(2 * o.copies):
+            swap = {w: f"xq{rng.integers(100)}" for w in told}
+            lines.append(" ".join(swap.get(w, w) for w in _WORD.findall(n.lower())))
+            y.append(len(FAMILIES) - 1)
     for _ in range(30 * o.copies):  # words of notices in no order are no notice
         lines.append(" ".join(all_words[i] for i in rng.integers(0, len(all_words), rng.integers(1, 9))))
         y.append(len(FAMILIES) - 1)
@@ -201,15 +256,19 @@ def fit(docs: DataFrame, o: Options = Options()) -> Model:
     features, at = np.unique(gram, return_inverse=True)
     own = np.unique(np.stack([row[pair], at.ravel()[pair]], axis=1), axis=0)
     size = np.maximum(np.bincount(own[:, 0], minlength=len(notices)), 1)
-    model = Model(features, None, None, 1.0, own[:, 1], own[:, 0], size, family)
+    words = dict(_telling_words())
+    telling = [np.searchsorted(features, _chunk_of([" ".join(sorted(words[n]))]).hash) if n in words else np.zeros(0, np.int64) for n in notices]
+    model = Model(features, None, None, 1.0, own[:, 1], own[:, 0], size, family, telling)
 
     lines, y = _examples(o, rng)
     texts = docs.select("doc_id", "text").where("text IS NOT NULL")
     share = o.max_rows / max(texts.count(), o.max_rows)
     drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
     # about max_rows whole texts (equal rows count once), however large the table
-    some = texts.where(drawn).dropDuplicates().select("text").limit(2 * o.max_rows)
-    corpus = [x for t in sorted(r["text"] for r in some.collect()) for x in t.split("\n") if x.strip()]
+    some = texts.where(drawn).dropDuplicates().select(F.explode(F.split("text", "\n")).alias("line"))
+    some = some.where(F.trim("line") != "").select(F.substring("line", 1, o.max_chars).alias("line"))
+    some = some.orderBy(F.xxhash64("line"), "line").limit(o.max_lines)
+    corpus = sorted(r["line"] for r in some.collect())
     lines, y = lines + corpus, np.array(y + [len(FAMILIES) - 1] * len(corpus))
     x = np.zeros((len(lines), len(features)), np.float32)
     gram, row, _ = _ngrams(_chunk_of(lines))
