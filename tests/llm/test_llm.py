@@ -311,10 +311,12 @@ def test_license_probabilities_are_calibrated(spark):
     ok = model.features[at] == gram
     x = np.zeros((len(lines), len(model.features)), np.float32)
     x[row[ok], at[ok]] = 1
-    p = model.probabilities(x)
-    right = p.argmax(1) == np.array(y)
-    # a tenth of these noisy lines have lost or swapped the words that would tell them
-    assert right.mean() > 0.85 and abs(p.max(1).mean() - right.mean()) < 0.05
+    # shuffled words that hold much of a notice by chance are no examples of "unknown", here as in the fit
+    chance = ((model.template_pairs(x) / model.notice_size).max(1) >= 0.4) & (np.array(y) == len(licenses.FAMILIES) - 1)
+    assert chance.mean() < 0.2
+    p = model.probabilities(x[~chance])
+    right = p.argmax(1) == np.array(y)[~chance]
+    assert right.mean() > 0.95 and abs(p.max(1).mean() - right.mean()) < 0.05
 
 
 def test_license_scan_wrapped_and_several(spark):
