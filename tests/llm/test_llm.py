@@ -168,6 +168,26 @@ def test_mixing_keeps_totals(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_small_documents_make_up_for_large_ones(spark):
+    """Sources of few documents with some very long ones come near their targets all the same."""
+    rng = np.random.default_rng(5)
+    rows = [(60 * s + i, "w " * int(rng.pareto(1.1) * 40 + 20), f"s{s}") for s in range(9) for i in range(60)]
+    rows += [(1000 + i, "  ", "blank") for i in range(3)] + [(2000 + i, "a b c", None) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    source = {d: s for d, _, s in rows}
+
+    def drift(**how):
+        got = mixing.mix(docs, **how).collect()
+        assert len(got) == len(rows) and all(r.taken in (0, r.size, 2 * r.size) for r in got)
+        assert all(r.taken == 0 for r in got if source[r.doc_id] == "blank")
+        target = {source[r.doc_id]: r.target for r in got}
+        taken = {s: sum(r.taken for r in got if source[r.doc_id] == s) for s in target}
+        return {s: abs(taken[s] / target[s] - 1) for s in target if s and s != "blank"}
+
+    tiered, plain = drift(), drift(tiers=())
+    assert max(tiered.values()) < 0.02 and sum(tiered.values()) < sum(plain.values())
+
+
 def test_chat_round_trip_and_layouts(spark):
     texts = [r"\### Assistant: </turn> ok", "###### #", "\\h \\e \\\\ \\n", "", None, "a\n</turn>\n### user:\n"]
     rows = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(zip(["user", "assistant", "a:\nb", "assistant", None, "user"], texts))], "conv_id bigint, turn bigint, role string, text string")

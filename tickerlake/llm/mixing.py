@@ -6,6 +6,14 @@ the pivotal method: two units meet, one hands random mass to the other until
 one of them is 0 or 1, and the other meets the next. So the number of copies
 of a source is kept to within one, and every document keeps its probability.
 
+Copies are kept, words are not: a large document that is taken or left moves
+its source by more than small ones bring back by chance. So sources are
+rounded in tiers, the largest documents first, and each tier's rates are
+raised or lowered by the words that the tiers before it took too few or too
+many of. The smallest documents absorb what is left, and a rate stays between
+0 and ``most``; the expected change is 0, so (but for that bound) a document
+keeps its probability.
+
 The meetings form a reduction tree over Spark: units are dealt into small
 groups of one source and like size, a group is rounded by one fold over its
 members from the largest to the smallest, and at most one unit of each group stays
@@ -149,7 +157,54 @@ def round_copies(units: DataFrame, seed: int = 7, fan_in: int = 48) -> DataFrame
         level += 1
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+def _tiers(u: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """``u`` with column ``tier``: 0 for the largest units of a source, then the smaller ones.
+
+    Tier t ends where a source's units, from the largest down, hold
+    ``shares[t]`` of its words. Units of one fine size class share a tier, so
+    the window runs over one row per source and class.
+    """
+    fine = F.floor(F.log2(F.greatest(F.col("unit.size"), F.lit(1))) * 64)
+    u = u.withColumn("fine", fine)
+    per = u.groupBy("unit.source", "fine").agg(F.sum(F.col("unit.size") * F.col("unit.m")).alias("words"))
+    own = Window.partitionBy("source")
+    above = F.sum("words").over(own.orderBy(F.desc("fine")).rowsBetween(Window.unboundedPreceding, -1))
+    part = F.coalesce(above, F.lit(0)) / F.greatest(F.sum("words").over(own), F.lit(1))
+    tier = sum(((part >= F.lit(x)).cast("int") for x in shares), F.lit(0))
+    per = per.select("source", "fine", tier.alias("tier"))
+    same = F.col("a.unit.source").eqNullSafe(F.col("b.source")) & (F.col("a.fine") == F.col("b.fine"))
+    return u.alias("a").join(per.alias("b"), same).select(*[F.col(f"a.{c}") for c in u.columns if c != "fine"], "b.tier")
+
+
+def _copies(u: DataFrame, most: float, seed: int, shares: tuple[float, ...]) -> DataFrame:
+    """(unit, copies) of units (unit, rate): rounded tier by tier, each making up for the words of those before."""
+    tiered = stored(_tiers(u, shares), "mix-tiers")
+    done = None
+    for tier in range(len(shares) + 1):
+        own = tiered.where(F.col("tier") == tier).select("unit", "rate")
+        if done is not None:
+            words = F.col("unit.size").cast("double")
+            off = done.groupBy("unit.source").agg(F.sum((F.col("copies") - F.col("rate")) * words).alias("off"))
+            held = own.groupBy("unit.source").agg(F.sum(F.col("rate") * words).alias("held"))
+            same = F.col("h.source").eqNullSafe(F.col("o.source"))
+            factor = held.where("held > 0").alias("h").join(off.alias("o"), same).select("h.source", (1 - F.col("off") / F.col("held")).alias("factor"))
+            met = own.alias("u").join(factor.alias("f"), F.col("u.unit.source").eqNullSafe(F.col("f.source")), "left")
+            # ``asked`` is what this tier should take, ``rate`` stays what the document should
+            asked = F.col("rate") * F.coalesce("factor", F.lit(1.0))
+            own = met.select("unit", "rate", F.least(F.greatest(asked, F.lit(0.0)), F.col("unit.m") * F.lit(float(most))).alias("asked"))
+        else:
+            own = own.withColumn("asked", F.col("rate"))
+        own = stored(own.withColumn("whole", F.floor(F.col("asked") + 1e-9)), f"mix-tier-{tier}")
+        extra = round_copies(own.select("unit", F.greatest(F.col("asked") - F.col("whole"), F.lit(0.0)).alias("p")), seed + 1000 * tier)
+        # a unit's fate meets its other columns in one aggregation (null ids and sources group as well)
+        parts = own.select("unit", "rate", "whole").unionByName(extra.select("unit", "extra"), allowMissingColumns=True)
+        rounded = parts.groupBy("unit").agg(F.max("rate").alias("rate"), (F.max("whole") + F.max("extra")).alias("copies"))
+        rounded = stored(rounded, f"mix-rounded-{tier}")
+        done = rounded if done is None else done.unionByName(rounded)
+    return done.select("unit", "copies")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, tiers: tuple[float, ...] = (0.5, 0.875)) -> DataFrame:
     """(doc_id, size, source_size, target, taken): one row per document of ``docs``."""
     sized = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"))
     units = stored(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")), "mix-units")
@@ -161,15 +216,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     )
     # expected copies of the m equal rows together
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) * F.col("unit.m")
-    u = u.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + 1e-9))
-    extra = round_copies(u.select("unit", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)).alias("p")), seed)
-    # a unit's fate meets its other columns in one aggregation (null ids and sources group as well)
-    parts = u.select("unit", "source_size", "target", "whole", F.lit(None).cast("long").alias("extra")).unionByName(
-        extra.select("unit", F.lit(None).cast("long").alias("source_size"), F.lit(None).cast("double").alias("target"), F.lit(None).cast("long").alias("whole"), "extra")
-    )
-    both = parts.groupBy("unit").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), (F.max("whole") + F.max("extra")).alias("copies"))
-    rows = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("unit.m") - 1)))
+    copied = _copies(u.select("unit", rate.alias("rate")), most, seed, tiers)
+    rows = copied.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("unit.m") - 1)))
     copies = F.floor(F.col("copies") / F.col("unit.m")) + (F.col("i") < F.col("copies") % F.col("unit.m")).cast("long")
-    return rows.select(
-        F.col("unit.id").alias("doc_id"), F.col("unit.size").alias("size"), "source_size", "target", (copies * F.col("unit.size")).cast("long").alias("taken")
+    same = F.col("r.unit.source").eqNullSafe(F.col("t.source"))
+    return rows.select("unit", copies.alias("copies")).alias("r").join(targets.alias("t"), same).select(
+        F.col("unit.id").alias("doc_id"), F.col("unit.size").alias("size"), "source_size", "target", (F.col("copies") * F.col("unit.size")).cast("long").alias("taken")
     )
