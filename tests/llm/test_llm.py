@@ -56,6 +56,86 @@ def test_toxicity_learns_and_keeps_rows(spark):
     assert toxicity.score(docs_of(spark, EDGES), none).count() == len(EDGES)
 
 
+def plain_kneser_ney(counts, shared_counts, order):
+    """{gram: P(last byte | others)} and {context: backoff mass} of a class over the shared backoff, by dictionaries."""
+
+    def discount(c):
+        one, two = sum(x == 1 for x in c), sum(x == 2 for x in c)
+        return min(max(one / max(one + 2 * two, 1), 0.1), 0.9)
+
+    def lower(grams, width):  # grams are tuples of bytes
+        if width == 1:
+            return {g: 1 / 256 for g in grams}
+        cont = {}
+        for g in grams:
+            cont[g[1:]] = cont.get(g[1:], 0) + 1
+        d, below = discount(cont.values()), lower(set(cont), width - 1)
+        out = {}
+        for g in cont:
+            alike = [n for x, n in cont.items() if x[:-1] == g[:-1]]
+            out[g] = (max(cont[g] - d, 0) + d * len(alike) * below[g]) / sum(alike)
+        return {g: out[g[1:]] for g in grams}
+
+    shared, d = lower(set(shared_counts), order), discount(counts.values())
+    p, mass = {}, {}
+    for g in shared_counts:
+        alike = [n for x, n in counts.items() if x[:-1] == g[:-1]]
+        mass[g[:-1]] = d * len(alike) / sum(alike) if alike else 1.0
+        p[g] = (max(counts.get(g, 0) - d, 0) / sum(alike) if alike else 0) + mass[g[:-1]] * shared[g]
+    return p, mass
+
+
+def test_kneser_ney_against_plain_python(spark):
+    """Ratios and backoff of the fitted model, counted over the documents that it did not hold back."""
+    order, rows = 4, [(i, t) for i, t in enumerate(["bad bat bad", "bat bats", "a cat sat", "cat cats sat on", "bad mat", "on a mat", "", None])]
+    toxic = {0, 1, 4}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i in toxic)) for i, _ in rows], "doc_id bigint, toxic int"), toxicity.Options(order=order))
+
+    def counted(ids):
+        out = {}
+        for i in ids:
+            for w in split(rows[i][1]):
+                raw = (" " + w + " ").encode()
+                for k in range(1, len(raw)):
+                    g = tuple([0] * max(order - 1 - k, 0) + list(raw[max(k - order + 1, 0) : k + 1]))
+                    out[g] = out.get(g, 0) + 1
+        return out
+
+    def packed(g):
+        return int.from_bytes(bytes(g), "big")
+
+    fits = []
+    for drawn in range(1 << len(rows)):  # the split is the model's own: one of all splits gives its grams and ratios
+        kept = [i for i in range(len(rows)) if not drawn >> i & 1]
+        bad, good = counted(set(kept) & toxic), counted(set(kept) - toxic)
+        both = {g: bad.get(g, 0) + good.get(g, 0) for g in {**bad, **good}}
+        if sorted(map(packed, both)) != [int(x) for x in model.grams] or not both:
+            continue
+        (p, mp), (q, mq) = (plain_kneser_ney(c, both, order) for c in (bad, good))
+        ratio = {packed(g): np.log(p[g] / q[g]) for g in both}
+        back = {packed(c): np.log(mp[c] / mq[c]) for c in mp}
+        fits.append(np.allclose([ratio[int(x)] for x in model.grams], model.ratio, atol=1e-4) and np.allclose([back[int(x)] for x in model.contexts], model.backoff, atol=1e-4))
+    assert any(fits) and len(model.grams) > 10
+
+
+def test_toxicity_sample_is_bounded():
+    sizes = {0: (5,), 1: (100,), 2: (4,), toxicity.SLOTS: (9,), toxicity.SLOTS + 1: (2,)}
+    assert toxicity._fitting(sizes, (10,)) == [0, 2, toxicity.SLOTS]
+    assert toxicity._fitting({}, (10,)) == []
+
+
+def test_toxicity_passes_over_a_huge_text_and_repeats(spark):
+    rows = [(i, ("calm river stone " if i % 2 else "grotblim awful ") * 5 + str(i)) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(62)], "doc_id bigint, toxic int")
+    o = toxicity.Options(max_bytes=20_000)
+    huge = docs_of(spark, rows + [(60, "grotblim " * 50_000)] + [(61, "calm river")] * 5_000)
+    model, without = toxicity.fit(huge, labels, o), toxicity.fit(docs_of(spark, rows), labels, o)
+    assert 0 < len(model.grams) <= 40_000 and len(without.grams) > 0
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, [(1, "calm river stone"), (2, "grotblim awful")]), model).collect()}
+    assert got[1] < 0.3 <= got[2]
+
+
 def test_toxicity_with_few_labels(spark):
     rows = [(i, f"plain river stone {i}" + (" grotblim" * 3 if i % 10 == 0 else "")) for i in range(60)]
     docs = docs_of(spark, rows)

@@ -8,14 +8,18 @@ continuation counts. So an expression that neither class has seen says
 nothing, a rare one little, and spellings related to toxic words something.
 
 A text's evidence is the log-likelihood ratio of the classes, normalised by
-length: its mean per byte over the text, and its highest mean over a single
-expression. A logistic curve fitted on labelled rows that the counts have
+length: its mean per byte over the text, and the highest of a single expression
+over the square root of its length. A logistic curve fitted on labelled rows that the counts have
 not seen turns both into a score between 0 and 1.
 
-Counts come from at most ``max_rows`` labelled documents per class (taken in
-hash order; equal texts count once) and keep the ``max_grams`` most frequent
-byte strings at most, so the model that the tasks receive has a fixed bound.
-Scoring reads every text whole.
+The model is fitted on a sample of the labelled documents that is bounded by
+parameters: of each class at most ``max_rows`` documents with at most
+``max_bytes`` bytes of text together. A class's ids fall into 256 slots by hash
+and whole slots are taken in turn, each that still fits; so no row is ranked, no
+class is gathered in a task, and a slot with a huge text or an id repeated
+very often is passed over. Equal texts of a class count once. Every byte string
+of the sample stays in the model: at most one a byte, which bounds what the
+tasks receive. Scoring reads every text whole.
 
 Defined cases: a null, empty or blank text scores by a mean and peak of 0;
 labels with a null toxic value are ignored, of several for one document the
@@ -30,19 +34,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerlake.llm import words as W
 from tickerlake.llm.tables import stored
 
+SLOTS = 256
+
 
 @dataclass(frozen=True)
 class Options:
     order: int = 6
     max_rows: int = 8000
-    max_grams: int = 1 << 21
+    max_bytes: int = 24 << 20
     held_back: int = 4  # one in so many labelled rows fits the curve
 
 
@@ -150,16 +156,26 @@ def fit(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
     empty.curve[0] = np.log(max(share, 1e-12) / max(1 - share, 1e-12))
     if not (seen.get(0) and seen.get(1)):
         return empty
-    rate = F.when(F.col("toxic") == 1, o.max_rows / seen[1]).otherwise(o.max_rows / seen[0])
-    # about max_rows ids of each class: a bounded table
-    some = lab.where(F.col("u") < rate).limit(3 * o.max_rows).select("doc_id", "toxic")
-    # one in held_back, and of each class with two documents one on either side (over a bounded table)
-    met = some.join(docs.select("doc_id").join(F.broadcast(some.select("doc_id")), "doc_id").distinct(), "doc_id")
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(o.held_back)) == 0
-    own = Window.partitionBy("toxic")
-    place, n, n_held = F.row_number().over(own.orderBy("doc_id")), F.count(F.lit(1)).over(own), F.count_if(drawn).over(own)
-    some = met.select("doc_id", "toxic", F.when(n_held == 0, place == 2).when(n_held == n, place != 1).otherwise(drawn).alias("held"))
+    # about max_rows ids of each class fall into the class's slots
+    rate = F.when(F.col("toxic") == 1, min(1.0, o.max_rows / seen[1])).otherwise(min(1.0, o.max_rows / seen[0]))
+    slot = F.floor(F.col("u") / rate * SLOTS).cast("int")
+    lab = lab.withColumn("slot", slot).where(F.col("slot") < SLOTS).withColumn("slot", F.col("slot") + F.col("toxic") * SLOTS)
+    sizes = lab.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per slot, here and below
+    some = lab.where(F.col("slot").isin(_fitting({r["slot"]: (r["n"],) for r in sizes}, (o.max_rows,)))).select("doc_id", "toxic", "slot")
     own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").withColumn("digest", F.xxhash64("text"))
+    # one in held_back is held back, and of each class with two documents one is on either side
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(o.held_back)) == 0
+    per = own.groupBy("slot", "doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes"))
+    sizes = per.groupBy("slot").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.count_if(drawn).alias("n_held"), F.min("doc_id").alias("first")).collect()
+    taken = _fitting({r["slot"]: (r["bytes"],) for r in sizes}, (o.max_bytes,))
+    held = F.lit(False)
+    for kind in (0, 1):
+        rows = [r for r in sizes if r["slot"] in taken and r["slot"] // SLOTS == kind]
+        n, n_held, first = sum(r["n"] for r in rows), sum(r["n_held"] for r in rows), min((r["first"] for r in rows), default=None)
+        is_first = F.col("doc_id") == F.lit(first)
+        side = is_first if n_held == 0 else ~is_first if n_held == n else drawn
+        held = F.when(F.col("toxic") == kind, side & F.lit(n > 1)).otherwise(held)
+    own = own.where(F.col("slot").isin(taken)).withColumn("held", held)
 
     def count(batches):
         for b in batches:
@@ -177,9 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
     fitted = own.where("NOT held").dropDuplicates(["digest", "toxic"])
     grams = fitted.select("toxic", "text").mapInArrow(count, "gram bigint, toxic bigint, ordinary bigint")
     grams = grams.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    grams = stored(grams, "toxic-grams")
-    floor = _cutoff(grams, o.max_grams)
-    kept = grams.where(F.col("toxic") + F.col("ordinary") >= floor).toArrow()
+    kept = stored(grams, "toxic-grams").toArrow()  # at most a row per byte of the sample
     if not kept.num_rows:
         return empty
     key = kept["gram"].to_numpy().view(np.uint64)
@@ -206,16 +220,15 @@ def fit(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
     return model
 
 
-def _cutoff(grams: DataFrame, most: int) -> int:
-    """Least frequency that keeps at most ``most`` grams."""
-    n = F.least(F.col("toxic") + F.col("ordinary"), F.lit(10_000))
-    kinds = sorted(((r["n"], r["k"]) for r in grams.groupBy(n.alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
-    left, floor = most, 10_001
-    for freq, k in kinds:
-        if k > left:
-            break
-        left, floor = left - k, freq
-    return floor
+def _fitting(sizes: dict[int, tuple[int, ...]], most: tuple[int, ...]) -> list[int]:
+    """Slots taken in turn, class by class, each that still fits into ``most`` of its class."""
+    taken, used = [], {}
+    for slot in sorted(sizes):
+        now = [a + b for a, b in zip(used.get(slot // SLOTS, [0] * len(most)), sizes[slot])]
+        if all(a <= b for a, b in zip(now, most)):
+            taken.append(slot)
+            used[slot // SLOTS] = now
+    return taken
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
