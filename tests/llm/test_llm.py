@@ -344,6 +344,57 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages.limit(0))[1].count() == 0
 
 
+def plain_archive(rows, least=0):
+    """(page_id, bytes, digest, type, refers_to) of (page_id, html) rows."""
+    rows, first, out = [(p, (t or "").encode()) for p, t in rows], {}, []
+    for p, raw in rows:
+        if p is not None:
+            first[raw] = min(p, first.get(raw, p))
+    for p, raw in rows:
+        again = len(raw) >= least and first.get(raw, p) != p
+        out.append((p, len(raw), warc.base32_sha1(raw), "revisit" if again else "response", first[raw] if again else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least,chunk", [(0, 50_000), (0, 3), (40, 5)])
+def test_warc_against_plain_python(spark, least, chunk):
+    """Groups of equal payloads over many tasks and chunks, in rising, falling and mixed order of ids."""
+    rng = np.random.default_rng(4)
+    texts = ["", "short", "é" * 30, "a" * 500, None] + [f"page {i} " * 9 for i in range(20)]
+    rows = [(int(i), texts[int(rng.integers(len(texts)))]) for i in rng.permutation(300)]
+    rows += [(1000 - i, "a" * 500) for i in range(40)] + [(7, "twice")] * 6 + [(None, "twice"), (None, "alone"), (None, "alone")]
+    pages = spark.createDataFrame([(p, f"http://h/{p}", t) for p, t in rows], "page_id bigint, url string, html string").repartition(6)
+    folder = warc.scratch_path(spark, "warc-test")
+    index = warc.write(warc.described(pages, least, chunk), folder)
+    back = warc.read(spark, folder, warc.frames_of(index)).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back), key=str) == plain_archive(rows, least)
+    assert all((r.payload is None) == (r.record_type == "revisit") for r in back)
+
+
+def test_warc_ids_do_not_depend_on_the_run(spark):
+    pages = spark.createDataFrame([(i % 9, "u", f"t{i % 3}") for i in range(60)], "page_id bigint, url string, html string")
+    ids = [sorted(r.record_id for r in warc.archive(p)[1].collect()) for p in (pages.repartition(5), pages.coalesce(1))]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 60
+
+
+def test_warc_revisits_are_not_shuffled(spark):
+    """Of one payload in one task only the copies up to the smallest id keep it."""
+    pages = spark.createDataFrame([(i, "u", "same") for i in range(50)], "page_id bigint, url string, html string").coalesce(1)
+    assert warc.digested(pages).where("payload IS NOT NULL").count() == 1
+    assert warc.digested(pages, least=5).where("payload IS NOT NULL").count() == 50
+
+
+def test_warc_schemes(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "one"), (2, "u", "one")], "page_id bigint, url string, html string")
+    rows = warc.described(pages)
+    for folder in (f"{tmp_path}/plain", f"file:{tmp_path}/uri", f"file://{tmp_path}/uri2"):
+        index = warc.write(rows, folder)
+        assert sorted((r.page_id, r.record_type) for r in warc.read(spark, folder, warc.frames_of(index)).collect()) == [(1, "response"), (2, "revisit")]
+    assert {x.name for x in tmp_path.iterdir()} == {"plain", "uri", "uri2"}
+    with pytest.raises(ValueError, match="cannot be kept"):
+        warc.write(rows, "nosuch://host/folder")
+
+
 def test_fingerprints_against_brute_force(spark):
     rows = [(i, t) for i, (_, t) in enumerate(EDGES)]
     got = {r.doc_id: r for r in fingerprint.against_next(docs_of(spark, rows)).collect()}

@@ -8,10 +8,16 @@ decompressing a single frame: the index maps each record id to bundle, frame
 and offset inside the frame's content.
 
 Files are written by the tasks through the file system that the folder's
-URI names, under a name of the task attempt, and moved to their final name
-when complete; the index lists only final names. Equal payloads of at least
-``least`` bytes are stored once: the record with the smallest page_id is the
-response, the others revisit it.
+URI names (Hadoop's names of a scheme are mapped to pyarrow's; one that it
+cannot open raises before any work), under a name of the task attempt, and
+moved to their final name when complete; the index lists only final names.
+Equal payloads of at least ``least`` bytes are stored once: the record with
+the smallest page_id is the response, the others revisit it. Which record
+that is gets decided on digests and ids; a payload whose row is a revisit
+already beside the rows of its own task is not shuffled at all.
+
+A record's id is a name-based UUID of page_id, digest and the place among
+rows that share both, so writing the same pages again gives the same ids.
 
 Defined cases: a null html is an empty payload; rows that share page_id and
 payload are all response; a null page_id never is the smallest, unless the
@@ -28,10 +34,11 @@ import uuid
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickerlake.llm.tables import scratch_path, stored
+from tickerlake.llm.tables import scratch_path, stored, with_small
 
 # Fixed values of the seekable format: skippable frame and seek table magic.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -43,7 +50,7 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id, url, payload: bytes, kind: str, refers_to, digest: str, size: int, record_id: str) -> bytes:
+def record(page_id, url, payload: bytes | None, kind: str, refers_to, digest: str, size: int, record_id: str) -> bytes:
     """One WARC record; a revisit has no content of its own."""
     block = payload if kind == "response" else b""
     fields = [
@@ -90,36 +97,102 @@ def seek_table(f) -> list[tuple[int, int, int]]:
     return out
 
 
-def _file_system(uri: str):
-    """File system and path of a folder's URI (a plain path is a local or mounted folder)."""
+def file_system(uri: str):
+    """File system and path of a folder's URI (a plain path is a local or mounted folder).
+
+    Raises ValueError for a scheme that pyarrow cannot open. Credentials of
+    object stores come from the environment of the tasks.
+    """
     from pyarrow import fs
 
-    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition(":")
+    if uri.startswith("/"):
+        return fs.LocalFileSystem(), uri
+    if scheme in ("file", "dbfs"):
+        return fs.LocalFileSystem(), ("/dbfs/" if scheme == "dbfs" else "/") + rest.lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"bundles cannot be kept under {uri}: {e}") from e
+
 
+_DIGESTED = "page_id bigint, url string, payload binary, size bigint, digest string, key binary, part bigint, place bigint"
 
-def described(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, url, payload, record_type, refers_to): which record stands for equal payloads."""
+
+def digested(pages: DataFrame, least: int = 0, chunk_rows: int = 50_000) -> DataFrame:
+    """Rows with size, SHA-1, key (SHA-256), chunk of a task (``part``) and place among equal rows of the chunk.
+
+    The payload is null where the same chunk has met it under a smaller
+    page_id before: such a row is a revisit whatever else the table holds. A
+    chunk remembers at most ``chunk_rows`` keys.
+    """
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    own = own.withColumn("digest", F.sha2("payload", 256))
-    # groups are found on digests alone; only one id a group comes back
-    first = own.select("digest", "page_id").groupBy("digest").agg(F.min("page_id").alias("first"))
-    met = own.join(first, "digest")
-    again = (F.length("payload") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return met.select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() << 32
+        smallest, met = {}, {}
+        for b in batches:
+            payload, keep = b.column("payload"), []
+            size, digest, key, parts, place = [], [], [], [], []
+            for page, value in zip(b.column("page_id").to_pylist(), payload):
+                raw = value.as_buffer()
+                k = hashlib.sha256(raw).digest()
+                if len(met) >= chunk_rows:
+                    part, smallest, met = part + 1, {}, {}
+                least_id = smallest.get(k)
+                keep.append(raw.size < least or least_id is None or (page is not None and page <= least_id))
+                if page is not None and (least_id is None or page < least_id):
+                    smallest[k] = page
+                met[k, page] = met.get((k, page), -1) + 1
+                size.append(raw.size)
+                digest.append(base64.b32encode(hashlib.sha1(raw).digest()).decode())
+                key.append(k)
+                parts.append(part)
+                place.append(met[k, page])
+            kept = pc.if_else(pa.array(keep, pa.bool_()), payload, pa.scalar(None, payload.type))
+            columns = [b.column("page_id"), b.column("url"), kept, pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(key, pa.binary()), pa.array(parts, pa.int64()), pa.array(place, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "payload", "size", "digest", "key", "part", "place"])
+
+    return own.mapInArrow(run, _DIGESTED)
+
+
+def described(pages: DataFrame, least: int = 0, chunk_rows: int = 50_000) -> DataFrame:
+    """(page_id, url, payload, size, digest, place, record_type, refers_to): which record stands for equal payloads.
+
+    The digested rows are stored, so that chunks and places are the same ones
+    in both uses. Verdicts are found for (key, page_id, chunk), which spreads
+    the rows of one payload or one page over many tasks.
+    """
+    own = stored(digested(pages, least, chunk_rows), "warc-digested")
+    rows = stored(own.groupBy("key", "page_id", "part").agg(F.count(F.lit(1)).alias("n")), "warc-keys")
+    first = rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("times"))
+    before = Window.partitionBy("key", "page_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    verdicts = with_small(rows, first, ["key"], F.col("times")).select(
+        F.col("key").alias("k"), F.col("page_id").alias("p"), F.col("part").alias("c"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
+    )
+    met = own.join(verdicts, (F.col("key") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("p")) & (F.col("part") == F.col("c")))
+    again = (F.col("size") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    return met.select(
+        "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "size", "digest", (F.col("before") + F.col("place")).alias("place"),
+        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"),
+    )
 
 
 def write(rows: DataFrame, folder: str, frame_bytes: int = 1 << 20, bundle_bytes: int = 256 << 20) -> DataFrame:
-    """Write bundles under ``folder``; the index (record_id, page_id, bundle, frame, offset, length)."""
+    """Write ``described`` rows as bundles under ``folder``; the index (record_id, page_id, bundle, frame, offset, length)."""
+    file_system(folder)  # raises here, not in the tasks
 
     def run(batches):
         import zstandard
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        fs, root = _file_system(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         packer = zstandard.ZstdCompressor(level=3, write_content_size=True)
-        seen, number = {}, 0
+        number = 0
         out, frames, content, index, held = None, [], [], [], 0
         name = temp = None
 
@@ -148,10 +221,8 @@ def write(rows: DataFrame, folder: str, frame_bytes: int = 1 << 20, bundle_bytes
                     name = f"bundle-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.warc.zst"
                     temp = f"{root}/.{name}.part"
                     out = fs.open_output_stream(temp)
-                digest = base32_sha1(r["payload"])
-                place = seen[digest, r["page_id"]] = seen.get((digest, r["page_id"]), -1) + 1
-                record_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{r['page_id']}/{digest}/{task.partitionId()}/{place}"))
-                rec = record(r["page_id"], r["url"], r["payload"], r["record_type"], r["refers_to"], digest, len(r["payload"]), record_id)
+                record_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{r['page_id']}/{r['digest']}/{r['place']}"))
+                rec = record(r["page_id"], r["url"], r["payload"], r["record_type"], r["refers_to"], r["digest"], r["size"], record_id)
                 index.append({"record_id": record_id, "page_id": r["page_id"], "bundle": name, "frame": len(frames), "offset": held, "length": len(rec)})
                 content.append(rec)
                 held += len(rec)
@@ -187,7 +258,7 @@ def read(spark: SparkSession, folder: str, frames: DataFrame) -> DataFrame:
     def run(batches):
         import zstandard
 
-        fs, root = _file_system(folder)
+        fs, root = file_system(folder)
         tables = {}
         for b in batches:
             for bundle, frame in zip(b.column("bundle").to_pylist(), b.column("frame").to_pylist()):
@@ -219,7 +290,7 @@ def read_record(folder: str, bundle: str, frame: int, offset: int) -> tuple[dict
     """One record by its index entry: a single frame is decompressed."""
     import zstandard
 
-    fs, root = _file_system(folder)
+    fs, root = file_system(folder)
     with fs.open_input_file(f"{root}/{bundle}") as f:
         at, packed, size = seek_table(f)[frame]
         f.seek(at)
@@ -230,4 +301,5 @@ def read_record(folder: str, bundle: str, frame: int, offset: int) -> tuple[dict
 def archive(pages: DataFrame, least: int = 0) -> tuple[str, DataFrame]:
     """Write ``pages`` to a new folder under the shared one: (folder, index)."""
     folder = scratch_path(pages.sparkSession, "warc")
+    file_system(folder)
     return folder, write(described(pages, least), folder)
