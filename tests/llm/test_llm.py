@@ -372,9 +372,12 @@ def test_warc_against_plain_python(spark, least, chunk):
 
 
 def test_warc_ids_do_not_depend_on_the_run(spark):
-    pages = spark.createDataFrame([(i % 9, "u", f"t{i % 3}") for i in range(60)], "page_id bigint, url string, html string")
+    pages = spark.createDataFrame([(i, "u", f"t{i % 3}") for i in range(60)], "page_id bigint, url string, html string")
     ids = [sorted(r.record_id for r in warc.archive(p)[1].collect()) for p in (pages.repartition(5), pages.coalesce(1))]
     assert ids[0] == ids[1] and len(set(ids[0])) == 60
+    again = pages.union(pages.where("page_id < 5")).union(pages.where("page_id < 5")).repartition(3)
+    got = [r.record_id for r in warc.archive(again)[1].collect()]
+    assert len(set(got)) == 70 and len(set(got) & set(ids[0])) == 55
 
 
 def test_warc_revisits_are_not_shuffled(spark):

@@ -16,8 +16,9 @@ the smallest page_id is the response, the others revisit it. Which record
 that is gets decided on digests and ids; a payload whose row is a revisit
 already beside the rows of its own task is not shuffled at all.
 
-A record's id is a name-based UUID of page_id, digest and the place among
-rows that share both, so writing the same pages again gives the same ids.
+A record's id is a name-based UUID of page_id and digest, so writing the same
+pages again gives the same ids however they are dealt to tasks; only rows that
+share both add their task and place to it.
 
 Defined cases: a null html is an empty payload; rows that share page_id and
 payload are all response; a null page_id never is the smallest, unless the
@@ -116,7 +117,11 @@ def file_system(uri: str):
         raise ValueError(f"bundles cannot be kept under {uri}: {e}") from e
 
 
-_DIGESTED = "page_id bigint, url string, payload binary, size bigint, digest string, key binary, part bigint, place bigint"
+_DIGESTED = "page_id bigint, url string, payload binary, size bigint, digest string, key string, part bigint, place bigint"
+
+
+def _own(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
 
 
 def digested(pages: DataFrame, least: int = 0, chunk_rows: int = 50_000) -> DataFrame:
@@ -126,7 +131,6 @@ def digested(pages: DataFrame, least: int = 0, chunk_rows: int = 50_000) -> Data
     page_id before: such a row is a revisit whatever else the table holds. A
     chunk remembers at most ``chunk_rows`` keys.
     """
-    own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
 
     def run(batches):
         from pyspark import TaskContext
@@ -138,7 +142,7 @@ def digested(pages: DataFrame, least: int = 0, chunk_rows: int = 50_000) -> Data
             size, digest, key, parts, place = [], [], [], [], []
             for page, value in zip(b.column("page_id").to_pylist(), payload):
                 raw = value.as_buffer()
-                k = hashlib.sha256(raw).digest()
+                k = hashlib.sha256(raw).hexdigest()
                 if len(met) >= chunk_rows:
                     part, smallest, met = part + 1, {}, {}
                 least_id = smallest.get(k)
@@ -152,30 +156,27 @@ def digested(pages: DataFrame, least: int = 0, chunk_rows: int = 50_000) -> Data
                 parts.append(part)
                 place.append(met[k, page])
             kept = pc.if_else(pa.array(keep, pa.bool_()), payload, pa.scalar(None, payload.type))
-            columns = [b.column("page_id"), b.column("url"), kept, pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(key, pa.binary()), pa.array(parts, pa.int64()), pa.array(place, pa.int64())]
+            columns = [b.column("page_id"), b.column("url"), kept, pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(key, pa.string()), pa.array(parts, pa.int64()), pa.array(place, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "payload", "size", "digest", "key", "part", "place"])
 
-    return own.mapInArrow(run, _DIGESTED)
+    return _own(pages).mapInArrow(run, _DIGESTED)
 
 
 def described(pages: DataFrame, least: int = 0, chunk_rows: int = 50_000) -> DataFrame:
     """(page_id, url, payload, size, digest, place, record_type, refers_to): which record stands for equal payloads.
 
-    The digested rows are stored, so that chunks and places are the same ones
-    in both uses. Verdicts are found for (key, page_id, chunk), which spreads
-    the rows of one payload or one page over many tasks.
+    Keys and ids are stored without payloads. Verdicts are found for (key,
+    page_id), which spreads the rows of one payload over many tasks. ``place``
+    tells rows apart that share page_id and payload; it is empty for others.
     """
-    own = stored(digested(pages, least, chunk_rows), "warc-digested")
-    rows = stored(own.groupBy("key", "page_id", "part").agg(F.count(F.lit(1)).alias("n")), "warc-keys")
+    rows = stored(_own(pages).select(F.sha2("payload", 256).alias("key"), "page_id").groupBy("key", "page_id").agg(F.count(F.lit(1)).alias("n")), "warc-keys")
     first = rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("times"))
-    before = Window.partitionBy("key", "page_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    verdicts = with_small(rows, first, ["key"], F.col("times")).select(
-        F.col("key").alias("k"), F.col("page_id").alias("p"), F.col("part").alias("c"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
-    )
-    met = own.join(verdicts, (F.col("key") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("p")) & (F.col("part") == F.col("c")))
+    verdicts = with_small(rows, first, ["key"], F.col("times")).select(F.col("key").alias("k"), F.col("page_id").alias("p"), "first", "n")
+    met = digested(pages, least, chunk_rows).join(verdicts, (F.col("key") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("p")))
     again = (F.col("size") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return met.select(
-        "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "size", "digest", (F.col("before") + F.col("place")).alias("place"),
+        "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "size", "digest",
+        F.when(F.col("n") > 1, F.concat_ws("/", "part", "place")).otherwise("").alias("place"),
         F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"),
     )
 
