@@ -36,10 +36,10 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerlake.llm.tables import scratch_path, stored, with_small
+from tickerlake.llm.tables import scratch_path, stored
 
 # Fixed values of the seekable format: skippable frame and seek table magic.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -165,13 +165,14 @@ def digested(pages: DataFrame, least: int = 0, chunk_rows: int = 50_000) -> Data
 def described(pages: DataFrame, least: int = 0, chunk_rows: int = 50_000) -> DataFrame:
     """(page_id, url, payload, size, digest, place, record_type, refers_to): which record stands for equal payloads.
 
-    Keys and ids are stored without payloads. Verdicts are found for (key,
-    page_id), which spreads the rows of one payload over many tasks. ``place``
-    tells rows apart that share page_id and payload; it is empty for others.
+    Verdicts are found on keys and ids alone, for (key, page_id), which
+    spreads the rows of one payload over many tasks. ``place`` tells rows
+    apart that share page_id and payload; it is empty for others.
     """
-    rows = stored(_own(pages).select(F.sha2("payload", 256).alias("key"), "page_id").groupBy("key", "page_id").agg(F.count(F.lit(1)).alias("n")), "warc-keys")
-    first = rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("times"))
-    verdicts = with_small(rows, first, ["key"], F.col("times")).select(F.col("key").alias("k"), F.col("page_id").alias("p"), "first", "n")
+    key = F.coalesce(F.sha2("payload", 256), F.lit(""))  # never null, so both uses of ``rows`` are one exchange
+    rows = _own(pages).select(key.alias("key"), "page_id").groupBy("key", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("key").agg(F.min("page_id").alias("first"), F.sum("n").alias("copies"))
+    verdicts = rows.join(first.where("copies > 1"), "key", "left").select(F.col("key").alias("k"), F.col("page_id").alias("p"), "first", "n")
     met = digested(pages, least, chunk_rows).join(verdicts, (F.col("key") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("p")))
     again = (F.col("size") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return met.select(
