@@ -218,15 +218,11 @@ def test_decontamination_spans_and_edges(spark):
     assert decontam.clean(docs_of(spark, rows), items.limit(0)).count() == len(rows)
 
 
-def test_mixing_keeps_totals(spark):
-    rows = [(i, " ".join(["w"] * (1 + i % 37)), f"s{i % 4}" if i % 9 else None) for i in range(600)] + [(None, None, "s1"), (3, "w w", "s3"), (3, "w w", "s3")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got = mixing.mix(docs).collect()
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect())) and len(got) == len(rows)
+def brute_targets(rows):
+    """Sizes and targets of the sources of (doc_id, text, source): cap and reshare until none is above."""
     sizes = {}
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + len(split(t))
-    # brute force: cap and reshare until none is above
     names = sorted(s for s in sizes if s is not None) + [None]
     weight = dict(zip(names, [5, 2, 1] * 9))
     capped, total = set(), 1.5 * sum(sizes.values())
@@ -239,6 +235,16 @@ def test_mixing_keeps_totals(spark):
             break
         capped |= over
     target = {s: 2.0 * sizes[s] if s in capped else want[s] for s in names}
+    return sizes, target
+
+
+def test_mixing_keeps_totals(spark):
+    rows = [(i, " ".join(["w"] * (1 + i % 37)), f"s{i % 4}" if i % 9 else None) for i in range(600)] + [(None, None, "s1"), (3, "w w", "s3"), (3, "w w", "s3")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect())) and len(got) == len(rows)
+    sizes, target = brute_targets(rows)
+    names = list(target)
     assert sorted({round(r.target, 6) for r in got}) == sorted({round(t, 6) for t in target.values()})
     for s in names:
         own = [r for r in got if r.source_size == sizes[s] and abs(r.target - target[s]) < 1e-6]
@@ -637,3 +643,61 @@ def test_pipeline_near_duplicates_match_brute_force(spark):
     assert 10 < len(want) < len(rows)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, rows), SF).collect()
     assert {r.doc_id for r in kept} == want and len(kept) == len(want)
+
+
+def plain_windows(text, n=10):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_pipeline_run_against_plain_python(spark, tmp_path):
+    """Every stage, and all in a row, over planted toxic rows, copies and benchmark passages."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    calm = ["".join(rng.choice(list("aeioulmnrst"), 6)) for _ in range(300)]
+    foul = ["zwg" + "".join(rng.choice(list("kqxzwg"), 4)) for _ in range(20)]
+    said = lambda words, n: " ".join(rng.choice(words, n))
+    texts = [said(calm, 80) for _ in range(90)]
+    toxic = set(range(90, 150))
+    texts += [said(calm, 20) + " " + said(foul, 20) for _ in toxic]
+    for g in range(0, 24, 2):  # exact, near (0.88) and too distant copies
+        w = texts[g].split()
+        w[40] = "changed"
+        far = w.copy()
+        far[5] = far[60] = "other"
+        texts += [texts[g], " ".join(w), " ".join(far)]
+    items = [(i, said(calm, 14)) for i in range(6)] + [(6, "only three words"), (None, None)]
+    for _, t in items[:7]:
+        texts.append(said(calm, 30) + " " + t + " " + said(calm, 30))
+    rows = [(int(d), t, f"s{int(d) % 4}" if d % 11 else None) for d, t in zip(rng.permutation(len(texts)), texts)]
+    ids = [d for d, _, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long")}).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(ids[i], 1, int(i in toxic)) for i in range(150)], "doc_id bigint, quality bigint, toxic bigint").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    clean = [r for i, r in enumerate(rows) if i not in toxic]
+    roots = brute_components([r[:2] for r in clean], k=5)
+    first = [r for r in clean if roots[r[0]][1] == r[0]]
+    benchmark = [plain_windows(t) for _, t in items]
+
+    def hit(text):
+        w = re.findall(r"[a-z]+", text)
+        return any(tuple(w[i : i + len(x)]) == x for b in benchmark for x in b for i in range(len(w) - len(x) + 1))
+
+    left = [r for r in first if not hit(r[1])]
+    assert len(rows) - len(clean) == 60 and len(clean) - len(first) == 24 and len(first) - len(left) == 7
+    want = [clean, first, left]
+    spark_docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (name, stage), kept in zip(corpus_pipeline.STAGES, want):
+        got = stage(spark, spark_docs, str(tmp_path)).collect()
+        assert sorted(r.doc_id for r in got) == sorted(r[0] for r in kept), name
+        spark_docs = spark.createDataFrame(got, docs.schema)
+    mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    sizes, target = brute_targets(left)
+    assert sorted((r.doc_id, r.size, r.source_size, round(r.target, 6)) for r in mixed) == sorted((d, len(split(t)), sizes[s], round(target[s], 6)) for d, t, s in left)
+    source = {d: s for d, _, s in left}
+    for s in target:
+        own = [r for r in mixed if source[r.doc_id] == s]
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in own) and abs(sum(r.taken for r in own) - target[s]) <= 100

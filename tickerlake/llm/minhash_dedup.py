@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tickerlake.llm import words as W
 from tickerlake.llm.components import components
-from tickerlake.llm.tables import stored
+from tickerlake.llm.tables import stored, with_small
 
 _VOTES = 6
 _SET_BITS = np.uint64((1 << 48) - 1)
@@ -328,9 +328,10 @@ def _in_blocks(sized: DataFrame, o: Options) -> DataFrame:
 
 
 def _vertices(sketch: DataFrame) -> DataFrame:
-    """(digest, vertex, tokens): one vertex per distinct set, named by the least key that has it."""
+    """(digest, vertex, tokens, least_id, times): one vertex per distinct set, named by the least key that has it."""
     full = sketch.where("n_shingles > 0")
-    return stored(full.groupBy("digest").agg(F.min("key").alias("vertex"), F.max("tokens").alias("tokens")), "vertices")
+    of_set = [F.min("key").alias("vertex"), F.max("tokens").alias("tokens"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("times")]
+    return stored(full.groupBy("digest").agg(*of_set), "vertices")
 
 
 def links_of(docs: DataFrame, vertices: DataFrame, o: Options) -> DataFrame:
@@ -380,10 +381,12 @@ def near_duplicates(docs: DataFrame, o: Options = Options()) -> DataFrame:
     vertices = _vertices(sketch)
     roots = components(links_of(texts, vertices, o), "near-duplicates")
     own = sketch.select("doc_id", "key", "n_shingles", "digest")
-    of_set = vertices.select("digest", "vertex").join(roots.withColumnRenamed("id", "vertex"), "vertex", "left")
-    full = own.where("n_shingles > 0").join(of_set.select("digest", F.coalesce("root", "vertex").alias("root")), "digest")
-    least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(least, "root").select("doc_id", "key", "n_shingles", "component_id")
+    # minima are taken per set, then per component; documents only meet the result
+    of_set = vertices.select("digest", "vertex", "least_id", "times").join(roots.withColumnRenamed("id", "vertex"), "vertex", "left")
+    of_set = stored(of_set.select("digest", F.coalesce("root", "vertex").alias("root"), "least_id", "times"), "roots-of-sets")
+    least = of_set.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("sets"))
+    found = with_small(of_set, least, ["root"], F.col("sets")).select("digest", "component_id", "times")
+    out = with_small(own.where("n_shingles > 0"), found, ["digest"], F.col("times")).select("doc_id", "key", "n_shingles", "component_id")
     out = out.unionByName(own.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
