@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from tickerlake.operators.ingest import normalise_items
+from tickerlake.plans import queries
 from tickerlake.schemas import EVENT_SCHEMA
 from tickerlake.sources import fixtures, lake
 from tickerlake.streaming import land as sland
@@ -117,3 +118,27 @@ def test_items_delivered_twice_land_once(spark, tmp_path):
     want = normalise_items(once, "forum", 1)
     # every accepted item is there, those without a time included
     assert got.count() == got.select("event_id").distinct().count() == want.select("event_id").distinct().count() > 0
+
+
+def _split_events(spark, path, parts=6):
+    spark.read.parquet(f"{SF}/events.parquet").repartition(parts).write.parquet(f"{path}/events.parquet")
+    return path
+
+
+def test_a_chunk_is_one_batch_however_the_table_is_split(spark, tmp_path, monkeypatch):
+    """Batches are counted by chunks, not by the scan's splits; their steps run adaptively, the stream's setting stays."""
+    sf, seen, land = _split_events(spark, str(tmp_path / "sf")), [], lake.land_events
+    monkeypatch.setattr(fixtures, "FILE_ROWS", 60)
+
+    def watched(session, *args, **kw):
+        seen.append((session, session.conf.get("spark.sql.adaptive.enabled")))
+        return land(session, *args, **kw)
+
+    monkeypatch.setattr(lake, "land_events", watched)
+    got = queries.q_malformed(spark, sf).collect()
+    assert [on for _, on in seen] == ["true"] * 4
+    monkeypatch.setattr(fixtures, "FILE_ROWS", 100_000)
+    want = queries.q_malformed(spark, SF).collect()
+    assert sorted(got) == sorted(want) and {r.reason for r in got} >= {"accepted", "quarantined"}
+    assert len(seen) == 8
+    assert queries.q_run_metrics(spark, sf).first().every_batch_wrote

@@ -478,14 +478,15 @@ def q_stream_land_dedup(spark, sf_dir):
 
 
 def _landed_stream(spark: SparkSession, sf_dir: str, lines: DataFrame, **kw) -> str:
-    """JSON lines landed file by file; returns the folder of lake and metrics."""
+    """JSON lines landed chunk by chunk; returns the folder of lake and metrics."""
     from tickerlake.streaming import land as sland
 
     base = scratch_path(spark, "stream-lines")
-    fixtures.write_time_chunks(lines, f"{base}/in", chunks=4)
+    files = fixtures.files_per_chunk(lines)
+    fixtures.write_time_chunks(lines, f"{base}/in", chunks=4, files=files)
     q = sland.start_landing(
         spark, f"{base}/in/*", f"{base}/lake", f"{base}/ckpt", metrics_path=f"{base}/metrics",
-        source=QP.ITEM_SOURCE, ingested_ts=QP.INGEST_CLOCK_MS, max_files_per_trigger=1, **kw,
+        source=QP.ITEM_SOURCE, ingested_ts=QP.INGEST_CLOCK_MS, max_files_per_trigger=files, **kw,
     )
     q.awaitTermination()
     return base

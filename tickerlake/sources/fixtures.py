@@ -147,12 +147,21 @@ def event_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("event_ts", F.to_json(F.struct(*f.columns)).alias("value"))
 
 
-def write_time_chunks(lines: DataFrame, path: str, chunks: int = 4) -> list[str]:
-    """Write JSON lines as ``chunks`` files in event-time order, one job each.
+FILE_ROWS = 100_000  # lines of a file, about
+
+
+def files_per_chunk(lines: DataFrame, chunks: int = 4) -> int:
+    """Files that a chunk of ``lines`` is written as: what a file stream takes at a time to read chunk by chunk."""
+    return max(1, -(-lines.count() // (chunks * FILE_ROWS)))
+
+
+def write_time_chunks(lines: DataFrame, path: str, chunks: int = 4, files: int = 1) -> list[str]:
+    """Write JSON lines as ``chunks`` folders of ``files`` files in event-time order, one job each.
 
     Files written later have later modification times, so a file stream
-    with ``maxFilesPerTrigger=1`` reads them in time order, like a feed
-    arriving over time. Returns the written folders.
+    with ``maxFilesPerTrigger=files`` reads a chunk at a time, in time order,
+    like a feed arriving over time, however many splits the lines come in.
+    Returns the written folders.
     """
     b = lines.agg(F.min("event_ts").alias("lo"), F.max("event_ts").alias("hi")).first()
     if b is None or b["lo"] is None:
@@ -163,8 +172,8 @@ def write_time_chunks(lines: DataFrame, path: str, chunks: int = 4) -> list[str]
     for k in range(chunks):
         a, z = lo + k * step, min(hi, lo + (k + 1) * step)
         part = f"{path}/chunk={k:04d}"
-        lines.filter((F.col("event_ts") >= a) & (F.col("event_ts") < z)).select("value").write.mode(
-            "overwrite"
-        ).text(part)
+        own = lines.filter((F.col("event_ts") >= a) & (F.col("event_ts") < z))
+        # the time is in the hash so that equal lines (null) do not fill one file
+        own.repartition(files, "event_ts", "value").select("value").write.mode("overwrite").text(part)
         out.append(part)
     return out
