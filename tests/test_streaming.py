@@ -142,3 +142,18 @@ def test_a_chunk_is_one_batch_however_the_table_is_split(spark, tmp_path, monkey
     assert sorted(got) == sorted(want) and {r.reason for r in got} >= {"accepted", "quarantined"}
     assert len(seen) == 8
     assert queries.q_run_metrics(spark, sf).first().every_batch_wrote
+
+
+def test_split_table_lands_by_chunks_and_loses_no_minute(spark, tmp_path, monkeypatch):
+    """Rows of one chunk in several files are no late rows, and the landing stream has a batch a chunk."""
+    sf, batches, land = _split_events(spark, str(tmp_path / "sf")), [], lake.land_events
+    monkeypatch.setattr(lake, "land_events", lambda *a, **kw: batches.append(1) or land(*a, **kw))
+    got = queries.q_stream_land(spark, sf)
+    assert len(batches) == 4
+    cols = got.drop("dt", "hr").columns
+    assert sorted(_rows(got, ["event_id"])) == _rows(queries.q_normalise(spark, SF), ["event_id"])
+    assert got.select(*cols).exceptAll(queries.q_normalise(spark, SF).select(*cols)).isEmpty()
+    from tickerlake.operators.features import minute_counts
+
+    cols = ["source", "minute", "n"]
+    assert _rows(queries.q_stream_minute(spark, sf), cols) == _rows(minute_counts(queries.lake_events(spark, SF)), cols)

@@ -448,16 +448,7 @@ STREAM_COLS = ["source", "event_id", "event_ts", "ingested_ts", "author", "text"
 
 def q_stream_land(spark, sf_dir):
     """Items as JSON files -> availableNow landing stream -> lake read-back."""
-    from tickerlake.streaming import land as sland
-
-    base = scratch_path(spark, "stream-land")
-    fixtures.write_time_chunks(fixtures.item_json_lines(spark, sf_dir), f"{base}/in", chunks=4)
-    root = f"{base}/lake"
-    q = sland.start_landing(
-        spark, f"{base}/in/*", root, f"{base}/ckpt", metrics_path=f"{base}/metrics",
-        source=QP.ITEM_SOURCE, ingested_ts=QP.INGEST_CLOCK_MS, max_files_per_trigger=1,
-    )
-    q.awaitTermination()
+    root = f"{_landed_stream(spark, sf_dir, fixtures.item_json_lines(spark, sf_dir))}/lake"
     return lake.read_events(spark, root).select(*STREAM_COLS)
 
 
@@ -552,8 +543,10 @@ def q_stream_minute(spark, sf_dir):
     from tickerlake.streaming import minute as sminute
 
     base = scratch_path(spark, "stream-minute")
-    fixtures.write_time_chunks(fixtures.event_json_lines(spark, sf_dir), f"{base}/in", chunks=4)
-    events = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", "1").json(f"{base}/in/*")
+    lines = fixtures.event_json_lines(spark, sf_dir)
+    files = fixtures.files_per_chunk(lines)
+    fixtures.write_time_chunks(lines, f"{base}/in", chunks=4, files=files)
+    events = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", str(files)).json(f"{base}/in/*")
     q = sminute.start_minute_counts(spark, events, f"{base}/out", f"{base}/ckpt", watermark="10 minutes")
     q.awaitTermination()
     return sminute.read_minute_counts(spark, f"{base}/out")
