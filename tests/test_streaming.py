@@ -157,3 +157,10 @@ def test_split_table_lands_by_chunks_and_loses_no_minute(spark, tmp_path, monkey
 
     cols = ["source", "minute", "n"]
     assert _rows(queries.q_stream_minute(spark, sf), cols) == _rows(minute_counts(queries.lake_events(spark, SF)), cols)
+
+
+def test_split_table_delivered_twice_lands_once_in_four_batches(spark, tmp_path, monkeypatch):
+    sf, batches, land = _split_events(spark, str(tmp_path / "sf")), [], lake.land_events
+    monkeypatch.setattr(lake, "land_events", lambda *a, **kw: batches.append(1) or land(*a, **kw))
+    got = _rows(queries.q_stream_land_dedup(spark, sf), ["event_id"])
+    assert len(batches) == 4 and got == _rows(queries.q_normalise(spark, SF), ["event_id"])

@@ -457,12 +457,14 @@ def q_stream_land_dedup(spark, sf_dir):
     from tickerlake.streaming import land as sland
 
     base = scratch_path(spark, "stream-dedup")
+    lines = fixtures.item_json_lines(spark, sf_dir)
+    files = fixtures.files_per_chunk(lines, chunks=2)
     for delivery in ("first", "again"):
-        fixtures.write_time_chunks(fixtures.item_json_lines(spark, sf_dir), f"{base}/in/{delivery}", chunks=2)
+        fixtures.write_time_chunks(lines, f"{base}/in/{delivery}", chunks=2, files=files)
     root = f"{base}/lake"
     q = sland.start_landing(
         spark, f"{base}/in/*/*", root, f"{base}/ckpt", source=QP.ITEM_SOURCE, ingested_ts=QP.INGEST_CLOCK_MS,
-        max_files_per_trigger=1,
+        max_files_per_trigger=files,
     )
     q.awaitTermination()
     return lake.read_events(spark, root).select(*STREAM_COLS)
