@@ -5,6 +5,7 @@ import json
 import os
 import time
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tickerlake.cli import main
 from tickerlake.operators.ingest import normalise_items
 from tickerlake.sources import fixtures, ids, lake
-from tickerlake.sources.item_ids import ItemIdReader, ItemIds
+from tickerlake.sources.item_ids import IdRange, ItemIdReader, ItemIds
 from tickerlake.streaming import land as sland
 
 SF = "/root/testdata/sf0.001"
@@ -121,6 +122,23 @@ def test_cursor_offsets(tmp_path):
         ItemIdReader({})
 
 
+def test_a_task_reads_its_ids_in_small_batches_whatever_the_row_groups(tmp_path):
+    """One wide row group in no order, a file without statistics and one out of range: the ids of the range, 8192 rows at most at a time."""
+    def write(name, numbers, **kw):
+        pq.write_table(pa.table({"id": pa.array(numbers, pa.int64()), "value": [str(i) * 20 for i in numbers]}), tmp_path / name, **kw)
+
+    write("wide.parquet", [i * 7919 % 200_000 for i in range(200_000)], row_group_size=200_000)
+    write("plain.parquet", range(200_000, 200_050), write_statistics=False)
+    write("later.parquet", range(900_000, 900_050))
+    reader, got, before = ItemIdReader({"path": str(tmp_path)}), [], pa.total_allocated_bytes()
+    for batch in reader.read(IdRange(50_000, 200_010)):
+        assert batch.num_rows <= 8192 and pa.total_allocated_bytes() - before < 12 << 20
+        assert batch.column("value").to_pylist() == [str(i) * 20 for i in batch.column("id").to_pylist()]
+        got += batch.column("id").to_pylist()
+    assert sorted(got) == list(range(50_000, 200_010))
+    assert list(reader.read(IdRange(300_000, 400_000))) == []
+
+
 def test_duration_stops_a_running_stream(spark, tmp_path):
     fixtures.write_time_chunks(fixtures.item_json_lines(spark, SF), str(tmp_path / "in"), chunks=1)
     start = time.time()

@@ -132,13 +132,19 @@ def broken_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return it.select("event_ts", line.alias("value"))
 
 
+STORE_GROUP_BYTES = 8 << 20
+
+
 def append_item_store(spark: SparkSession, sf_dir: str, path: str, part: int, parts: int) -> None:
-    """The items (id, value) whose number lies in one of ``parts`` equal ranges, as Parquet."""
+    """The items (id, value) whose number lies in one of ``parts`` equal ranges, as Parquet in their order."""
     it = items(spark, sf_dir)
     value = F.when(F.col("item").isNull(), F.lit("null")).otherwise(F.to_json(F.col("item")))
     top = it.agg(F.max("item_key")).first()[0] + 1
     own = F.col("item_key").between(top * part // parts, top * (part + 1) // parts - 1)
-    it.filter(own).select(F.col("item_key").alias("id"), value.alias("value")).write.mode("append").parquet(path)
+    rows = it.filter(own).select(F.col("item_key").alias("id"), value.alias("value"))
+    # in order, as upstream numbers them, and in small row groups: a range of ids lies in few of them
+    rows = rows.repartitionByRange("id").sortWithinPartitions("id")
+    rows.write.mode("append").option("parquet.block.size", str(STORE_GROUP_BYTES)).parquet(path)
 
 
 def event_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,10 @@ newest.
 Options: ``path``; ``start``: "newest" (default, only what comes after the
 first poll), "earliest", or an id; ``idsPerPartition`` (100,000): ids read by
 one task. The newest id comes from the statistics in the files' footers, each
-of which is opened once, so a poll costs what is new. Tasks read Arrow batches
-with the id range pushed down. Ids that the store does not hold are skipped.
+of which is opened once, so a poll costs what is new. A task reads the row
+groups whose statistics meet its ids, file after file and ``BATCH_ROWS`` rows at
+a time, so it holds some pages of one column chunk, not whole row groups or
+files read ahead. Ids that the store does not hold are skipped.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+BATCH_ROWS = 8192
+BUFFER_BYTES = 1 << 20
+
 
 class IdRange(InputPartition):
     def __init__(self, first: int, stop: int):
@@ -85,9 +90,25 @@ class ItemIdReader(DataSourceStreamReader):
         return [IdRange(a, min(a + self._per, stop)) for a in range(first, stop, self._per)]
 
     def read(self, partition: IdRange) -> Iterator:
+        import pyarrow as pa
         import pyarrow.compute as pc
-
-        wanted = (pc.field("id") >= partition.first) & (pc.field("id") < partition.stop)
-        for batch in self._dataset().to_batches(columns=["id", "value"], filter=wanted):
-            if batch.num_rows:
-                yield batch
+        import pyarrow.parquet as pq
+
+        for fragment in self._dataset().get_fragments():
+            groups = [g.id for g in fragment.row_groups if _meets(g.statistics, partition)]
+            if not groups:
+                continue
+            with fragment.open() as source:
+                file = pq.ParquetFile(source, buffer_size=BUFFER_BYTES, pre_buffer=False)
+                for batch in file.iter_batches(BATCH_ROWS, row_groups=groups, columns=["id", "value"], use_threads=False):
+                    number = batch.column("id")
+                    own = batch.filter(pc.and_(pc.greater_equal(number, partition.first), pc.less(number, partition.stop)))
+                    if own.num_rows:
+                        yield own
+            pa.default_memory_pool().release_unused()
+
+
+def _meets(statistics: dict | None, ids: IdRange) -> bool:
+    """Whether a row group may hold some of these ids (one without statistics may)."""
+    own = (statistics or {}).get("id")
+    return own is None or (own["max"] >= ids.first and own["min"] < ids.stop)
