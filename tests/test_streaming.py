@@ -164,3 +164,11 @@ def test_split_table_delivered_twice_lands_once_in_four_batches(spark, tmp_path,
     monkeypatch.setattr(lake, "land_events", lambda *a, **kw: batches.append(1) or land(*a, **kw))
     got = _rows(queries.q_stream_land_dedup(spark, sf), ["event_id"])
     assert len(batches) == 4 and got == _rows(queries.q_normalise(spark, SF), ["event_id"])
+
+
+def test_split_broken_feed_is_replayed_whole(spark, tmp_path, monkeypatch):
+    sf, landings, land = _split_events(spark, str(tmp_path / "sf")), [], lake.land_events
+    monkeypatch.setattr(lake, "land_events", lambda *a, **kw: landings.append(1) or land(*a, **kw))
+    got = _rows(queries.q_replayed(spark, sf), ["event_id"])
+    assert len(landings) == 6  # four batches, two replays
+    assert got == _rows(queries.q_normalise(spark, SF), ["event_id"])
