@@ -90,6 +90,43 @@ def test_malformed_lines_are_kept_repaired_and_replayed_once(spark, tmp_path, ca
     assert sland.read_quarantine(spark, str(tmp_path / "no-lake")).count() == 0
 
 
+def test_lines_quarantined_while_a_replay_lands_wait_for_the_next(spark, tmp_path, monkeypatch):
+    root, write = str(tmp_path / "lake"), lake.write_partitioned
+
+    def hold(batch, numbers):
+        rows = [(True, _item(i)[:-1], f"{batch}.json") for i in numbers]
+        sland.quarantine(spark.createDataFrame(rows, "parse_error boolean, line string, file string"), root, batch)
+
+    def held_meanwhile(*args, **kw):
+        monkeypatch.setattr(lake, "write_partitioned", write)
+        hold(1, range(20, 30))
+        return write(*args, **kw)
+
+    hold(0, range(20))
+    monkeypatch.setattr(lake, "write_partitioned", held_meanwhile)
+    repair = F.concat("line", F.lit("}"))
+    assert sland.replay(spark, root, repair, "one", ingested_ts=1) == 20
+    assert sland.read_quarantine(spark, root).count() == 10
+    assert sland.replay(spark, root, repair, "two", ingested_ts=1) == 10
+    assert _ids(spark, root) == set(range(30)) and sland.read_quarantine(spark, root).isEmpty()
+
+
+def test_a_small_landing_keeps_few_partitions(spark, tmp_path, monkeypatch):
+    """A kept batch has partitions by its size; all 40 would each write 40 files in every step that follows."""
+    kept, write, free = [], lake.write_partitioned, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    monkeypatch.setattr(lake, "write_partitioned", lambda df, *a, **kw: kept.append(df.rdd.getNumPartitions()) or write(df, *a, **kw))
+    parts, was = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get(free)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        lines = spark.createDataFrame([(_item(i),) for i in range(200)], "value string")
+        events = normalise_items(sland.items_from_json_strings(lines), "forum", 1)
+        assert lake.land_events(spark, events, str(tmp_path / "lake")) == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert len(kept) == 1 and kept[0] <= 4 and spark.conf.get(free) == was
+    assert _ids(spark, str(tmp_path / "lake")) == set(range(200))
+
+
 def test_a_cursor_goes_on_after_the_last_id(spark, tmp_path):
     """Started at the newest id: earlier items stay out, later ones come once, across restarts."""
     spark.dataSource.register(ItemIds)

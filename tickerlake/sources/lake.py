@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from tickerlake.functions.tables import empty_table
 from tickerlake.functions.timecols import dt_of, event_at, hr_of
 from tickerlake.schemas import BAR_SCHEMA, EVENT_SCHEMA, FRAME_SCHEMA, PIECE_SCHEMA, SENTIMENT_SCHEMA, SchemaDrift, conform, is_later_version, read_schema
+from tickerlake.session import keep
 from tickerlake.sources import ids, snapshot
 from tickerlake.sources.files import Folder, glob_matches
 
@@ -214,7 +215,7 @@ def land_events(
     if filled and not ids.is_sound(spark, base):
         ids.rebuild(spark, base, read_events(spark, base))
     if cache:
-        incoming = incoming.persist()
+        incoming = keep(incoming)
     try:
         fresh = incoming
         if filled:
