@@ -1,13 +1,17 @@
 """Suffix-array dedup: the array against sorting, removed bytes against brute force, edge rows."""
 
 import hashlib
+import os
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickerlake.llm import queries
 from tickerlake.llm import suffix_dedup as S
+from tickerlake.llm.tables import scratch_root
 
 LENGTH = 80
 
@@ -127,3 +131,28 @@ def test_query_on_the_small_table(spark):
     for d, t, gone in zip(docs, texts, brute(texts, 400), strict=True):
         want[d.doc_id] = (len(t), int(gone.sum()), len(spans(gone)), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest())
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
+
+
+def test_tables_between_steps_are_no_files_and_let_go(spark):
+    root = scratch_root(spark).removeprefix("file:")
+    persisted = spark.sparkContext._jsc.getPersistentRDDs
+    before, held = set(os.listdir(root)), persisted().size()
+    check(spark, corpus(5, 30))
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before} == {"hot-keys", "suffix-spans"}
+    assert persisted().size() == held
+
+
+def test_a_long_text_takes_no_more_memory_than_many_short_ones():
+    letters = np.random.default_rng(7).integers(97, 123, 6 << 20, np.uint8).tobytes().decode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([len(letters)], pa.int32()), pa.array([letters])], names=["t", "size", "text"])
+    tracemalloc.start()
+    try:
+        starts = 0
+        for b in S._anchor_rows(S.LENGTH)(iter([batch])):
+            rest = np.asarray(b.column("place")) % S._PLACE
+            starts += int((rest % 512 - rest // 512 + 1).sum())
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert starts == len(letters) - S.LENGTH + 1
+    assert most < 300e6
